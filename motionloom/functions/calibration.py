@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from . import plane as P
-from .geometry import acute_angle, distance, dlit, point_in_quad, quad_measures, rotate
+from .geometry import acute_angle, distance, dlit, point_in_quad, quad_measures
 
 # validation outcome -> reason code; empty means usable
 REASONS = (
@@ -80,17 +80,17 @@ def _first_failure(*checks: tuple[Column, str]) -> Column:
     return out.otherwise("")
 
 
-def solve(dim: DataFrame, keys: list[str]) -> DataFrame:
-    """keys + ``cal``. Input columns: mode, rulers, frame, plane, camera, camera_moved, pixel_sigma."""
+def solve(dim: DataFrame, keys: list[str], *, planar: bool = True) -> DataFrame:
+    """keys + ``cal``. Input columns: mode, rulers, frame, plane, camera, camera_moved, pixel_sigma.
+
+    ``planar=False`` states that no record is planar; the struct then has no homography and the
+    point expressions built on it leave the planar branch out.
+    """
     near, far = near_ruler(F.col("rulers")), far_ruler(F.col("rulers"))
     staged = dim.withColumns({"_near": near, "_far": far, "_first": F.get("rulers", F.lit(0))})
     n_mx, n_my = ruler_mid(F.col("_near"))
     f_mx, f_my = ruler_mid(F.col("_far"))
     quad, plane, cam = F.col("plane.corners"), F.col("plane"), F.col("camera")
-    un = F.transform(
-        F.slice(quad, 1, 4),
-        lambda p: F.struct(*[c.alias(n) for c, n in zip(P.undistort(p["x"], p["y"], cam), ("x", "y"))]),
-    )
     staged = staged.withColumns(
         {
             "_n_ppm": ruler_ppm(F.col("_near")),
@@ -100,18 +100,22 @@ def solve(dim: DataFrame, keys: list[str]) -> DataFrame:
             "_ny": n_my,
             "_fx": f_mx,
             "_fy": f_my,
-            "_q": F.when(F.size(quad) >= 4, un),
-        }
-    )
-    staged = staged.withColumn("_hi", P.world_to_pixel_matrix(F.col("_q"), plane["width_m"], plane["height_m"]))
-    staged = staged.withColumn("_h", P.invert_h(F.col("_hi")))
-    staged = staged.withColumns(
-        {
-            "_cond": F.when(F.col("mode") == "planar", P.condition_number(F.col("_h"))),
-            "_rms": P.rms_of(F.col("_hi"), F.col("_q"), plane["width_m"], plane["height_m"]),
             "_m": quad_measures(quad),
         }
     )
+    if planar:
+        corners = [F.get(quad, F.lit(i))[axis].alias(f"{axis}{i}") for i in range(4) for axis in ("x", "y")]
+        lens = [cam[name].cast("double").alias(name) for name in ("width", "height", "fx", "fy", "cx", "cy", "k1", "k2", "p1", "p2", "k3")]
+        staged = staged.withColumn(
+            "_s",
+            P.plane_solution(
+                F.struct(*corners), F.struct(plane["width_m"], plane["height_m"]), F.struct(*lens),
+                F.struct(F.col("frame.origin_x"), F.col("frame.origin_y")),
+            ),
+        )
+    else:
+        staged = staged.withColumn("_s", F.lit(None).cast(P.PLANE_SOLUTION))
+    staged = staged.withColumns({"_cond": F.col("_s.cond"), "_rms": F.col("_s.rms")})
     area = F.col("_m.area_px")
     image_area = F.when((cam["width"] > 0) & (cam["height"] > 0), cam["width"] * cam["height"].cast("double"))
     coverage = F.coalesce(area / F.when(image_area > 1.0, image_area), F.lit(0.0))
@@ -124,7 +128,7 @@ def solve(dim: DataFrame, keys: list[str]) -> DataFrame:
         (F.hypot(F.col("_fx") - F.col("_nx"), F.col("_fy") - F.col("_ny")) < C.MIN_DEPTH_PIXELS, "rulers_too_close"),
         (ratio > C.PPM_RATIO_MAX, "ruler_ratio"),
     )
-    planar = _first_failure(
+    flat = _first_failure(
         (F.coalesce(F.size(quad), F.lit(0)) < 4, "need_four_corners"),
         ((plane["width_m"] <= 1e-6) | (plane["height_m"] <= 1e-6), "plane_size"),
         (~F.col("_m.convex"), "not_convex"),
@@ -138,7 +142,7 @@ def solve(dim: DataFrame, keys: list[str]) -> DataFrame:
         "_why",
         F.when(F.col("mode") == "uniform", uniform)
         .when(F.col("mode") == "near_far", near_far)
-        .when(F.col("mode") == "planar", planar)
+        .when(F.col("mode") == "planar", flat)
         .otherwise(""),
     )
     known = F.col("mode").isin("uniform", "near_far", "planar") & (F.col("_why") == "")
@@ -151,6 +155,23 @@ def solve(dim: DataFrame, keys: list[str]) -> DataFrame:
     warning = F.when(F.col("_why") != "", F.col("_why")).when(F.col("mode") == "planar", notes).otherwise("")
     frame = F.col("frame")
     sigma = F.col("pixel_sigma")
+    angle = F.coalesce(frame["axis_angle_deg"], F.lit(0.0))
+    den = F.pow(F.col("_fx") - F.col("_nx"), 2) + F.pow(F.col("_fy") - F.col("_ny"), 2)
+    deep = den >= 1e-9
+    at = [F.when(frame["origin_x"].isNotNull() & frame["origin_y"].isNotNull(), frame[n]).otherwise(F.lit(0.0)) for n in ("origin_x", "origin_y")]
+    staged = staged.withColumns(
+        {
+            "_ax": F.when(deep, (F.col("_fx") - F.col("_nx")) / den).otherwise(F.lit(0.0)),
+            "_ay": F.when(deep, (F.col("_fy") - F.col("_ny")) / den).otherwise(F.lit(0.0)),
+        }
+    ).withColumn("_uo", (at[0] - F.col("_nx")) * F.col("_ax") + (at[1] - F.col("_ny")) * F.col("_ay"))
+    origin_ppm = _blend(F.col("_n_ppm"), F.col("_f_ppm"), F.col("_uo"))
+    maps = []
+    if planar:
+        maps = [
+            F.when(known, F.struct(*[F.col(f"_s.{p}{i}").alias(f"h{i}") for i in range(9)])).alias(name)
+            for name, p in (("h", "h"), ("hi", "g"))
+        ] + [F.col("_s.base_x").alias("base_x"), F.col("_s.base_y").alias("base_y")]
     cal = F.struct(
         F.when(known, F.col("mode")).otherwise("none").alias("mode"),
         known.alias("active"),
@@ -158,15 +179,17 @@ def solve(dim: DataFrame, keys: list[str]) -> DataFrame:
         (frame["origin_x"].isNotNull() & frame["origin_y"].isNotNull()).alias("placed"),
         frame["origin_x"].alias("ox"),
         frame["origin_y"].alias("oy"),
-        F.coalesce(frame["axis_angle_deg"], F.lit(0.0)).alias("angle"),
+        angle.alias("angle"),
         F.coalesce(frame["y_up"], F.lit(True)).alias("y_up"),
         F.col("_ppm").alias("ppm"),
-        *[F.col(f"_{n}").alias(n) for n in ("nx", "ny", "fx", "fy", "n_ppm", "f_ppm")],
+        *[F.col(f"_{n}").alias(n) for n in ("nx", "ny", "ax", "ay", "n_ppm", "f_ppm")],
+        origin_ppm.alias("ppm_o"),
+        F.cos(F.radians(angle)).alias("ca"),
+        F.sin(F.radians(angle)).alias("sa"),
         quad.alias("quad"),
         plane["width_m"].alias("width_m"),
         plane["height_m"].alias("height_m"),
-        F.when(known, F.col("_h")).alias("h"),
-        F.when(known, F.col("_hi")).alias("hi"),
+        *maps,
         F.col("_rms").alias("rms"),
         F.when(sigma.isNull() | (sigma == 0), F.lit(C.DEFAULT_PIXEL_SIGMA)).otherwise(sigma).alias("pixel_sigma"),
         F.coalesce("camera_moved", F.lit(False)).alias("camera_moved"),
@@ -202,30 +225,34 @@ def accel_unit(cal: Column) -> Column:
     return F.when(active(cal), "m/s^2").otherwise("px/s^2")
 
 
-def depth_u_raw(cal: Column, x: Column, y: Column) -> Column:
-    dx, dy = cal["fx"] - cal["nx"], cal["fy"] - cal["ny"]
-    den = dx * dx + dy * dy
-    return F.when(den >= 1e-9, ((x - cal["nx"]) * dx + (y - cal["ny"]) * dy) / den)
+def depth_position(cal: Column, x: Column, y: Column) -> Column:
+    """Unclamped place between the near (0) and far (1) ruler; 0 when they coincide."""
+    return (x - cal["nx"]) * cal["ax"] + (y - cal["ny"]) * cal["ay"]
 
 
-def depth_u(cal: Column, x: Column, y: Column) -> Column:
-    raw = F.greatest(F.lit(-C.EXTRAPOLATE_U), F.least(F.lit(1.0 + C.EXTRAPOLATE_U), depth_u_raw(cal, x, y)))
-    return F.when(depth_u_raw(cal, x, y).isNull(), F.lit(0.0)).otherwise(raw)
+def _blend(near: Column, far: Column, raw_u: Column) -> Column:
+    u = F.greatest(F.lit(-C.EXTRAPOLATE_U), F.least(F.lit(1.0 + C.EXTRAPOLATE_U), raw_u))
+    scale = near + u * (far - near)
+    return F.greatest(F.when(scale <= 1e-9, F.least(near, far)).otherwise(scale), F.lit(1e-6))
 
 
 def near_far_ppm(cal: Column, x: Column, y: Column) -> Column:
-    raw = cal["n_ppm"] + depth_u(cal, x, y) * (cal["f_ppm"] - cal["n_ppm"])
-    floor = F.when(raw <= 1e-9, F.least(cal["n_ppm"], cal["f_ppm"])).otherwise(raw)
-    return F.greatest(floor, F.lit(1e-6))
+    return _blend(cal["n_ppm"], cal["f_ppm"], depth_position(cal, x, y))
 
 
-def _undistorted(cal: Column, x: Column, y: Column) -> tuple[Column, Column]:
-    return P.undistort(x, y, cal["camera"])
+Pair = tuple[Column, Column]
 
 
-def position_sigma(cal: Column, x: Column, y: Column, pixel_sigma: Column | float | None = None) -> tuple[Column, Column]:
+def undistorted(cal: Column, x: Column, y: Column) -> Pair:
+    """Lens-corrected pixel of planar records; compute it once and pass it on as ``uv``."""
+    u, v = P.undistort(x, y, cal["camera"])
+    planar = is_mode(cal, "planar")
+    return F.when(planar, u).otherwise(x), F.when(planar, v).otherwise(y)
+
+
+def position_sigma(cal: Column, x: Column, y: Column, pixel_sigma: Column | float | None = None, uv: Pair | None = None) -> Pair:
     """One-sigma world uncertainty; 0 outside planar mode."""
-    u, v = _undistorted(cal, x, y)
+    u, v = undistorted(cal, x, y) if uv is None else uv
     sx, sy = P.world_sigma(cal["h"], u, v, cal["pixel_sigma"] if pixel_sigma is None else pixel_sigma, cal["rms"])
     planar = is_mode(cal, "planar")
     return F.when(planar, sx).otherwise(F.lit(0.0)), F.when(planar, sy).otherwise(F.lit(0.0))
@@ -241,96 +268,109 @@ def ppm_at(cal: Column, x: Column, y: Column) -> Column:
     )
 
 
-def extrapolated(cal: Column, x: Column, y: Column) -> Column:
-    raw = depth_u_raw(cal, x, y)
-    beyond = F.coalesce((raw < -1e-6) | (raw > 1.0 + 1e-6), F.lit(False))
-    return (
-        F.when(is_mode(cal, "planar"), ~point_in_quad(x, y, cal["quad"]))
-        .when(is_mode(cal, "near_far"), beyond)
-        .otherwise(F.lit(False))
-    )
+def extrapolated(cal: Column, x: Column, y: Column, planar: bool = True) -> Column:
+    raw = depth_position(cal, x, y)
+    beyond = F.when(is_mode(cal, "near_far"), F.coalesce((raw < -1e-6) | (raw > 1.0 + 1e-6), F.lit(False)))
+    if planar:
+        beyond = F.when(is_mode(cal, "planar"), ~point_in_quad(x, y, cal["quad"])).otherwise(beyond)
+    return F.coalesce(beyond, F.lit(False))
 
 
-def _log_mean(ppm0: Column, ppm1: Column) -> Column:
+def log_mean(ppm0: Column, ppm1: Column) -> Column:
     """Metres per pixel along a straight image path with linearly changing scale."""
     delta = ppm1 - ppm0
     flat = F.abs(delta) < 1e-9
     return F.when(flat, F.lit(1.0) / ppm0).otherwise(F.ln(ppm1 / ppm0) / F.when(flat, F.lit(1.0)).otherwise(delta))
 
 
-def path_factor(cal: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    return _log_mean(near_far_ppm(cal, x0, y0), near_far_ppm(cal, x1, y1))
-
-
-def _origin(cal: Column) -> tuple[Column, Column]:
+def _origin(cal: Column) -> Pair:
     zero = F.lit(0.0)
     return F.when(placed(cal), cal["ox"]).otherwise(zero), F.when(placed(cal), cal["oy"]).otherwise(zero)
 
 
-def _planar_base(cal: Column) -> tuple[Column, Column]:
-    bx, by = P.apply_h(cal["h"], *_undistorted(cal, cal["ox"], cal["oy"]))
-    return F.coalesce(bx, F.lit(0.0)), F.coalesce(by, F.lit(0.0))
+def has_planar(solved: DataFrame) -> bool:
+    """Whether the solved records carry homographies."""
+    return "h" in solved.schema["cal"].dataType.names
 
 
-def pixel_to_world(cal: Column, x: Column, y: Column) -> tuple[Column, Column]:
-    """World position; rotation only with a placed origin, image flip only outside planar mode."""
+def pixel_to_world(df: DataFrame, x: str, y: str, out: tuple[str, str], *, planar: bool = True) -> DataFrame:
+    """Add the world position of image point (x, y); also ``pu``/``pv``, its lens-corrected pixel.
+
+    Rotation applies only with a placed origin, the image flip only outside planar mode. The
+    steps are separate projections so that no intermediate is computed twice.
+    """
+    cal, px, py = F.col("cal"), F.col(x), F.col(y)
     ox, oy = _origin(cal)
+    uv = undistorted(cal, px, py) if planar else (px, py)
+    rows = df.withColumns({"pu": uv[0], "pv": uv[1], "_k": F.when(is_mode(cal, "near_far"), near_far_ppm(cal, px, py))})
     scale = (
         F.when(is_mode(cal, "uniform"), F.lit(1.0) / F.coalesce(cal["ppm"], F.lit(1.0)))
-        .when(is_mode(cal, "near_far"), path_factor(cal, ox, oy, x, y))
+        .when(is_mode(cal, "near_far"), log_mean(cal["ppm_o"], F.col("_k")))
         .otherwise(F.lit(1.0))
     )
-    dx = (x - ox) * scale
-    up = F.coalesce(cal["y_up"], F.lit(True))
-    dy = F.when(up, -(y - oy) * scale).otherwise((y - oy) * scale)
-    rx, ry = rotate(dx, dy, -F.coalesce(cal["angle"], F.lit(0.0)))
-    flat_x = F.when(placed(cal), rx).otherwise(dx)
-    flat_y = F.when(placed(cal), ry).otherwise(dy)
-    mx, my = P.apply_h(cal["h"], *_undistorted(cal, x, y))
-    bx, by = _planar_base(cal)
-    px, py = rotate(mx - bx, my - by, -F.coalesce(cal["angle"], F.lit(0.0)))
-    wx = F.when(mx.isNull(), F.lit(0.0)).when(placed(cal), px).otherwise(mx)
-    wy = F.when(mx.isNull(), F.lit(0.0)).when(placed(cal), py).otherwise(my)
-    planar = is_mode(cal, "planar")
-    return F.when(planar, wx).otherwise(flat_x), F.when(planar, wy).otherwise(flat_y)
-
-
-def world_to_pixel(cal: Column, x: Column, y: Column, rounds: int = 40) -> tuple[Column, Column]:
-    """Inverse of :func:`pixel_to_world`; near/far scaling is inverted by bisection."""
+    rows = rows.withColumn("_k", scale)
+    flip = F.when(F.coalesce(cal["y_up"], F.lit(True)), F.lit(-1.0)).otherwise(F.lit(1.0))
+    mapped = P.apply_h(cal["h"], F.col("pu"), F.col("pv")) if planar else None
+    dx, dy = (px - ox) * F.col("_k"), flip * (py - oy) * F.col("_k")
+    if planar:
+        on_plane = is_mode(cal, "planar")
+        base = [F.when(placed(cal), cal[n]).otherwise(F.lit(0.0)) for n in ("base_x", "base_y")]
+        dx = F.when(on_plane, mapped[0] - base[0]).otherwise(dx)
+        dy = F.when(on_plane, mapped[1] - base[1]).otherwise(dy)
+    rows = rows.withColumns({"_dx": dx, "_dy": dy})
+    ca, sa = cal["ca"], cal["sa"]
+    turned = placed(cal)
+    wx = F.when(turned, F.col("_dx") * ca + F.col("_dy") * sa).otherwise(F.col("_dx"))
+    wy = F.when(turned, F.col("_dy") * ca - F.col("_dx") * sa).otherwise(F.col("_dy"))
+    if planar:
+        lost = on_plane & F.col("_dx").isNull()
+        wx, wy = F.when(lost, F.lit(0.0)).otherwise(wx), F.when(lost, F.lit(0.0)).otherwise(wy)
+    return rows.withColumns({out[0]: wx, out[1]: wy}).drop("_k", "_dx", "_dy")
+
+
+def world_to_pixel(df: DataFrame, x: str, y: str, out: tuple[str, str], *, planar: bool = True, rounds: int = 40) -> DataFrame:
+    """Add the image point of world position (x, y); near/far scaling is inverted by bisection."""
+    cal, wx, wy = F.col("cal"), F.col(x), F.col(y)
     ox, oy = _origin(cal)
-    angle = F.coalesce(cal["angle"], F.lit(0.0))
-    rx, ry = rotate(x, y, angle)
-    dx = F.when(placed(cal), rx).otherwise(x)
-    raw_dy = F.when(placed(cal), ry).otherwise(y)
-    dy = F.when(F.coalesce(cal["y_up"], F.lit(True)), -raw_dy).otherwise(raw_dy)
-    dist = F.hypot(dx, dy)
-    ux, uy = P.guarded(dx, dist), P.guarded(dy, dist)
-    first = F.greatest(dist * near_far_ppm(cal, ox, oy) * 4.0, F.lit(8.0))
+    ca, sa, turned = cal["ca"], cal["sa"], placed(cal)
+    rows = df.withColumns(
+        {
+            "_rx": F.when(turned, wx * ca - wy * sa).otherwise(wx),
+            "_ry": F.when(turned, wx * sa + wy * ca).otherwise(wy),
+        }
+    )
+    flip = F.when(F.coalesce(cal["y_up"], F.lit(True)), F.lit(-1.0)).otherwise(F.lit(1.0))
+    rows = rows.withColumns({"_dx": F.col("_rx"), "_dy": flip * F.col("_ry"), "_d": F.hypot("_rx", "_ry"), "_ox": ox, "_oy": oy})
+    dist = F.col("_d")
+    rows = rows.withColumns({"_ux": P.guarded(F.col("_dx"), dist), "_uy": P.guarded(F.col("_dy"), dist)})
+    first = F.greatest(dist * cal["ppm_o"] * 4.0, F.lit(8.0))
 
     def halve(acc: Column, _i: Column) -> Column:
         mid = (acc["lo"] + acc["hi"]) * 0.5
-        short = mid * path_factor(cal, ox, oy, ox + ux * mid, oy + uy * mid) < dist
+        ppm = near_far_ppm(cal, F.col("_ox") + F.col("_ux") * mid, F.col("_oy") + F.col("_uy") * mid)
+        short = mid * log_mean(cal["ppm_o"], ppm) < dist
         return F.struct(F.when(short, mid).otherwise(acc["lo"]).alias("lo"), F.when(short, acc["hi"]).otherwise(mid).alias("hi"))
 
-    ends = F.aggregate(
-        F.sequence(F.lit(1), F.lit(rounds)), F.struct(F.lit(0.0).alias("lo"), first.alias("hi")), halve
-    )
-    along = (ends["lo"] + ends["hi"]) * 0.5
+    search = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(F.lit(0.0).alias("lo"), first.alias("hi")), halve)
+    rows = rows.withColumn("_e", F.when(is_mode(cal, "near_far") & (dist >= 1e-12), search))
+    along = F.coalesce((F.col("_e.lo") + F.col("_e.hi")) * 0.5, F.lit(0.0))
     ppm = F.coalesce(cal["ppm"], F.lit(1.0))
 
-    def flat(o: Column, unit: Column, d: Column) -> Column:
+    def flat(o: str, unit: str, d: str) -> Column:
         return (
-            F.when(is_mode(cal, "uniform"), o + d * ppm)
-            .when(is_mode(cal, "near_far"), F.when(dist < 1e-12, o).otherwise(o + unit * along))
-            .otherwise(o + d)
+            F.when(is_mode(cal, "uniform"), F.col(o) + F.col(d) * ppm)
+            .when(is_mode(cal, "near_far"), F.col(o) + F.coalesce(F.col(unit) * along, F.lit(0.0)))
+            .otherwise(F.col(o) + F.col(d))
         )
 
-    bx, by = _planar_base(cal)
-    wx = F.when(placed(cal), rx + bx).otherwise(x)
-    wy = F.when(placed(cal), ry + by).otherwise(y)
-    px, py = plane_to_pixel(cal, wx, wy)
-    planar = is_mode(cal, "planar")
-    return F.when(planar, px).otherwise(flat(ox, ux, dx)), F.when(planar, py).otherwise(flat(oy, uy, dy))
+    fx, fy = flat("_ox", "_ux", "_dx"), flat("_oy", "_uy", "_dy")
+    if planar:
+        base = [F.when(turned, cal[n]).otherwise(F.lit(0.0)) for n in ("base_x", "base_y")]
+        rows = rows.withColumns({"_bx": F.col("_rx") + base[0], "_by": F.col("_ry") + base[1]})
+        qx, qy = plane_to_pixel(cal, F.col("_bx"), F.col("_by"))
+        fx, fy = F.when(is_mode(cal, "planar"), qx).otherwise(fx), F.when(is_mode(cal, "planar"), qy).otherwise(fy)
+    rows = rows.withColumns({out[0]: fx, out[1]: fy})
+    return rows.drop("_rx", "_ry", "_dx", "_dy", "_d", "_ox", "_oy", "_ux", "_uy", "_e", "_bx", "_by")
 
 
 def plane_to_pixel(cal: Column, x: Column, y: Column) -> tuple[Column, Column]:
@@ -339,18 +379,24 @@ def plane_to_pixel(cal: Column, x: Column, y: Column) -> tuple[Column, Column]:
     return F.when(mx.isNull(), F.lit(0.0)).otherwise(u), F.when(mx.isNull(), F.lit(0.0)).otherwise(v)
 
 
-def display_xy(cal: Column, x: Column, y: Column) -> tuple[Column, Column]:
+def display_xy(df: DataFrame, x: str, y: str, out: tuple[str, str], *, planar: bool = True) -> DataFrame:
     """Analysis coordinates: mapped when calibrated or an origin is placed, else image y flipped."""
-    wx, wy = pixel_to_world(cal, x, y)
+    cal = F.col("cal")
+    rows = pixel_to_world(df, x, y, ("_wx", "_wy"), planar=planar)
     mapped = active(cal) | placed(cal)
     up = F.coalesce(cal["y_up"], F.lit(True))
-    return F.when(mapped, wx).otherwise(x), F.when(mapped, wy).when(up, -y).otherwise(y)
+    return rows.withColumns(
+        {
+            out[0]: F.when(mapped, F.col("_wx")).otherwise(F.col(x)),
+            out[1]: F.when(mapped, F.col("_wy")).when(up, -F.col(y)).otherwise(F.col(y)),
+        }
+    ).drop("_wx", "_wy")
 
 
-def measurement_source(cal: Column, x: Column, y: Column) -> Column:
+def measurement_source(cal: Column, beyond: Column) -> Column:
     return (
         F.when(~active(cal), "pixel")
-        .when(extrapolated(cal, x, y), "extrapolated")
+        .when(beyond, "extrapolated")
         .when(is_mode(cal, "planar"), "geometric")
         .otherwise("scaled")
     )

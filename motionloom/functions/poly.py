@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PIVOT = 1e-14
@@ -75,17 +75,23 @@ def format_coef(value: Column) -> Column:
     return F.regexp_replace(text, r"\.0$", "")
 
 
-def equation(name: str, coeffs: list[Column], r2: Column) -> Column:
-    """Readable equation; vanishing terms are left out, a unit factor is not written."""
-    body = F.lit("")
-    for power, c in enumerate(coeffs):
-        size = format_coef(F.abs(c))
-        if power == 0:
-            term = format_coef(c)
-        else:
-            var = "t" if power == 1 else f"t^{power}"
-            bare = F.when((size == "1") & ~((body == "") & (c < 0)), F.lit(var)).otherwise(F.concat(size, F.lit(f" {var}")))
-            lead = F.when(body == "", F.when(c < 0, "−").otherwise("")).otherwise(F.when(c < 0, " − ").otherwise(" + "))
-            term = F.concat(lead, bare)
-        body = F.when(F.abs(c) < 1e-12, body).otherwise(F.concat(body, term))
-    return F.concat(F.lit(f"{name} = "), F.when(body == "", "0").otherwise(body), F.format_string("    R²=%.3f", r2))
+def equation(df: DataFrame, name: str, degree: int, out: str = "equation") -> DataFrame:
+    """Add a readable equation of ``coeffs`` and ``r2``; vanishing terms are left out.
+
+    Coefficients and their texts are projected first, so neither is evaluated per use.
+    """
+    rows = df.withColumns({f"_c{i}": F.get("coeffs", F.lit(i)) for i in range(degree + 1)})
+    rows = rows.withColumns({f"_m{i}": format_coef(F.abs(F.col(f"_c{i}"))) for i in range(degree + 1)})
+    shown = [F.abs(F.col(f"_c{i}")) >= 1e-12 for i in range(degree + 1)]
+    minus = [F.col(f"_c{i}") < 0 for i in range(degree + 1)]
+    terms = [F.when(shown[0], F.concat(F.when(minus[0], "-").otherwise(""), F.col("_m0")))]
+    for i in range(1, degree + 1):
+        var = "t" if i == 1 else f"t^{i}"
+        first = ~F.greatest(*shown[:i]) if i > 1 else ~shown[0]
+        lead = F.when(first, F.when(minus[i], "−").otherwise("")).otherwise(F.when(minus[i], " − ").otherwise(" + "))
+        bare = (F.col(f"_m{i}") == "1") & ~(first & minus[i])
+        terms.append(F.when(shown[i], F.concat(lead, F.when(bare, var).otherwise(F.concat(F.col(f"_m{i}"), F.lit(f" {var}"))))))
+    body = F.concat_ws("", *terms)
+    rows = rows.withColumn(out, body)
+    text = F.concat(F.lit(f"{name} = "), F.when(F.col(out) == "", "0").otherwise(F.col(out)), F.format_string("    R²=%.3f", F.col("r2")))
+    return rows.withColumn(out, text).drop(*[f"_{p}{i}" for p in "cm" for i in range(degree + 1)])

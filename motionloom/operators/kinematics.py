@@ -35,9 +35,8 @@ def display_points(points: DataFrame, keys: Keys, calibration: DataFrame | None)
     if calibration is None:
         mapped = points.withColumns({"px": F.col("x"), "py": F.col("y"), "y": -F.col("y")})
     else:
-        joined = attach(points, calibration, keys)
-        wx, wy = cal_fn.display_xy(F.col("cal"), F.col("x"), F.col("y"))
-        mapped = joined.withColumns({"px": F.col("x"), "py": F.col("y"), "x": wx, "y": wy})
+        joined = attach(points, calibration, keys).withColumns({"px": F.col("x"), "py": F.col("y")})
+        mapped = cal_fn.display_xy(joined, "px", "py", ("x", "y"), planar=cal_fn.has_planar(calibration))
     shown = F.col("visible")
     return mapped.withColumns({"x": F.when(shown, F.col("x")), "y": F.when(shown, F.col("y"))})
 
@@ -119,14 +118,17 @@ def series(
     if calibration is not None:
         cal, px, py = F.col("cal"), F.col("px"), F.col("py")
         planar = cal_fn.is_mode(cal, "planar")
-        sx, sy = cal_fn.position_sigma(cal, px, py)
+        sx = sy = F.lit(None).cast("double")
+        with_plane = cal_fn.has_planar(calibration)
+        if with_plane:
+            sx, sy = cal_fn.position_sigma(cal, px, py, uv=(F.col("pu"), F.col("pv")))
+        moved = moved.withColumn("_extra", cal_fn.extrapolated(cal, px, py, with_plane))
         extra = {
-            "_extra": cal_fn.extrapolated(cal, px, py),
             "sigma_x": F.when(visible & planar, sx),
             "sigma_y": F.when(visible & planar, sy),
             "position_unit": cal_fn.position_unit(cal),
             "speed_unit": cal_fn.speed_unit(cal),
-            "source": F.when(visible, cal_fn.measurement_source(cal, px, py)).otherwise("pixel"),
+            "source": F.when(visible, cal_fn.measurement_source(cal, F.col("_extra"))).otherwise("pixel"),
         }
     else:
         extra = {

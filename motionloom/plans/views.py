@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,3 +114,52 @@ def calibration_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def calibrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cal_fn.solve(calibration_records(spark, sf_dir), KEY)
+
+
+def motion_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed-form motions, one clip per supplier: line, acceleration, fall, throw, swing, circle."""
+    k = F.col("clip_id")
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("clip_id"))
+    rows = suppliers.withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(59))))
+    t = F.col("frame") / 30.0
+    p = F.lit(1.0) + F.pmod(k, F.lit(7)) * 0.1
+    noise = (F.pmod(F.col("frame") * 7919 + k * 104729, F.lit(13)) - 6) * 0.01 * F.pmod(k, F.lit(3))
+    turn = F.lit(2.0 * math.pi) * t / (F.lit(0.5) + F.pmod(k, F.lit(5)) * 0.1)
+    kind = F.pmod(k, F.lit(6))
+    x = (
+        F.when(kind == 0, F.lit(40.0) + p * 90.0 * t)
+        .when(kind == 1, F.lit(40.0) + t * 30.0 + p * 60.0 * t * t)
+        .when(kind == 2, F.lit(160.0))
+        .when(kind == 3, F.lit(20.0) + p * 80.0 * t)
+        .when(kind == 4, F.lit(160.0) + p * 40.0 * F.sin(turn))
+        .otherwise(F.lit(160.0) + F.cos(turn) * 50.0)
+    )
+    y = (
+        F.when(kind == 0, F.lit(100.0) + t * 10.0)
+        .when(kind == 1, F.lit(100.0))
+        .when(kind == 2, F.lit(20.0) + p * 490.5 * t * t)
+        .when(kind == 3, F.lit(100.0) - t * 120.0 + t * t * 90.0)
+        .when(kind == 4, F.lit(100.0) + F.cos(turn * 2.0) * 3.0)
+        .otherwise(F.lit(90.0) + F.sin(turn) * 50.0)
+    )
+    tiled = tile_tracks(rows, KEY)
+    tile = ["tile"] if "tile" in tiled.columns else []
+    return tiled.select(
+        "clip_id", *tile, "frame", t.alias("time_s"), (x + noise).alias("x"), (y - noise).alias("y"),
+        (~((F.pmod(k, F.lit(4)) == 1) & (F.pmod(F.col("frame") + k, F.lit(23)) == 0))).alias("visible"),
+        (F.lit(0.7) + F.pmod(F.col("frame") * 31 + k, F.lit(30)) / 100.0).alias("confidence"),
+        F.lit(False).alias("manual"), F.lit(False).alias("interpolated"),
+    )
+
+
+def motion_calibrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers with an even key have a one-metre ruler of 100 pixels."""
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("clip_id")).filter("clip_id % 2 = 0")
+    xy = lambda v: F.struct(F.lit(float(v)).alias("x"), F.lit(0.0).alias("y"))
+    return cal_fn.solve(suppliers.withColumns(cal_fn.uniform_record(xy(0), xy(100), F.lit(1.0))), KEY, planar=False)
+
+
+def motion_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pendulum length of every third supplier."""
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").filter(F.pmod(k, F.lit(3)) != 0).select(k.alias("clip_id"), (F.lit(0.1) + F.pmod(k, F.lit(5)) * 0.05).alias("length_m"))
