@@ -7,26 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sequence import per_key
-from .tiling import is_tiled, parts
-
-BROADCAST_ROWS = 500_000
-
-
-def fits_broadcast(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    return dim.limit(max_rows + 1).count() <= max_rows
-
+from .tiling import is_tiled
 
 def attach(df: DataFrame, dim: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join a per-track record onto its points.
 
-    A counted small ``dim`` is broadcast. A larger one is joined on the same columns the points
-    are grouped by; for tiled tracks the record is first copied to each tile of its track, so a
+    Untiled points have no hot track and are grouped by the same key later, so a plain join on it
+    adds no exchange; the planner broadcasts ``dim`` where its measured size allows. For tiled
+    points the record is first copied to each tile of its track (a few rows per hot track), so a
     hot track stays spread over its tiles.
     """
     keys = list(keys)
-    if fits_broadcast(dim):
-        return df.join(F.broadcast(dim), keys, how)
     if not is_tiled(df):
         return df.join(dim, keys, how)
     tiles = df.select(*keys, "tile").distinct()

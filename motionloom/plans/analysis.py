@@ -87,10 +87,11 @@ def score_models(
     rows, best = best_runs(points, keys, calibration)
     facts = kin.track_summary(points, keys).select(*keys, "coverage", F.col("mean_confidence").alias("mean_conf"))
     best = best.filter(F.col("n") >= C.MIN_LINEAR_POINTS)
-    base = attach(best, facts, keys, "inner")
-    base = attach(base, calibration, keys) if calibration is not None else base.withColumn("cal", _empty_cal())
+    # from here on every table has one row per track: plain joins, no skew
+    base = best.join(facts, keys)
+    base = base.join(calibration, keys, "left") if calibration is not None else base.withColumn("cal", _empty_cal())
     if pendulum_length is not None:
-        base = attach(base, pendulum_length.select(*keys, "length_m"), keys)
+        base = base.join(pendulum_length.select(*keys, "length_m"), keys, "left")
     else:
         base = base.withColumn("length_m", _no())
     cal = F.col("cal")
@@ -103,8 +104,8 @@ def score_models(
             "acc_u": cal_fn.accel_unit(cal),
         }
     ).drop("cal")
-    base = attach(base, _swings(rows, best, keys), keys)
-    base = base.withColumns(_solutions({name: F.col(name) for name in base.columns}))
+    base = base.join(_swings(rows, best, keys), keys, "left")
+    base = _solve_models(base)
     models = F.array_compact(F.array(*_candidates({name: F.col(name) for name in base.columns}, period_hint)))
     scored = base.select(
         *keys, "n", "frame_start", "frame_end", "time_start_s", "time_end_s", "coverage", "mean_conf",
@@ -129,18 +130,24 @@ def _swings(rows: DataFrame, best: DataFrame, keys: list[str]) -> DataFrame:
     return swings.select(*keys, F.col("period_s").alias("p_T"), F.col("r2").alias("p_r2"), F.col("nrmse").alias("p_nrmse"))
 
 
-def _solutions(c: dict[str, Column]) -> dict[str, Column]:
-    """Coefficients, r2 and nrmse of every line and parabola."""
-    out: dict[str, Column] = {}
-    for q in ("x", "y", "s"):
-        tot = fit.total_spread(c, q)
-        span = c[f"{q}max"] - c[f"{q}min"]
-        for name, coef in (("l", fit.weighted_line(c, q)), ("q", fit.weighted_parabola(c, q))):
-            res = fit.residual(c, q, coef)
-            out[f"{q}{name}"] = F.array(*coef)
-            out[f"{q}{name}_r2"] = fit.r2_of(res, tot)
-            out[f"{q}{name}_nrmse"] = fit.nrmse_of(res, c["w0"], span)
-    return out
+def _solve_models(base: DataFrame) -> DataFrame:
+    """Coefficients, then r2 and nrmse, of every line and parabola."""
+    c = {name: F.col(name) for name in base.columns}
+    solved = {f"{q}l": F.array(*fit.weighted_line(c, q)) for q in ("x", "y", "s")}
+    # the parabola along x is not part of any model
+    solved |= {f"{q}q": F.array(*fit.weighted_parabola(c, q)) for q in ("y", "s")}
+    staged = base.withColumns(solved)
+    res = {}
+    for name in solved:
+        q, size = name[0], 3 if name[1] == "q" else 2
+        res[f"{name}_res"] = fit.residual(c, q, [F.get(name, F.lit(i)) for i in range(size)])
+    staged = staged.withColumns({**res, **{f"{q}_tot": fit.total_spread(c, q) for q in ("x", "y", "s")}})
+    out = {}
+    for name in solved:
+        q = name[0]
+        out[f"{name}_r2"] = fit.r2_of(F.col(f"{name}_res"), F.col(f"{q}_tot"))
+        out[f"{name}_nrmse"] = fit.nrmse_of(F.col(f"{name}_res"), c["w0"], c[f"{q}max"] - c[f"{q}min"])
+    return staged.withColumns(out)
 
 
 def _candidates(c: dict[str, Column], hint: bool) -> list[Column]:
@@ -308,7 +315,7 @@ def analyze(
     facts = kin.track_summary(points, keys).select(
         *keys, "n_visible", "coverage", F.col("mean_confidence").alias("mean_track_confidence")
     )
-    out = attach(facts, calibration, keys) if calibration is not None else facts.withColumn("cal", _empty_cal())
+    out = facts.join(calibration, keys, "left") if calibration is not None else facts.withColumn("cal", _empty_cal())
     cal = F.col("cal")
     out = out.withColumns(
         {
