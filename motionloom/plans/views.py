@@ -163,3 +163,147 @@ def motion_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pendulum length of every third supplier."""
     k = F.col("s_suppkey")
     return table(spark, sf_dir, "supplier").filter(F.pmod(k, F.lit(3)) != 0).select(k.alias("clip_id"), (F.lit(0.1) + F.pmod(k, F.lit(5)) * 0.05).alias("length_m"))
+
+
+# --- inputs of the timeline, scoring and report queries --------------------------------------
+
+
+def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets: microsecond pts, some missing, some empty."""
+    e = table(spark, sf_dir, "events")
+    i = F.col("event_id")
+    return e.select(
+        F.col("user_id").alias("clip_id"), "event_id",
+        F.when(i % 23 != 0, micros(F.col("ts"))).alias("pts"), (i % 19).alias("size"),
+    )
+
+
+def decoded_frames(points: DataFrame) -> DataFrame:
+    """Decoder timestamps with gaps and steps back."""
+    i = F.col("event_id")
+    return points.withColumn("pts", F.when(i % 5 != 0, F.col("frame") * 100 + (i % 7 - 3) * 60).cast("long"))
+
+
+def sparse_points(points: DataFrame) -> DataFrame:
+    return points.filter("event_id % 3 = 0")
+
+
+def clip_bounds(points: DataFrame) -> DataFrame:
+    last = points.groupBy("clip_id").agg(F.max("frame").alias("_m"))
+    c = F.col("clip_id")
+    return last.select("clip_id", (c % 3).cast("int").alias("start"), (F.col("_m") + c % 4).cast("int").alias("last"))
+
+
+def shake_offsets(points: DataFrame) -> DataFrame:
+    f, c = F.col("frame"), F.col("clip_id")
+    return points.filter(f < 20 + c % 40).select(
+        "clip_id", "frame", (((f * 7 + c) % 9 - 4) * 0.5).alias("dx"), (((f * 5 + c) % 7 - 3) * 0.25).alias("dy")
+    )
+
+
+def shake_anchors(points: DataFrame) -> DataFrame:
+    """Five anchors per frame that mostly move together; some are lost, some jump."""
+    i, k = F.col("event_id"), F.col("k")
+    tile = ["tile"] if "tile" in points.columns else []
+    rows = points.select("clip_id", *tile, "frame", "event_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
+    sx = F.when(F.col("frame") == 0, F.lit(0)).otherwise(i * 13 % 41 - 20)
+    sy = F.when(F.col("frame") == 0, F.lit(0)).otherwise(i * 7 % 23 - 11)
+    jump = F.when((F.col("frame") > 0) & (k >= 2 + i % 2) & (i % 3 == 0), F.lit(60)).otherwise(F.lit(0))
+    lost = ((i + k) % 6 == 0) & (F.col("frame") > 0) | ((F.col("frame") > 0) & (i % 31 == 0))
+    return rows.select(
+        "clip_id", *tile, "frame", "k",
+        F.when(~lost, (100 + k * 50 + sx + jump).cast("double")).alias("x"),
+        F.when(~lost, (80 + k * 30 + sy - jump).cast("double")).alias("y"),
+    )
+
+
+def pose_frames(spark: SparkSession, sf_dir: str, *, predicted: bool = False) -> DataFrame:
+    """Poses: one clip per label, one frame per vector, 17 keypoints placed by the vector."""
+    from ..constants import POSE_KEYPOINTS
+
+    v = F.col("vec_id")
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("clip_id"), v.cast("int").alias("frame"), "vec_id", "embedding")
+    if predicted:
+        rows = rows.filter(v % 13 != 0)
+    e = lambda j: F.get("embedding", F.lit(j)).cast("double")
+    points = []
+    for i, name in enumerate(POSE_KEYPOINTS):
+        x, y = F.lit(20.0 * i) + e(2 * i), F.lit(7.0 * (i % 4)) + e(2 * i + 1)
+        seen = ((v + i) % 9 != 0) & (v % 7 != 0)
+        if predicted:
+            off = ((v * 31 + i) % 7 - 3) * 0.5 + F.when((v + i) % 17 == 0, F.lit(9.0)).otherwise(F.lit(0.0))
+            x, y, seen = x + off, y - off, (v * 3 + i) % 11 != 0
+        points.append(F.struct(F.lit(name).alias("name"), x.alias("x"), y.alias("y"), seen.alias("visible")))
+    tiled = tile_tracks(rows.withColumn("keypoints", F.array(*points)), KEY)
+    return tiled.drop("embedding", "vec_id")
+
+
+def clip_difficulty(points: DataFrame) -> DataFrame:
+    c = F.col("clip_id")
+    return points.select("clip_id").distinct().withColumn("difficulty", F.when(c % 2 == 1, "hard").otherwise("normal"))
+
+
+def calibration_truth(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(ground truth, automatic result) of one calibration clip per customer."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer")
+    xy = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    truth = rows.select(
+        k.alias("clip_id"),
+        F.when(k % 2 == 1, "hard").otherwise("normal").alias("difficulty"),
+        xy(F.lit(40), F.lit(140)).alias("ruler_a"), xy(200 + k % 10, F.lit(140)).alias("ruler_b"),
+        F.lit(0.8).alias("length_m"), xy(F.lit(40), F.lit(140)).alias("gt_origin"),
+        (k % 360).cast("double").alias("gt_axis_angle_deg"), (k % 11 != 0).alias("has_reliable_ruler"),
+    )
+    found = rows.select(
+        k.alias("clip_id"),
+        F.when(k % 13 != 0, (200.0 + k % 10) * (1.0 + (k % 7 - 3) * 0.004)).alias("pixels_per_meter"),
+        F.when(k % 17 != 0, 40.0 + (k % 9) * 0.5).alias("origin_x"), F.lit(141.0).alias("origin_y"),
+        F.when(k % 19 != 0, (k % 360) * 1.0 + (k % 5 - 2) * 0.75 + F.when(k % 3 == 0, F.lit(360.0)).otherwise(F.lit(0.0))).alias("axis_angle"),
+        (k % 22 == 0).alias("rejected"),
+        F.when(k % 33 == 0, "no_ruler").when(k % 44 == 0, "low_confidence").otherwise("none").alias("failure_reason"),
+    )
+    return truth, found
+
+
+def physics_truth(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(ground truth, derived quantities) of one physics clip per customer."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer")
+    d = lambda v: v.cast("double")
+    truth = rows.select(
+        k.alias("clip_id"),
+        F.when(k % 3 == 0, F.lit(1.2)).alias("period_s"), F.when(k % 2 == 0, F.lit(9.81)).alias("gravity_ms2"),
+        F.when(k % 5 != 0, d(k % 4)).alias("velocity_ms"), F.when(k % 5 == 0, F.lit(1.2)).alias("acceleration_ms2"),
+    )
+    found = rows.select(
+        k.alias("clip_id"),
+        F.when(k % 7 != 0, 1.2 + (k % 9 - 4) * 0.01).alias("period_s"),
+        F.when(k % 4 != 1, 9.81 + (k % 13 - 6) * 0.11).alias("gravity_ms2"),
+        (d(k % 4) + (k % 11 - 5) * 0.02).alias("velocity_ms"), F.lit(1.25).alias("acceleration_ms2"),
+        F.when(k % 8 != 0, (k % 12) * 0.006).alias("trajectory_fit_error"),
+    )
+    return truth, found
+
+
+def doc_reports(spark: SparkSession, sf_dir: str, *, baseline: bool = False) -> DataFrame:
+    """Clip reports derived from document sizes; the baseline differs by a fixed rule."""
+    i, n = F.col("doc_id"), F.col("n_chars")
+    docs = table(spark, sf_dir, "documents")
+    shift = (i % 7 - 3) * 0.05 if baseline else F.lit(0.0)
+    rows = docs.filter(i % 10 != 9) if baseline else docs
+    value = {
+        "center_median_px": ((n % 50) / 10.0 + shift, 3.0, False),
+        "success_at_10px": (F.least(F.lit(1.0), (n % 20) / 19.0 + shift), 0.95, True),
+        "drift_tail_mean_px": (F.when(i % 4 != 0, (n % 30) / 7.0), None, False),
+        "identity_swaps": ((n % 3) * 1.0, 1.0, False),
+    }
+    items = []
+    for name, (v, limit, up) in value.items():
+        lim = F.lit(limit).cast("double")
+        ok = F.when(v.isNotNull() & lim.isNotNull(), (v >= lim) if up else (v <= lim))
+        items.append(F.struct(F.lit(name).alias("name"), v.cast("double").alias("value"), lim.alias("threshold"), F.lit(up).alias("higher_is_better"), ok.alias("passed")))
+    error = F.when(i % 37 == 0, "decode failed") if not baseline else F.when(i % 41 == 0, "decode failed")
+    out = rows.select(F.col("doc_id").alias("clip_id"), F.array(*items).alias("metrics"), error.alias("error"), (0.2 + (i % 11) * 0.1 + (F.lit(0.0) if baseline else (i % 5) * 0.06)).alias("elapsed_s"))
+    passed = F.col("error").isNull() & F.forall("metrics", lambda m: F.coalesce(m["passed"], F.lit(True)))
+    return out.withColumn("passed", passed).withColumn("metrics", F.when(F.col("error").isNull(), F.col("metrics")))
