@@ -91,8 +91,8 @@ def calibration_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     quad = F.array(xy(0, 0), xy(100 + u % 20, 5), xy(95 + u % 10, 110), xy(5, 100 + u % 9))
     placed = u % 3 == 0
     lens = F.struct(
-        F.lit(640).alias("width"), F.lit(480).alias("height"), F.lit(800.0).alias("fx"), F.lit(820.0).alias("fy"),
-        F.lit(None).cast("double").alias("cx"), F.lit(240.0).alias("cy"), F.lit(-0.1).alias("k1"), F.lit(0.01).alias("k2"),
+        F.lit(320).alias("width"), F.lit(240).alias("height"), F.lit(400.0).alias("fx"), F.lit(410.0).alias("fy"),
+        F.lit(None).cast("double").alias("cx"), F.lit(120.0).alias("cy"), F.lit(-0.1).alias("k1"), F.lit(0.01).alias("k2"),
         F.lit(0.001).alias("p1"), F.lit(-0.002).alias("p2"), F.lit(0.0).alias("k3"),
     )
     return users.select(
@@ -307,3 +307,9 @@ def doc_reports(spark: SparkSession, sf_dir: str, *, baseline: bool = False) ->
     out = rows.select(F.col("doc_id").alias("clip_id"), F.array(*items).alias("metrics"), error.alias("error"), (0.2 + (i % 11) * 0.1 + (F.lit(0.0) if baseline else (i % 5) * 0.06)).alias("elapsed_s"))
     passed = F.col("error").isNull() & F.forall("metrics", lambda m: F.coalesce(m["passed"], F.lit(True)))
     return out.withColumn("passed", passed).withColumn("metrics", F.when(F.col("error").isNull(), F.col("metrics")))
+
+
+def depth_readings(points: DataFrame) -> DataFrame:
+    i = F.col("event_id")
+    res = (i % 50) / 1000.0
+    return points.filter(i % 8 == 0).select("clip_id", "frame", res.alias("residual_m"), F.when(res > 0.03, "off_plane").otherwise("ok").alias("flag"))
