@@ -258,14 +258,19 @@ def position_sigma(cal: Column, x: Column, y: Column, pixel_sigma: Column | floa
     return F.when(planar, sx).otherwise(F.lit(0.0)), F.when(planar, sy).otherwise(F.lit(0.0))
 
 
-def ppm_at(cal: Column, x: Column, y: Column) -> Column:
-    sx, sy = position_sigma(cal, x, y, 1.0)
-    metres = F.hypot(sx, sy)
-    return (
-        F.when(is_mode(cal, "planar"), F.when(metres > 1e-12, F.lit(1.0) / metres))
+def ppm_at(df: DataFrame, x: str, y: str, out: str) -> DataFrame:
+    """Add the local scale at image point (x, y); null where there is none."""
+    cal, px, py = F.col("cal"), F.col(x), F.col(y)
+    u, v = undistorted(cal, px, py)
+    rows = df.withColumns({"_u": u, "_v": v})
+    sx, sy = position_sigma(cal, px, py, 1.0, uv=(F.col("_u"), F.col("_v")))
+    rows = rows.withColumn("_m", F.hypot(sx, sy))
+    scale = (
+        F.when(is_mode(cal, "planar"), F.when(F.col("_m") > 1e-12, F.lit(1.0) / F.col("_m")))
         .when(is_mode(cal, "uniform"), cal["ppm"])
-        .when(is_mode(cal, "near_far"), near_far_ppm(cal, x, y))
+        .when(is_mode(cal, "near_far"), near_far_ppm(cal, px, py))
     )
+    return rows.withColumn(out, scale).drop("_u", "_v", "_m")
 
 
 def extrapolated(cal: Column, x: Column, y: Column, planar: bool = True) -> Column:
@@ -429,18 +434,19 @@ def grid_lines(cal: Column, nx: int = 4, ny: int = 4) -> Column:
     w, h = F.greatest(cal["width_m"], F.lit(1e-9)), F.greatest(cal["height_m"], F.lit(1e-9))
     zero = F.lit(0.0)
 
-    def segment(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
+    def ends(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+        mapped = [*P.apply_h(cal["hi"], x0, y0), *P.apply_h(cal["hi"], x1, y1)]
+        return F.struct(*[F.coalesce(m, F.lit(0.0)).alias(n) for m, n in zip(mapped, ("x0", "y0", "x1", "y1"))])
+
+    upright = F.transform(F.sequence(F.lit(0), F.lit(nx)), lambda i: ends(w * i / nx, zero, w * i / nx, h))
+    level = F.transform(F.sequence(F.lit(0), F.lit(ny)), lambda j: ends(zero, h * j / ny, w, h * j / ny))
+
+    def bent(s: Column) -> Column:
+        a, b = P.distort(s["x0"], s["y0"], cal["camera"]), P.distort(s["x1"], s["y1"], cal["camera"])
         return F.struct(a[0].alias("x0"), a[1].alias("y0"), b[0].alias("x1"), b[1].alias("y1"))
 
-    upright = F.transform(
-        F.sequence(F.lit(0), F.lit(nx)),
-        lambda i: segment(plane_to_pixel(cal, w * i / nx, zero), plane_to_pixel(cal, w * i / nx, h)),
-    )
-    level = F.transform(
-        F.sequence(F.lit(0), F.lit(ny)),
-        lambda j: segment(plane_to_pixel(cal, zero, h * j / ny), plane_to_pixel(cal, w, h * j / ny)),
-    )
-    return F.when(is_mode(cal, "planar"), F.concat(upright, level)).otherwise(F.slice(upright, 1, 0))
+    lines = F.transform(F.concat(upright, level), bent)
+    return F.when(is_mode(cal, "planar"), lines).otherwise(F.slice(lines, 1, 0))
 
 
 def migrate_for_shake(dim: DataFrame, dx: Column, dy: Column, invalidate_px: float = 8.0) -> DataFrame:

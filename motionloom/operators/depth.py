@@ -43,36 +43,36 @@ def select_audit_frames(points: DataFrame, keys: Keys, stride: int = C.AUDIT_STR
     return rows.filter(chosen).drop("_a", "_z")
 
 
-def robust_center_depth(depth: Column, width: Column | int, height: Column | int, x: Column, y: Column, radius: int = 4) -> Column:
-    """Median of the middle 60 % of valid depths around a pixel of a row-major depth array.
+def robust_center_depth(df: DataFrame, depth: str, width: int, height: int, x: Column, y: Column, out: str, radius: int = 4) -> DataFrame:
+    """Add the median of the middle 60 % of valid depths around a pixel of a row-major map.
 
-    The patch has at most (2 radius + 1)^2 values. Null outside the map or with under three values.
+    The patch has at most (2 radius + 1)^2 values. Null outside the map or with under three valid
+    ones. The steps are separate projections, so the patch is built once.
     """
-    w = width if isinstance(width, Column) else F.lit(width)
-    h = height if isinstance(height, Column) else F.lit(height)
-    cx, cy = F.rint(x).cast("int"), F.rint(y).cast("int")
-    inside = (cx >= 0) & (cx < w) & (cy >= 0) & (cy < h)
-    columns = F.sequence(F.greatest(cx - radius, F.lit(0)), F.least(cx + radius, w - 1))
-    lines = F.sequence(F.greatest(cy - radius, F.lit(0)), F.least(cy + radius, h - 1))
-    cells = F.flatten(F.transform(lines, lambda r: F.transform(columns, lambda c: F.get(depth, r * w + c).cast("double"))))
-    valid = F.array_sort(F.filter(cells, lambda z: z.isNotNull() & ~F.isnan(z) & (z > 1e-4) & (z < float("inf"))))
-    return F.when(inside, F.when(F.size(valid) >= 3, _core_median(valid)))
+    rows = df.withColumns({"_cx": F.rint(x).cast("int"), "_cy": F.rint(y).cast("int")})
+    cx, cy = F.col("_cx"), F.col("_cy")
+    inside = (cx >= 0) & (cx < width) & (cy >= 0) & (cy < height)
+    columns = F.sequence(F.greatest(cx - radius, F.lit(0)), F.least(cx + radius, F.lit(width - 1)))
+    lines = F.sequence(F.greatest(cy - radius, F.lit(0)), F.least(cy + radius, F.lit(height - 1)))
+    cells = F.flatten(F.transform(lines, lambda r: F.transform(columns, lambda c: F.get(depth, r * width + c).cast("double"))))
+    rows = rows.withColumn("_p", F.when(inside, cells))
+    valid = F.array_sort(F.filter("_p", lambda z: z.isNotNull() & ~F.isnan(z) & (z > 1e-4) & (z < float("inf"))))
+    rows = rows.withColumn("_p", valid)
+    rows = rows.withColumn("_p", F.when(F.size("_p") >= 3, F.col("_p")))
+    top = F.size("_p") - 1
+    rows = rows.withColumns({"_lo": _at(F.col("_p"), top * 0.2), "_hi": _at(F.col("_p"), top * 0.8)})
+    rows = rows.withColumn("_q", F.filter("_p", lambda z: (z >= F.col("_lo")) & (z <= F.col("_hi"))))
+    rows = rows.withColumn("_q", F.when(F.size("_q") > 0, F.col("_q")).otherwise(F.col("_p")))
+    return rows.withColumn(out, _at(F.col("_q"), (F.size("_q") - 1) * 0.5)).drop("_cx", "_cy", "_p", "_lo", "_hi", "_q")
 
 
 def _at(ordered: Column, position: Column) -> Column:
+    """Linear interpolation at a fractional position of a sorted array."""
     low = F.floor(position).cast("int")
     a, b = F.get(ordered, low), F.get(ordered, F.least(low + 1, F.size(ordered) - 1))
     return a + (b - a) * (position - low)
 
 
-def _core_median(ordered: Column) -> Column:
-    top = F.size(ordered) - 1
-    lo, hi = _at(ordered, top * 0.2), _at(ordered, top * 0.8)
-    core = F.filter(ordered, lambda z: (z >= lo) & (z <= hi))
-    kept = F.when(F.size(core) > 0, core).otherwise(ordered)
-    return _at(kept, (F.size(kept) - 1) * 0.5)
-
-
 def audit_track(
     points: DataFrame,
     posed: DataFrame,

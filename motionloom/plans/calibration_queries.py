@@ -132,7 +132,7 @@ SIGMA = [
 )
 def pixels_per_meter(spark, sf_dir):
     points = attach(V.event_points(spark, sf_dir), V.calibrations(spark, sf_dir), KEY)
-    return points.select("clip_id", "frame", r(cal_fn.ppm_at(F.col("cal"), F.col("x"), F.col("y")), 4).alias("ppm"))
+    return cal_fn.ppm_at(points, "x", "y", "ppm").select("clip_id", "frame", r("ppm", 4).alias("ppm"))
 
 
 def _edge(i: int) -> str:
@@ -260,8 +260,8 @@ def audit_frames(spark, sf_dir):
 def robust_center_depth(spark, sf_dir):
     v = F.col("vec_id")
     e = V.table(spark, sf_dir, "embeddings").withColumn("map", F.transform("embedding", lambda z: F.abs(z.cast("double")) * 10))
-    depth = D.robust_center_depth(F.col("map"), 8, 8, (v % 8).cast("double"), (F.floor(v / 8) % 8).cast("double"))
-    return e.select("vec_id", r(depth).alias("depth"))
+    rows = D.robust_center_depth(e, "map", 8, 8, (v % 8).cast("double"), (F.floor(v / 8) % 8).cast("double"), "depth")
+    return rows.select("vec_id", r("depth").alias("depth"))
 
 
 @register(

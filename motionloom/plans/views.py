@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import calibration as cal_fn
 from ..operators.sequence import per_key, running_sum
 from ..operators.tiling import hot_keys, number_rows, tile_tracks
+from ..session import cut_lineage
 
 KEY = ["clip_id"]
 
@@ -113,7 +114,8 @@ def calibration_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calibrations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cal_fn.solve(calibration_records(spark, sf_dir), KEY)
+    # solved once and stored: points then join plain columns, not the solution's expressions
+    return cut_lineage(cal_fn.solve(calibration_records(spark, sf_dir), KEY))
 
 
 def motion_points(spark: SparkSession, sf_dir: str) -> DataFrame:
