@@ -41,7 +41,8 @@ def snap_angle(angle_deg: Column) -> Column:
 
 
 def pointer_angle(ox: Column, oy: Column, x: Column, y: Column, y_up: Column) -> Column:
-    dy = F.when(y_up, oy - y).otherwise(y - oy)
+    # negating keeps the signed zero, so a point level with the origin on its left reads -180
+    dy = F.when(y_up, -(y - oy)).otherwise(y - oy)
     return F.degrees(F.atan2(dy, x - ox))
 
 
