@@ -14,6 +14,8 @@ from ..functions import calibration as cal_fn
 from ..operators import fitting as fit
 from ..operators import kinematics as kin
 from ..operators.joins import attach
+from ..operators.tiling import is_tiled
+from ..session import cut_lineage
 
 Keys = Sequence[str]
 
@@ -67,6 +69,8 @@ def best_runs(points: DataFrame, keys: Keys, calibration: DataFrame | None) -> t
     if calibration is None:
         shown = shown.withColumn("cal", F.lit(None))
     rows = fit.with_run_frame(kin.runs(shown.drop("cal"), keys), keys)
+    if is_tiled(rows):
+        rows = cut_lineage(rows)  # split tracks read these rows several times
     sums = fit.run_sums(rows, keys)
     return rows, kin.longest_run(sums, keys)
 
@@ -126,6 +130,8 @@ def _swings(rows: DataFrame, best: DataFrame, keys: list[str]) -> DataFrame:
     )
     able = best.filter((F.col("n") >= C.MIN_PENDULUM_POINTS) & ~orbit).select(*keys, F.col("run_id").alias("_run"))
     long = attach(rows, able, keys, "inner").filter("run_id = _run")
+    if is_tiled(rows):
+        long = cut_lineage(long)
     swings = fit.harmonic_fit(long, fit.periods(long, keys), keys)
     return swings.select(*keys, F.col("period_s").alias("p_T"), F.col("r2").alias("p_r2"), F.col("nrmse").alias("p_nrmse"))
 
