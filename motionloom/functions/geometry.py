@@ -41,9 +41,10 @@ def snap_angle(angle_deg: Column) -> Column:
 
 
 def pointer_angle(ox: Column, oy: Column, x: Column, y: Column, y_up: Column) -> Column:
-    # negating keeps the signed zero, so a point level with the origin on its left reads -180
-    dy = F.when(y_up, -(y - oy)).otherwise(y - oy)
-    return F.degrees(F.atan2(dy, x - ox))
+    dy = F.when(y_up, oy - y).otherwise(y - oy)
+    # with y up, a point level with the origin on its left reads -180
+    level = y_up & (y == oy) & (x < ox)
+    return F.when(level, F.lit(-180.0)).otherwise(F.degrees(F.atan2(dy, x - ox)))
 
 
 def axis_arms(ox: Column, oy: Column, length: Num, angle_deg: Column, y_up: Column) -> Column:

@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 
 
 def frames(spark: SparkSession, clip_id: str, n: int, fps: float) -> DataFrame:
-    return spark.range(n).select(F.lit(clip_id).alias("clip_id"), F.col("id").cast("int").alias("frame"), (F.col("id") / fps).alias("time_s"))
+    """Frame times as a frame index gives them (whole milliseconds); ``t`` is exact."""
+    exact = F.col("id") / F.lit(float(fps))
+    return spark.range(n).select(
+        F.lit(clip_id).alias("clip_id"), F.col("id").cast("int").alias("frame"), (F.bround(exact * 1000.0) / 1000.0).alias("time_s"), exact.alias("t")
+    )
 
 
 def clip(spark: SparkSession, clip_id: str, n: int, fps: float, x, y, hidden: Column | None = None) -> DataFrame:
     """Track whose position is given by functions of time (seconds)."""
     rows = frames(spark, clip_id, n, fps)
-    t = F.col("time_s")
+    t = F.col("t")
     as_col = lambda v: v if isinstance(v, Column) else F.lit(float(v))
     return rows.select(
         "clip_id", "frame", "time_s", as_col(x(t)).alias("x"), as_col(y(t)).alias("y"),
