@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # words that must not leave the machine inside a shared context
-FORBIDDEN = ("api_key", "authorization", "deepseek_api_key", "sk-")
+FORBIDDEN = ("api_key", "authorization", "sk-")
 
 
 def version(tag: Column) -> Column:
