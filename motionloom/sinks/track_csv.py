@@ -48,7 +48,7 @@ def write_track_csv(samples: DataFrame, path: str, keys: Sequence[str] = ("clip_
     for unit in ("px", "m"):
         part = rows.filter(F.col("unit") == unit).drop("unit").withColumnsRenamed(headers(unit))
         ordered = part.repartitionByRange(*keys, "frame").sortWithinPartitions(*keys, "frame")
-        writer = ordered.write.mode("overwrite").option("header", True)
+        writer = ordered.write.mode("overwrite").option("header", True).option("emptyValue", "")
         if files_per_clip:
             writer = writer.partitionBy(*keys)
         writer.csv(f"{path}/unit={unit}")
