@@ -1,11 +1,18 @@
-"""Session settings and the one place that decides where lineage is cut."""
+"""Session settings, the folder shared by all executors, and the code that workers import."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+PACKAGE = Path(__file__).resolve().parent
+_shipped: set[str] = set()
+
 
 def build_session(app: str = "motionloom", master: str | None = None, **conf) -> SparkSession:
     """Session with adaptive execution; cluster sizing stays with spark-submit."""
@@ -23,14 +30,46 @@ def build_session(app: str = "motionloom", master: str | None = None, **conf) ->
     settings.update({key.replace("_", "."): str(value) for key, value in conf.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the folder the cluster names; a temporary one only where none is set."""
-    spark = df.sparkSession
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    archive = os.path.join(tempfile.mkdtemp(prefix="motionloom-code-"), "motionloom.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(PACKAGE.rglob("*.py")):
+            out.write(path, path.relative_to(PACKAGE.parent))
+    context.addPyFile(archive)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one only in local mode."""
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="motionloom-ckpt-")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="motionloom-ckpt-"))
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint to the folder the cluster names; a temporary one only in local mode."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written once as Parquet in the shared folder and read from there."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/motionloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
