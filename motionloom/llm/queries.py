@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, url_filter
+from . import chat, decontaminate, fingerprint, line_dedup, secrets, url_filter
 from .shared import inline_rows, table, text_digest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,38 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = line_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return clean.select("doc_id", "n_lines", "n_removed", text_digest(F.coalesce("text", F.lit(""))).alias("clean_sha256"))
+
+
+@register(
+    "op9_decontamination",
+    r"""
+    WITH d AS (SELECT row_number() OVER () AS row, doc_id,
+                      list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM documents),
+    i AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM benchmark),
+    p AS (SELECT DISTINCT item_id, least(len(words), 13) AS size, array_to_string(words[s + 1 : s + 13], ' ') AS body
+          FROM (SELECT *, unnest(range(0, greatest(len(words) - 12, 1))) AS s FROM i WHERE len(words) > 0)),
+    z AS (SELECT DISTINCT size FROM p),
+    w AS (SELECT row, s, size, array_to_string(words[s + 1 : s + size], ' ') AS body FROM (SELECT d.*, size, unnest(range(0, len(words) - size + 1)) AS s FROM d, z)),
+    h AS (SELECT row, item_id, s, w.size FROM w JOIN p USING (size, body)),
+    n AS (SELECT row, count(DISTINCT pos) AS n_hit FROM (SELECT row, unnest(range(s, s + size)) AS pos FROM h) GROUP BY row),
+    k AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item_id::VARCHAR AS item FROM h) GROUP BY row)
+    SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+    FROM d LEFT JOIN n USING (row) LEFT JOIN k USING (row)
+    """,
+)
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op4_secret_scans")
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL side: the spans column also holds those of the fitted model."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.report(secrets.scan(docs, secrets.train(docs)))
+
+
+@register("op8_document_fingerprints")
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL side: DuckDB has not this hash."""
+    return fingerprint.compare_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
