@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprint, line_dedup, secrets, url_filter
+from . import chat, decontaminate, fingerprint, line_dedup, lm_score, packing, secrets, toxicity, url_filter
 from .shared import inline_rows, table, text_digest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,24 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No SQL side: DuckDB has not this hash."""
     return fingerprint.compare_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register("op7_best_fit_packing")
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL side: DuckDB has no tokenizer."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@register("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL side: the weights are learned."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    score = F.col("toxicity")
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), F.when(score >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+@register("op10_lm_scoring")
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bigram scores of every document by the rest of the corpus; no SQL side at whole size."""
+    return lm_score.score(table(spark, sf_dir, "documents"))
