@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprint, line_dedup, lm_score, packing, secrets, toxicity, url_filter
+from . import chat, decontaminate, fingerprint, line_dedup, lm_score, near_dup, packing, secrets, toxicity, url_filter
 from .shared import inline_rows, table, text_digest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bigram scores of every document by the rest of the corpus; no SQL side at whole size."""
     return lm_score.score(table(spark, sf_dir, "documents"))
+
+
+@register("op1_minhash_near_dedup")
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL side: all pairs are too slow on whole tables."""
+    return near_dup.classes(table(spark, sf_dir, "documents"), k=4)
