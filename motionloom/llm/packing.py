@@ -77,22 +77,33 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, voca
 
 
 def full_patterns(counts: np.ndarray) -> np.ndarray:
-    """Rows (a, b, c), a >= b >= c, c = 0 for pairs, that sum to the capacity and whose lengths occur."""
+    """Rows (a, b, c), a >= b >= c, that sum to the capacity and whose lengths occur.
+
+    All pairs (c = 0), and the triples with b or c on a grid of sixteenths: fewer patterns get
+    higher repeat counts, which lose less when rounded.
+    """
     capacity = len(counts) - 1
+    grid = max(1, capacity // 16)
     a, b = np.meshgrid(np.arange(1, capacity), np.arange(1, capacity), indexing="ij")
     c = capacity - a - b
-    fits = (a >= b) & (b >= c) & (c >= 0)
+    fits = (a >= b) & (b >= c) & (c >= 0) & ((b % grid == 0) | (c % grid == 0))
     found = np.stack([a[fits], b[fits], c[fits]], axis=1)
     there = counts > 0
     there[0] = True
-    return found[there[found].all(axis=1)]
+    found = found[there[found].all(axis=1)]
+    return found[np.lexsort((-found[:, 1], -found[:, 0]))]
 
 
 def repeats(patterns: np.ndarray, counts: np.ndarray, steps: int = 300) -> np.ndarray:
-    """Non-negative repeat counts, least squares against the histogram (accelerated projected gradient)."""
+    """Non-negative repeat counts, least squares against the histogram (accelerated projected gradient).
+
+    Errors weigh by length: long pieces left over would cost a sequence each, short ones still fit
+    somewhere.
+    """
     size = len(counts)
-    cover = lambda x: sum(np.bincount(patterns[:, k], weights=x, minlength=size) for k in range(3)) * (np.arange(size) > 0)
-    pull = lambda r: r[patterns].sum(axis=1)
+    weight = np.arange(size) / size
+    cover = lambda x: sum(np.bincount(patterns[:, k], weights=x, minlength=size) for k in range(3))
+    pull = lambda r: (weight * r)[patterns].sum(axis=1)
     v = np.ones(len(patterns))
     for _ in range(20):
         v = pull(cover(v))
@@ -101,7 +112,7 @@ def repeats(patterns: np.ndarray, counts: np.ndarray, steps: int = 300) -> np.nd
     x = y = np.zeros(len(patterns))
     t = 1.0
     for _ in range(steps):
-        step = np.maximum(0, y - pull(cover(y) - counts * (np.arange(size) > 0)) / norm)
+        step = np.maximum(0, y - pull(cover(y) - counts) / norm)
         t, last = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         x, y = step, step + (last - 1) / t * (step - x)
     return x
