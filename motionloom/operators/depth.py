@@ -18,10 +18,8 @@ Keys = Sequence[str]
 
 def with_pose(solved: DataFrame, keys: Keys) -> DataFrame:
     """Add ``pose`` to planar records; a calibration-table step."""
-    cam = F.col("cal.camera")
-    lens = F.struct(*[cam[n].cast("double").alias(n) for n in ("fx", "fy", "cx", "cy", "width", "height")])
-    pose = P.plane_pose(F.col("cal.hi"), lens)
-    return solved.withColumn("pose", F.when(cal_fn.is_mode(F.col("cal"), "planar"), pose))
+    posed = P.with_plane_pose(solved, F.col("cal.hi"), F.col("cal.camera"), "pose")
+    return posed.withColumn("pose", F.when(cal_fn.is_mode(F.col("cal"), "planar"), F.col("pose")))
 
 
 def expected_depth(points: DataFrame, posed: DataFrame, keys: Keys) -> DataFrame:

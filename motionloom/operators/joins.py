@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tiling import is_tiled
+from .tiling import SPLIT, is_tiled
 
 def attach(df: DataFrame, dim: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join a per-track record onto its points.
@@ -102,24 +102,16 @@ def nearest_in_time(samples: DataFrame, cursors: DataFrame, keys: Sequence[str])
     ``cursors`` has (keys, cursor_id, at_s). Samples and cursors are one ordered stream: the last
     sample at or before a cursor and the first one after it are the only candidates.
     """
-    from .sequence import carry
+    from .sequence import carry, file_marks
 
     keys = list(keys)
     tile = ["tile"] if is_tiled(samples) else []
     point = F.struct(F.col("time_s").alias("t"), F.col("frame").alias("frame"))
     rows = samples.select(*keys, *tile, F.col("time_s").alias("_at"), F.col("frame").cast("long").alias("_k"), point.alias("_s"), F.lit(None).cast("long").alias("cursor_id"))
-    marks = cursors.select(*keys, *[F.lit(-1).alias("tile") for _ in tile], F.col("at_s").alias("_at"), F.lit(None).cast("long").alias("_k"), F.lit(None).cast(rows.schema["_s"].dataType).alias("_s"), F.col("cursor_id").cast("long"))
+    marks = cursors.select(*keys, F.col("at_s").alias("_at"), F.lit(None).cast("long").alias("_k"), F.lit(None).cast(rows.schema["_s"].dataType).alias("_s"), F.col("cursor_id").cast("long"))
     if tile:
-        # a cursor of a hot track goes to the last tile that starts at or before it
-        starts = samples.filter("tile >= 0").groupBy(*keys, "tile").agg(F.min("time_s").alias("_start"))
-        placed = (
-            marks.drop("tile")
-            .join(starts, keys, "left")
-            .filter(F.col("_start").isNull() | (F.col("_start") <= F.col("_at")))
-            .groupBy(*keys, "cursor_id", "_at", "_k", "_s")
-            .agg(F.coalesce(F.max("tile"), F.lit(-1)).alias("tile"))
-        )
-        marks = placed.select(*rows.columns)
+        starts = samples.filter(SPLIT).groupBy(*keys, "tile").agg(F.min("time_s").alias("_at"))
+        marks = file_marks(marks, keys, starts)
     stream = rows.unionByName(marks).withColumn("_ord", F.struct("_at", F.col("cursor_id").isNotNull(), F.coalesce("cursor_id", "_k")))
     prev = carry(stream, keys, "_ord", {"_prev": F.col("_s")}, forward=True)
     both = carry(prev, keys, "_ord", {"_next": F.col("_s")}, forward=False)

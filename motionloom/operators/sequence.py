@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .tiling import is_tiled, parts
+from .tiling import COLD_TILE, SPLIT, is_tiled, parts
 
 Keys = Sequence[str]
 
@@ -25,7 +25,7 @@ def running_max(df: DataFrame, keys: Keys, order: str | Sequence[str], values: M
     local = {name: F.max(value).over(w) for name, value in values.items()}
     if not is_tiled(df):
         return df.withColumns(local)
-    tops = df.filter("tile >= 0").groupBy(*group).agg(*[F.max(value).alias(f"_t_{name}") for name, value in values.items()])
+    tops = df.filter(SPLIT).groupBy(*group).agg(*[F.max(value).alias(f"_t_{name}") for name, value in values.items()])
     earlier = W.partitionBy(*keys).orderBy("tile").rowsBetween(W.unboundedPreceding, -1)
     carried = tops.select(*group, *[F.max(f"_t_{name}").over(earlier).alias(f"_c_{name}") for name in values])
     joined = df.withColumns(local).join(carried, group, "left")
@@ -43,7 +43,7 @@ def running_sum(
     local = {name: F.coalesce(F.sum(value).over(w), F.lit(0)) for name, value in values.items()}
     if not is_tiled(df):
         return df.withColumns(local)
-    totals = df.filter("tile >= 0").groupBy(*group).agg(
+    totals = df.filter(SPLIT).groupBy(*group).agg(
         *[F.sum(value).alias(f"_t_{name}") for name, value in values.items()]
     )
     earlier = W.partitionBy(*keys).orderBy("tile").rowsBetween(W.unboundedPreceding, -1)
@@ -73,7 +73,7 @@ def carry(
     if not is_tiled(df):
         return df.withColumns(local)
     pick = F.max_by if forward else F.min_by
-    edges = df.filter("tile >= 0").groupBy(*group).agg(
+    edges = df.filter(SPLIT).groupBy(*group).agg(
         *[
             pick(value, F.when(value.isNotNull(), F.col(order))).alias(f"_e_{name}")
             for name, value in values.items()
@@ -105,7 +105,7 @@ def with_halo(df: DataFrame, keys: Keys, order: str, *, before: int, after: int)
     up = W.partitionBy(*group).orderBy(order)
     down = W.partitionBy(*group).orderBy(F.col(order).desc())
     edges = (
-        df.filter("tile >= 0")
+        df.filter(SPLIT)
         .select(*group, row.alias("_r"), F.row_number().over(up).alias("_a"), F.row_number().over(down).alias("_d"))
         .filter((F.col("_a") <= after) | (F.col("_d") <= before))
         .groupBy(*group)
@@ -133,23 +133,40 @@ def drop_halo(df: DataFrame) -> DataFrame:
 def per_key(df: DataFrame, keys: Keys, values: Mapping[str, Column]) -> DataFrame:
     """Attach aggregates of the whole key to each of its rows.
 
-    Cold keys use an unordered window on the partitioning the caller already has. Tiled keys are
-    few (see ``hot_keys``): their aggregates are combined map-side and broadcast.
+    Cold keys use an unordered window on the partitioning the caller already has. The aggregates
+    of tiled keys are combined map-side; how they are joined is left to their measured size.
     """
     group = parts(df, keys)
     w = W.partitionBy(*group)
     local = {name: value.over(w) for name, value in values.items()}
     if not is_tiled(df):
         return df.withColumns(local)
-    hot = df.filter("tile >= 0").groupBy(*keys).agg(
+    hot = df.filter(SPLIT).groupBy(*keys).agg(
         *[value.alias(f"_h_{name}") for name, value in values.items()]
     )
-    joined = df.withColumns(local).join(F.broadcast(hot), list(keys), "left")
+    joined = df.withColumns(local).join(hot, list(keys), "left")
     return joined.withColumns(
-        {name: F.when(F.col("tile") >= 0, F.col(f"_h_{name}")).otherwise(F.col(name)) for name in values}
+        {name: F.when(F.expr(SPLIT), F.col(f"_h_{name}")).otherwise(F.col(name)) for name in values}
     ).drop(*[f"_h_{name}" for name in values])
 
 
+def file_marks(marks: DataFrame, keys: Keys, edges: DataFrame, *, forward: bool = True) -> DataFrame:
+    """Add ``tile`` to marks (keys, ``_at``, ...): the last tile whose edge is at or before ``_at``.
+
+    ``edges`` has keys, tile, ``_at``; backward, the first tile whose edge is at or after it. Marks
+    beyond all edges go to the nearest tile, marks of keys without tiles to ``COLD_TILE``. Edges
+    and marks are scanned as one ordered stream.
+    """
+    both = marks.withColumns({"tile": F.lit(None).cast("int"), "_mark": F.lit(True)}).unionByName(
+        edges.withColumn("_mark", F.lit(False)), allowMissingColumns=True
+    )
+    at = F.col("_at").asc() if forward else F.col("_at").desc()
+    scan = W.partitionBy(*keys).orderBy(at, F.col("_mark").asc()).rowsBetween(W.unboundedPreceding, 0)
+    nearest = (F.min if forward else F.max)("tile").over(W.partitionBy(*keys))
+    tile = F.coalesce(F.last("tile", ignorenulls=True).over(scan), nearest, F.lit(COLD_TILE))
+    return both.withColumn("_tile", tile).filter("_mark").drop("_mark", "tile").withColumnRenamed("_tile", "tile")
+
+
 def run_ids(df: DataFrame, keys: Keys, usable: Column, *, order: str = "frame") -> DataFrame:
     """``run_id`` of every row: number of unusable rows before it, by list position.
 

@@ -2,8 +2,8 @@
 
 A track that holds more than ``HOT_ROWS`` rows gets a ``tile`` column: ``frame`` (an INT,
 unique within a track) divided by ``TILE_FRAMES``. A tile therefore holds at most
-``TILE_FRAMES`` rows, and a track has at most 2**31 / TILE_FRAMES tiles. All other tracks
-have ``tile = -1``. When a table has no hot track the column is not added at all and the
+``TILE_FRAMES`` rows, and a track has at most 2**32 / TILE_FRAMES tiles, negative ones for
+negative frames. All other tracks have ``tile = COLD_TILE``. When a table has no hot track the column is not added at all and the
 sequence operators plan as plain windows on the track key.
 """
 
@@ -17,7 +17,9 @@ from pyspark.sql import Window as W
 
 HOT_ROWS = 1_000_000
 TILE_FRAMES = 1 << 18
-MAX_HOT_KEYS = 1_000_000
+BROADCAST_KEYS = 1_000_000  # hot keys up to which their list is broadcast; a longer one is joined by shuffle
+COLD_TILE = -(1 << 31)  # no INT frame divided by two frames or more gets there
+SPLIT = f"tile > {COLD_TILE}"
 
 Keys = Sequence[str]
 
@@ -25,27 +27,23 @@ Keys = Sequence[str]
 def hot_keys(df: DataFrame, keys: Keys, limit: int | None = None) -> DataFrame | None:
     """Keys with more than ``limit`` rows, or None. One key-only pass, combined map-side.
 
-    There are at most rows / limit such keys; the limit is doubled until the list is small
-    enough to broadcast.
+    There are at most rows / limit such keys; the list carries a broadcast hint where its counted
+    length allows it.
     """
     limit = HOT_ROWS if limit is None else limit
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    while True:
-        hot = counts.filter(F.col("_n") > limit).select(*keys)
-        n_hot = hot.limit(MAX_HOT_KEYS + 1).count()
-        if n_hot == 0:
-            return None
-        if n_hot <= MAX_HOT_KEYS:
-            return hot
-        limit *= 2
+    hot = counts.filter(F.col("_n") > limit).select(*keys)
+    n_hot = hot.limit(BROADCAST_KEYS + 1).count()
+    if n_hot == 0:
+        return None
+    return F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot
 
 
 def mark_hot(df: DataFrame, keys: Keys, hot: DataFrame | None) -> DataFrame:
-    """Add ``_hot``; the list was sized by :func:`hot_keys`, so the broadcast is bounded."""
+    """Add ``_hot``; the list was sized, and hinted if short, by :func:`hot_keys`."""
     if hot is None:
         return df.withColumn("_hot", F.lit(False))
-    flagged = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    return df.join(flagged, list(keys), "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+    return df.join(hot.withColumn("_hot", F.lit(True)), list(keys), "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
 
 
 def tile_tracks(
@@ -66,7 +64,7 @@ def tile_tracks(
     cell = F.floor(F.col(order) / F.lit(width)).cast("int")
     return (
         mark_hot(df, keys, hot)
-        .withColumn("tile", F.when(F.col("_hot"), cell).otherwise(F.lit(-1)))
+        .withColumn("tile", F.when(F.col("_hot"), cell).otherwise(F.lit(COLD_TILE)))
         .drop("_hot")
     )
 

@@ -111,8 +111,8 @@ def index_of_pts(frame_time: DataFrame, wanted: DataFrame, keys: Keys) -> DataFr
     ``wanted``: keys, query_id, value. Frames and wanted values form one ordered stream per clip,
     so the lookup is a scan, not a range join.
     """
-    from .sequence import carry
-    from .tiling import is_tiled
+    from .sequence import carry, file_marks
+    from .tiling import SPLIT, is_tiled
 
     keys = list(keys)
     tile = ["tile"] if is_tiled(frame_time) else []
@@ -121,13 +121,8 @@ def index_of_pts(frame_time: DataFrame, wanted: DataFrame, keys: Keys) -> DataFr
     asked = wanted.select(*keys, F.col("value").cast("long").alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast("int").alias("_f"), F.col("query_id").cast("long"))
     ends = frame_time.groupBy(*keys).agg(F.max("frame").alias("_last"))
     if tile:
-        starts = frame_time.filter("tile >= 0").groupBy(*keys, "tile").agg(F.max("pts").alias("_top"))
-        placed = asked.join(starts, keys, "left").filter(F.col("_top").isNull() | (F.col("_top") >= F.col("_at")))
-        asked = placed.groupBy(*keys, "_at", "_side", "_f", "query_id").agg(F.coalesce(F.min("tile"), F.lit(-1)).alias("tile"))
-        late = wanted.join(asked.select(*keys, "query_id"), [*keys, "query_id"], "left_anti")
+        tops = frame_time.filter(SPLIT).groupBy(*keys, "tile").agg(F.max("pts").cast("long").alias("_at"))
+        asked = file_marks(asked, keys, tops, forward=False)
     stream = frames.unionByName(asked).withColumn("_ord", F.struct("_at", "_side", F.coalesce("query_id", F.col("_f").cast("long"))))
     found = carry(stream, keys, "_ord", {"frame": F.col("_f")}, forward=False).filter("query_id is not null")
-    out = found.select(*keys, "query_id", "frame")
-    if tile:
-        out = out.unionByName(late.select(*keys, F.col("query_id").cast("long"), F.lit(None).cast("int").alias("frame")))
-    return out.join(ends, keys).select(*keys, "query_id", F.coalesce("frame", "_last").alias("frame"))
+    return found.select(*keys, "query_id", "frame").join(ends, keys).select(*keys, "query_id", F.coalesce("frame", "_last").alias("frame"))

@@ -14,6 +14,7 @@ from ..functions import calibration as cal_fn
 from ..operators import fitting as fit
 from ..operators import kinematics as kin
 from ..operators.joins import attach
+from ..operators.periods import periods
 from ..operators.tiling import is_tiled
 from ..session import cut_lineage
 
@@ -132,7 +133,7 @@ def _swings(rows: DataFrame, best: DataFrame, keys: list[str]) -> DataFrame:
     long = attach(rows, able, keys, "inner").filter("run_id = _run")
     if is_tiled(rows):
         long = cut_lineage(long)
-    swings = fit.harmonic_fit(long, fit.periods(long, keys), keys)
+    swings = fit.harmonic_fit(long, periods(long, keys), keys)
     return swings.select(*keys, F.col("period_s").alias("p_T"), F.col("r2").alias("p_r2"), F.col("nrmse").alias("p_nrmse"))
 
 

@@ -94,7 +94,7 @@ def period_ctes(src: str, prefix: str = "") -> list[tuple[str, str]]:
         (f"{p}peaks", f"""SELECT *, lag(c) OVER w AS cb, lead(c) OVER w AS cf, first_value(c) OVER w AS c0
           FROM {p}corr WINDOW w AS (PARTITION BY clip_id, q ORDER BY lag)"""),
         (f"{p}auto", f"""SELECT clip_id, q, min(lag * dt) AS period FROM {p}peaks
-          WHERE c0 > 0 AND lag >= greatest(2, CAST(floor(0.08e0 / dt) AS BIGINT)) AND c >= cb AND c >= cf AND c > 0.25e0 * c0 GROUP BY 1, 2"""),
+          WHERE c0 > 0 AND lag >= greatest(2, CAST(floor(0.08e0 / dt) AS BIGINT)) AND c >= cb - 1e-9 * c0 AND c >= cf - 1e-9 * c0 AND c > 0.25e0 * c0 GROUP BY 1, 2"""),
         (f"{p}crossing", f"""SELECT *, lag(time_s) OVER (PARTITION BY clip_id, q ORDER BY frame) AS tp, count(*) OVER (PARTITION BY clip_id, q) AS nc
           FROM {p}cent2 WHERE (c0 <= 0 AND c > 0) OR (c0 >= 0 AND c < 0)"""),
         (f"{p}zero", f"SELECT clip_id, q, 2e0 * median(time_s - tp) AS period FROM {p}crossing WHERE nc >= 3 AND time_s - tp > 1e-6 GROUP BY 1, 2"),

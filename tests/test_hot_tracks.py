@@ -5,9 +5,10 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from motionloom.operators import fitting, joins, kinematics, metrics, quantiles, stabilize, tiling, timeline, video
+from motionloom.operators import fitting, joins, kinematics, metrics, periods, quantiles, stabilize, tiling, timeline, video
 from motionloom.plans import analysis, catalog
 from motionloom.plans import views as V
+from motionloom.sources import synthetic
 
 KEY = ["clip_id"]
 
@@ -53,7 +54,7 @@ def point_sets(spark, sf):
     plain = V.event_points(spark, sf).cache()
     tiled = tiling.tile_tracks(plain, KEY, limit=20, tile_frames=7).cache()
     assert "tile" in tiled.columns and "tile" not in plain.columns
-    assert tiled.filter("tile >= 0").count() > 0
+    assert tiled.filter(tiling.SPLIT).count() > 0
     return plain, tiled
 
 
@@ -78,14 +79,62 @@ def test_median_by_rank_selection(spark, sf):
     assert rows_of(quantiles.exact_median(points, KEY, F.col("x"), limit=10)) == rows_of(plain)
 
 
-def test_hot_period_matches_numpy(spark):
-    from motionloom.sources import synthetic
-
+def test_periods_of_split_runs(spark, monkeypatch):
     clip = synthetic.pendulum(spark, n=120)
-    tiled = tiling.tile_tracks(clip, KEY, limit=10, tile_frames=16)
-    want = fitting.periods(clip, KEY).first()["period_s"]
+    want = periods.periods(clip, KEY).first()["period_s"]
     assert want == pytest.approx(1.2, rel=0.02)
-    assert fitting.periods(tiled, KEY).first()["period_s"] == pytest.approx(want, rel=1e-6)
+    monkeypatch.setattr(periods, "GRID_TILE", 16)  # the first peak lies beyond the neighbouring tile
+    tiled = tiling.tile_tracks(clip, KEY, limit=10, tile_frames=16)
+    assert periods.periods(tiled, KEY).first()["period_s"] == pytest.approx(want, rel=1e-6)
+
+
+def test_runs_that_stand_still_or_pause(spark, monkeypatch):
+    monkeypatch.setattr(periods, "GRID_TILE", 64)
+    monkeypatch.setattr(timeline, "CHUNK", 100)
+    swing = lambda t: math.sin(2 * math.pi * t / 0.5)
+    rows = [(1, f, f / 30, 5.0, 7.0) for f in range(200)]
+    rows += [(2, f, t, swing(t), 0.0) for f in range(200) for t in [f / 30 + (300.0 if f >= 100 else 0.0)]]
+    clips = spark.createDataFrame(rows, "clip_id int, frame int, time_s double, x double, y double")
+    plain = {r.clip_id: r.period_s for r in periods.periods(clips, KEY).collect()}
+    split = {r.clip_id: r.period_s for r in periods.periods(tiling.tile_tracks(clips, KEY, limit=50, tile_frames=32), KEY).collect()}
+    assert plain[1] is None and split[1] is None
+    assert plain[2] == pytest.approx(0.5, rel=0.05) and split[2] == pytest.approx(plain[2], rel=1e-9)
+
+
+def test_negative_frames_are_split_too(spark):
+    rows = [(1, f, f / 10, float(f % 7), 1.0, f % 11 != 0, 1.0, False) for f in range(-40, 60)]
+    clips = spark.createDataFrame(rows, "clip_id int, frame int, time_s double, x double, y double, visible boolean, confidence double, manual boolean")
+    tiled = tiling.tile_tracks(clips, KEY, limit=10, tile_frames=8)
+    assert tiled.filter("tile < 0").count() == 40
+    for run in (lambda p: kinematics.run_bounds(p, KEY).drop("run_id"), lambda p: kinematics.series(p, KEY).drop("quality_flags")):
+        assert rows_of(run(tiled)) == rows_of(run(clips))
+
+
+def test_more_hot_keys_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(tiling, "BROADCAST_KEYS", 3)
+    clips = spark.createDataFrame([(k, f) for k in range(8) for f in range(20)], "clip_id int, frame int")
+    tiled = tiling.tile_tracks(clips, KEY, limit=10, tile_frames=4)
+    assert tiled.select("clip_id", "tile").distinct().count() == 8 * 5
+
+
+@pytest.mark.parametrize("odd", [[], [float("nan")], [float("inf")] * 3, [float("-inf")] * 30, [float("nan")] * 30, [1e308, -1e308, 5e-324, 0.0]])
+def test_medians_of_odd_values(spark, odd):
+    rows = [(1, v) for v in [*odd, *(float(k % 9) for k in range(21))]] + [(2, 3.5)] * 40
+    values = spark.createDataFrame(rows, "clip_id int, x double")
+    want = rows_of(values.groupBy("clip_id").agg(F.median("x").alias("median")))
+    assert rows_of(quantiles.exact_median(values, KEY, F.col("x"), limit=10)) == want
+
+
+def test_cursors_beyond_both_ends_of_a_split_track(spark):
+    clips = spark.createDataFrame([(1, f, float(f)) for f in range(30)], "clip_id int, frame int, time_s double")
+    cursors = spark.createDataFrame([(1, 1, -9.0), (1, 2, 12.4), (1, 3, 12.5), (1, 4, 99.0)], "clip_id int, cursor_id long, at_s double")
+    tiled = tiling.tile_tracks(clips, KEY, limit=10, tile_frames=4)
+    for table in (clips, tiled):
+        assert {r.cursor_id: r.frame for r in joins.nearest_in_time(table, cursors, KEY).collect()} == {1: 0, 2: 12, 3: 12, 4: 29}
+    frames = clips.select("clip_id", "frame", (F.col("frame") * 10).cast("long").alias("pts"))
+    asked = spark.createDataFrame([(1, 1, -5), (1, 2, 120), (1, 3, 121), (1, 4, 999)], "clip_id int, query_id long, value long")
+    for table in (frames, tiling.tile_tracks(frames, KEY, limit=10, tile_frames=4)):
+        assert {r.query_id: r.frame for r in video.index_of_pts(table, asked, KEY).collect()} == {1: 0, 2: 12, 3: 13, 4: 29}
 
 
 def test_long_ranges_are_chunked(spark, monkeypatch):
