@@ -43,12 +43,25 @@ def long_metrics(wide: DataFrame, keys: Keys, specs: Sequence[tuple[str, Column,
     return rows.withColumn("passed", judged(F.col("value"), F.col("threshold"), F.col("higher_is_better")))
 
 
-def match_frames(gt: DataFrame, pred: DataFrame, keys: Keys) -> DataFrame:
-    """Ground-truth frames with the prediction of the same frame; the frame is part of the key."""
+def one_per_frame(df: DataFrame, keys: Keys, position: str) -> DataFrame:
+    """Rows of equal frame resolved: the one of highest ``position``, or without it the greatest row."""
+    rest = [c for c in df.columns if c not in (*keys, "frame", position)]
+    order = [position] if position in df.columns else []
+    best = F.max(F.struct(*order, *rest)).alias("_r")
+    return df.groupBy(*keys, "frame").agg(best).select(*keys, "frame", *[F.col("_r")[c].alias(c) for c in rest])
+
+
+def match_frames(gt: DataFrame, pred: DataFrame, keys: Keys, position: str = "position") -> DataFrame:
+    """Ground-truth frames with the prediction of the same frame; the frame is part of the key.
+
+    Of rows that repeat a frame, on either side, the one of highest ``position`` counts.
+    """
     keys = list(keys)
     tile = ["tile"] if is_tiled(gt) else []
-    truth = gt.select(*keys, *tile, "frame", F.col("x").alias("gx"), F.col("y").alias("gy"), F.col("visible").alias("g_vis"))
-    guess = pred.select(*keys, "frame", F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("visible").alias("q_vis"))
+    place = lambda df: [position] if position in df.columns else []
+    truth = gt.select(*keys, *tile, "frame", *place(gt), F.col("x").alias("gx"), F.col("y").alias("gy"), F.col("visible").alias("g_vis"))
+    guess = pred.select(*keys, "frame", *place(pred), F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("visible").alias("q_vis"))
+    truth, guess = (one_per_frame(side, keys, position) for side in (truth, guess))
     rows = truth.join(guess, [*keys, "frame"], "left").withColumn("q_vis", F.coalesce("q_vis", F.lit(False)))
     hit = F.col("g_vis") & F.col("q_vis")
     return rows.withColumns(
@@ -85,27 +98,57 @@ def identity_swaps(matched: DataFrame, keys: Keys) -> DataFrame:
     return rows.withColumn("swap", F.coalesce(swap, F.lit(False)))
 
 
-def track_metrics(gt: DataFrame, pred: DataFrame, clips: DataFrame, keys: Keys = ("clip_id",)) -> DataFrame:
-    """Six metrics per clip. ``clips`` has keys and difficulty; clips without frames are kept."""
-    keys = list(keys)
-    matched = identity_swaps(match_frames(gt, pred, keys), keys)
-    scored = running_sum(matched, keys, "frame", {"_rank": F.col("hit").cast("int")})
-    facts = scored.groupBy(*keys).agg(
+def _track_facts(matched: DataFrame, keys: list[str]) -> DataFrame:
+    """All figures of untiled clips from windows on one partitioning and one aggregate."""
+    w = W.partitionBy(*keys).orderBy("frame")
+    before, so_far = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(W.unboundedPreceding, 0)
+    hit = F.col("hit").cast("int")
+    rows = matched.withColumns({
+        "_island": F.coalesce(F.sum(hit).over(before), F.lit(0)), "_rank": F.sum(hit).over(so_far),
+        "_all": F.sum(hit).over(W.partitionBy(*keys)), "_pos": F.row_number().over(w),
+    })
+    inside = W.partitionBy(*keys, "_island").orderBy("frame").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("_lost", F.min(F.when(F.col("miss"), F.col("_pos"))).over(inside))
+    tail = F.col("hit") & (F.col("_rank") > F.col("_all") - F.greatest(F.lit(1), F.floor(F.col("_all") / 5)))
+    return rows.groupBy(*keys).agg(
+        *_counts(), F.avg(F.when(tail, F.col("err"))).alias("_drift"), F.median("err").alias("_median"),
+        F.median(F.when(F.col("hit"), (F.col("_pos") - F.col("_lost")).cast("double"))).alias("_recovery"),
+    )
+
+
+def _counts() -> list[Column]:
+    return [
         F.sum(F.col("g_vis").cast("int")).alias("_seen"),
         F.sum(F.col("hit").cast("int")).alias("_hits"),
         F.sum((F.col("err") <= 10.0).cast("int")).alias("_near"),
         F.sum(F.col("swap").cast("int")).alias("_swaps"),
-    )
-    # the tail is the last fifth of the hits, at least one
+    ]
+
+
+def _split_track_facts(matched: DataFrame, keys: list[str]) -> DataFrame:
+    """The same figures where tracks are split: each from mergeable parts of the tiles."""
     from .joins import attach
 
+    scored = running_sum(matched, keys, "frame", {"_rank": F.col("hit").cast("int")})
+    facts = scored.groupBy(*keys).agg(*_counts())
     tails = attach(scored.filter("hit"), facts.select(*keys, "_hits"), keys)
     tail = tails.filter(F.col("_rank") > F.col("_hits") - F.greatest(F.lit(1), F.floor(F.col("_hits") / 5))).groupBy(*keys).agg(F.avg("err").alias("_drift"))
     median = exact_median(matched, keys, F.col("err"), "_median")
     gaps = exact_median(recovery_gaps(matched, keys), keys, F.col("gap"), "_recovery")
-    wide = clips.select(*keys, "difficulty")
-    for part in (facts, tail, median, gaps):
-        wide = wide.join(part, keys, "left")
+    for part in (tail, median, gaps):
+        facts = facts.join(part, keys, "left")
+    return facts
+
+
+def track_metrics(gt: DataFrame, pred: DataFrame, clips: DataFrame, keys: Keys = ("clip_id",)) -> DataFrame:
+    """Six metrics per clip. ``clips`` has keys and difficulty; clips without frames are kept.
+
+    The drift is over the last fifth of the hits, at least one.
+    """
+    keys = list(keys)
+    matched = identity_swaps(match_frames(gt, pred, keys), keys)
+    facts = (_split_track_facts if is_tiled(matched) else _track_facts)(matched, keys)
+    wide = clips.select(*keys, "difficulty").join(facts, keys, "left")
     share = lambda a, b: F.coalesce(F.when(F.col(b) > 0, F.col(a) / F.col(b)), F.lit(0.0))
     return long_metrics(
         wide,
@@ -126,21 +169,27 @@ def track_metrics(gt: DataFrame, pred: DataFrame, clips: DataFrame, keys: Keys =
 
 def by_name(points: Column) -> Column:
     """Keypoint array (17 entries) as a map; the last of equal names wins."""
-    names = F.transform(points, lambda k: k["name"])
-    return F.map_from_arrays(names, points)
+    backwards = F.reverse(F.transform(points, lambda k: k["name"]))
+    kept = F.filter(points, lambda k, i: F.array_position(backwards, k["name"]) == F.size(points) - i)
+    return F.map_from_arrays(F.transform(kept, lambda k: k["name"]), kept)
 
 
 def _dist(a: Column, b: Column) -> Column:
     return F.hypot(a["x"] - b["x"], a["y"] - b["y"])
 
 
-def match_poses(gt: DataFrame, pred: DataFrame, keys: Keys) -> DataFrame:
-    """Ground-truth frames with their prediction: ``g`` and ``q`` are maps name -> keypoint."""
+def match_poses(gt: DataFrame, pred: DataFrame, keys: Keys, position: str = "position") -> DataFrame:
+    """Ground-truth frames with their prediction: ``g`` and ``q`` are maps name -> keypoint.
+
+    Of rows that repeat a frame, on either side, the one of highest ``position`` counts.
+    """
     keys = list(keys)
     tile = ["tile"] if is_tiled(gt) else []
-    truth = gt.select(*keys, *tile, "frame", by_name(F.col("keypoints")).alias("g"))
-    guess = pred.select(*keys, "frame", by_name(F.col("keypoints")).alias("q"))
-    return truth.join(guess, [*keys, "frame"], "left")
+    place = lambda df: [position] if position in df.columns else []
+    truth = one_per_frame(gt.select(*keys, *tile, "frame", *place(gt), "keypoints"), keys, position)
+    guess = one_per_frame(pred.select(*keys, "frame", *place(pred), "keypoints"), keys, position)
+    truth = truth.select(*keys, *tile, "frame", by_name(F.col("keypoints")).alias("g"))
+    return truth.join(guess.select(*keys, "frame", by_name(F.col("keypoints")).alias("q")), [*keys, "frame"], "left")
 
 
 def pck_counts(matched: DataFrame, keys: Keys, fallback: float = 50.0) -> DataFrame:
@@ -178,7 +227,9 @@ def static_jitter(matched: DataFrame, keys: Keys) -> DataFrame:
 def bone_cv(pred: DataFrame, keys: Keys) -> DataFrame:
     """Mean coefficient of variation of the bone lengths of a clip."""
     keys = list(keys)
-    rows = pred.select(*keys, by_name(F.col("keypoints")).alias("q"))
+    place = ["position"] if "position" in pred.columns else []
+    single = one_per_frame(pred.select(*keys, "frame", *place, "keypoints"), keys, "position")
+    rows = single.select(*keys, by_name(F.col("keypoints")).alias("q"))
     ends = [(F.try_element_at("q", F.lit(a)), F.try_element_at("q", F.lit(b))) for a, b in POSE_BONES]
     lengths = F.array(*[F.when(a["visible"] & b["visible"], _dist(a, b)) for a, b in ends])
     bones = rows.select(*keys, F.posexplode(lengths).alias("bone", "len")).filter("len is not null")
@@ -208,9 +259,9 @@ def pose_metrics(gt: DataFrame, pred: DataFrame, clips: DataFrame, keys: Keys =
     matched = match_poses(gt, pred, keys)
     pieces = [
         pck_counts(matched, keys),
-        exact_median(static_jitter(matched, keys), keys, F.col("move"), "_jitter"),
+        exact_median(static_jitter(matched, keys), keys, F.col("move"), "_jitter", split=is_tiled(matched)),
         bone_cv(pred, keys),
-        exact_median(pose_recovery(matched, keys), keys, F.col("gap"), "_recovery"),
+        exact_median(pose_recovery(matched, keys), keys, F.col("gap"), "_recovery", split=is_tiled(matched)),
     ]
     wide = clips.select(*keys, "difficulty")
     for piece in pieces:

@@ -80,6 +80,13 @@ def predictions(points: DataFrame) -> DataFrame:
     )
 
 
+def repeated_predictions(points: DataFrame) -> DataFrame:
+    """The same, with some frames given twice; the later row has the higher ``position``."""
+    copies = F.when(F.col("event_id") % 19 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+    given = predictions(points).withColumn("position", F.explode(copies))
+    return given.withColumn("x", F.col("x") + F.when(F.col("position") == 0, 25.0).otherwise(0.0))
+
+
 def calibration_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One raw record per user; the mode and all numbers follow from the user id."""
     users = table(spark, sf_dir, "events").select(F.col("user_id").alias("clip_id")).distinct()

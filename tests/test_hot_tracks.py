@@ -34,7 +34,7 @@ OPERATORS = {
     "predict": lambda p: timeline.predict_next(p, KEY, (F.lit(-1.0), F.lit(-1.0))).select("clip_id", "frame", "pred_x", "pred_y"),
     "representatives": lambda p: timeline.representative_points(p, KEY).select("clip_id", "frame"),
     "trailing_hidden": lambda p: timeline.trailing_hidden(p, KEY),
-    "track_metrics": lambda p: metrics.track_metrics(p, V.predictions(p), V.clip_difficulty(p), KEY),
+    "track_metrics": lambda p: metrics.track_metrics(p, V.repeated_predictions(p), V.clip_difficulty(p), KEY),
     "compensate": lambda p: joins.compensate(p, V.shake_offsets(p), KEY).select("clip_id", "frame", "x", "y"),
     "shake": lambda p: stabilize.estimate_shake(V.shake_anchors(p), KEY),
     "repair": lambda p: video.repair_pts(V.decoded_frames(p), KEY, 40),

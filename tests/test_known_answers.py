@@ -1,7 +1,6 @@
 """Closed-form clips, hand-made inputs and brute-force checks of what SQL cannot express."""
 
 import json
-import statistics
 
 import numpy as np
 import pytest
@@ -9,7 +8,7 @@ from pyspark.sql import functions as F
 
 from motionloom.functions import calibration as cal_fn
 from motionloom.functions import text
-from motionloom.operators import depth, kinematics, stabilize
+from motionloom.operators import depth, kinematics, metrics, stabilize
 from motionloom.plans import analysis
 from motionloom.plans import views as V
 from motionloom.sources import annotations, synthetic
@@ -40,39 +39,38 @@ def test_experiments_are_recognised(spark):
     assert found["pendulum"].candidates[0].parameters["T"] == pytest.approx(1.2, rel=0.02)
 
 
-def _shift(pairs, prev):
-    """Plain sequential statement of the consensus rule."""
-    if not pairs:
-        return prev
-    best, best_d = [], float("inf")
-    for c in pairs:
-        group = [p for p in pairs if (p[0] - c[0]) ** 2 + (p[1] - c[1]) ** 2 <= 576]
-        mid = [statistics.median(p[i] for p in group) for i in (0, 1)]
-        d = (mid[0] - prev[0]) ** 2 + (mid[1] - prev[1]) ** 2
-        if len(group) > len(best) or (len(group) == len(best) and d < best_d):
-            best, best_d = group, d
-    return tuple(statistics.median(p[i] for p in best) for i in (0, 1))
+def shake_of(spark, frames):
+    """Shift per frame of one clip; ``frames``: per frame a dict anchor -> (x, y) or None."""
+    rows = [(1, f, k, *(p or (None, None))) for f, seen in enumerate(frames) for k, p in seen.items()]
+    anchors = spark.createDataFrame(rows, "clip_id int, frame int, k int, x double, y double")
+    return {r.frame: (r.dx, r.dy) for r in stabilize.estimate_shake(anchors, KEY).collect()}
 
 
-def test_shake_against_brute_force(spark, sf):
+START = {0: (10.0, 10.0), 1: (110.0, 10.0), 2: (10.0, 110.0), 3: (110.0, 110.0)}
+
+
+def moved(dx, dy, **other):
+    return {k: (x + dx, y + dy) for k, (x, y) in START.items()} | {int(k[1:]): p for k, p in other.items()}
+
+
+def test_shake_of_hand_worked_frames(spark):
+    frames = [
+        START,
+        moved(3, -2),  # all agree
+        moved(5, 1, a3=(300.0, 300.0)),  # a clear majority of three, one lost to something else
+        {k: None for k in START},  # nothing seen: the last shift stays
+        moved(7, 0, a2=(97.0, 110.0), a3=(197.0, 110.0)),  # two against two: the pair nearer to (5, 1) wins
+        {0: (16.0, 14.0), 1: None, 2: None, 3: None},  # a single anchor speaks alone
+    ]
+    assert shake_of(spark, frames) == {0: (0.0, 0.0), 1: (3.0, -2.0), 2: (5.0, 1.0), 3: (5.0, 1.0), 4: (7.0, 0.0), 5: (6.0, 4.0)}
+
+
+def test_shake_follows_the_frame_not_the_names_of_anchors(spark, sf):
     anchors = V.shake_anchors(V.event_points(spark, sf))
-    got = {(r.clip_id, r.frame): (r.dx, r.dy) for r in stabilize.estimate_shake(anchors, KEY).collect()}
-    clips = {}
-    for r in anchors.collect():
-        clips.setdefault(r.clip_id, {}).setdefault(r.frame, {})[r.k] = None if r.x is None else (r.x, r.y)
-    for clip, by_frame in clips.items():
-        ref = {k: p for k, p in by_frame[0].items() if p}
-        moved = {
-            f: [(p[0] - ref[k][0], p[1] - ref[k][1]) for k, p in sorted(pts.items()) if p and k in ref] for f, pts in sorted(by_frame.items())
-        }
-        first, prev = {}, (0.0, 0.0)
-        for f, pairs in moved.items():
-            prev = first[f] = _shift(pairs, prev)
-        prev = (0.0, 0.0)
-        for f, pairs in moved.items():
-            kept = pairs if f == 0 else [p for p in pairs if (p[0] - first[f][0]) ** 2 + (p[1] - first[f][1]) ** 2 <= 576]
-            prev = _shift(kept, prev)
-            assert got[(clip, f)] == pytest.approx(prev), (clip, f)
+    rows = lambda df: {(r.clip_id, r.frame): (round(r.dx, 6), round(r.dy, 6)) for r in stabilize.estimate_shake(df, KEY).collect()}
+    base = rows(anchors)
+    assert rows(anchors.withColumns({"x": F.col("x") + 40, "y": F.col("y") - 15})) == base
+    assert all(v == (0.0, 0.0) for (_, frame), v in base.items() if frame == 0)
 
 
 def test_plane_depth_against_pinhole(spark):
@@ -113,3 +111,14 @@ def test_annotation_and_manifest_reader(spark, tmp_path):
 def test_version_rules(spark):
     tags = spark.createDataFrame([("v1.10.0", "1.9.9"), ("1.2", "1.0.0"), ("V2.0.0", "2.0.0")], "a string, b string")
     assert [r[0] for r in tags.select(text.is_newer(F.col("a"), F.col("b"))).collect()] == [True, False, False]
+
+
+def test_last_row_of_a_frame_and_last_keypoint_of_a_name_win(spark):
+    cols = "clip_id int, frame int, x double, y double, visible boolean, position int"
+    gt = spark.createDataFrame([(1, 0, 0.0, 0.0, True, 0), (1, 1, 0.0, 0.0, True, 0)], cols)
+    pred = spark.createDataFrame([(1, 0, 3.0, 4.0, True, 1), (1, 0, 9.0, 9.0, True, 0), (1, 1, 0.0, 1.0, True, 0)], cols)
+    assert sorted((r.frame, r.err) for r in metrics.match_frames(gt, pred, KEY).collect()) == [(0, 5.0), (1, 1.0)]
+    point = "array<struct<name:string,x:double,y:double,visible:boolean>>"
+    rows = spark.createDataFrame([([("a", 1.0, 0.0, True), ("b", 2.0, 0.0, True), ("a", 3.0, 0.0, True)],)], f"k {point}")
+    found = rows.select(metrics.by_name(F.col("k")).alias("m")).first().m
+    assert {name: p.x for name, p in found.items()} == {"a": 3.0, "b": 2.0}
