@@ -18,8 +18,8 @@ Keys = Sequence[str]
 
 def with_pose(solved: DataFrame, keys: Keys) -> DataFrame:
     """Add ``pose`` to planar records; a calibration-table step."""
-    posed = P.with_plane_pose(solved, F.col("cal.hi"), F.col("cal.camera"), "pose")
-    return posed.withColumn("pose", F.when(cal_fn.is_mode(F.col("cal"), "planar"), F.col("pose")))
+    pose = lambda c: F.when(cal_fn.is_mode(c["cal"], "planar"), P.plane_pose(c["cal"]["hi"], c["cal"]["camera"]))
+    return solved.withColumn("pose", P.let({"cal": F.col("cal")}, pose))
 
 
 def expected_depth(points: DataFrame, posed: DataFrame, keys: Keys) -> DataFrame:

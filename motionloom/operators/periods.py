@@ -41,19 +41,34 @@ def periods(rows: DataFrame, keys: Keys) -> DataFrame:
     there is. Runs that stand still along a coordinate have none there.
     """
     keys = list(keys)
-    found = correlation_periods(rows, keys)
-    for axis in AXES:
-        crossing = zero_crossing_period(rows, keys, axis).select(*keys, F.lit(axis).alias("axis"), "period_s")
-        found = found.unionByName(crossing)
-    spread = rows.groupBy(*keys).agg(*[F.greatest(F.max(a) - F.avg(a), F.avg(a) - F.min(a)).alias(f"_{a}") for a in AXES])
+    found = correlation_periods(rows, keys).unionByName(crossing_periods(rows, keys))
     means = found.groupBy(*keys).agg(*[F.avg(F.when(F.col("axis") == a, F.col("period_s"))).alias(a) for a in AXES])
-    moved = spread.join(means, keys, "left")
-    best = F.coalesce(*[F.when(F.col(f"_{a}") >= FLAT, F.col(a)) for a in AXES])
-    return moved.select(*keys, best.alias("period_s"))
+    return means.select(*keys, F.coalesce(*AXES).alias("period_s"))
+
+
+def _swing(axis: str) -> Column:
+    """Greatest distance from the mean, as an aggregate."""
+    return F.greatest(F.max(axis) - F.avg(axis), F.avg(axis) - F.min(axis))
+
+
+def crossing_periods(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, axis, period_s from zero crossings of both coordinates."""
+    if is_tiled(rows):
+        moving = rows.groupBy(*keys).agg(*[_swing(a).alias(f"_s{a}") for a in AXES])
+        made = [zero_crossing_period(rows, keys, a).join(moving.filter(F.col(f"_s{a}") >= FLAT), keys).select(*keys, F.lit(a).alias("axis"), "period_s") for a in AXES]
+        return made[0].unionByName(made[1])
+    values = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("v")) for a in AXES]))
+    long = rows.select(*keys, "frame", "time_s", values.alias("_p")).select(*keys, "frame", "time_s", "_p.*")
+    w = W.partitionBy(*keys, "axis")
+    centred = long.withColumn("v", F.col("v") - F.avg("v").over(w)).withColumn("_swing", F.max(F.abs("v")).over(w)).filter(F.col("_swing") >= FLAT).withColumn("_before", F.lag("v").over(w.orderBy("frame")))
+    turned = centred.filter(((F.col("_before") <= 0) & (F.col("v") > 0)) | ((F.col("_before") >= 0) & (F.col("v") < 0)))
+    gaps = turned.withColumn("_gap", F.col("time_s") - F.lag("time_s").over(w.orderBy("frame")))
+    halves = gaps.groupBy(*keys, "axis").agg(F.count(F.lit(1)).alias("_n"), F.median(F.when(F.col("_gap") > 1e-6, F.col("_gap"))).alias("_half"))
+    return halves.filter("_n >= 3 and _half is not null").select(*keys, "axis", (F.col("_half") * 2.0).alias("period_s"))
 
 
 def even_grid(rows: DataFrame, keys: Keys) -> tuple[DataFrame, DataFrame]:
-    """(keys, g, x, y) on the grid of each run, and (keys, dt, size) of the grids.
+    """(keys, g, x, y) on the grid of each run, and (keys, dt, size, swing of each axis) of the grids.
 
     A grid runs from the first sample to within half a step of the last one and needs eight
     points; each gap between samples fills its own grid points by linear interpolation.
@@ -63,18 +78,22 @@ def even_grid(rows: DataFrame, keys: Keys) -> tuple[DataFrame, DataFrame]:
     w = W.partitionBy(*parts(rows, keys)).orderBy("frame")
     here = F.struct("time_s", *AXES)
     gaps = drop_halo(with_halo(rows, keys, "frame", before=0, after=1).withColumn("_n", F.lead(here).over(w)))
-    steps = exact_median(gaps.filter("_n is not null"), keys, F.col("_n.time_s") - F.col("time_s"), "dt", split=is_tiled(rows))
-    spans = rows.groupBy(*keys).agg(F.min("time_s").alias("_t0"), F.max("time_s").alias("_t1"), F.count(F.lit(1)).alias("_rows"))
+    step = F.col("_n.time_s") - F.col("time_s")
+    spans = [F.min("time_s").alias("_t0"), F.max("time_s").alias("_t1"), F.count(F.lit(1)).alias("_rows"), *[_swing(a).alias(f"_s{a}") for a in AXES]]
+    if is_tiled(rows):
+        spans = rows.groupBy(*keys).agg(*spans).join(exact_median(gaps.filter("_n is not null"), keys, step, "dt"), keys)
+    else:
+        spans = gaps.groupBy(*keys).agg(*spans, F.median(step).alias("dt"))
     size = F.ceil((F.col("_t1") - F.col("_t0")) / F.col("dt") + 0.5).cast("long")
-    grids = spans.join(steps.filter("dt > 1e-9"), keys).withColumn("size", size).filter((F.col("size") >= MIN_SAMPLES) & (F.col("_rows") >= MIN_SAMPLES))
-    placed = gaps.join(grids.drop("_t1", "_rows"), keys)
+    grids = spans.filter("dt > 1e-9").withColumn("size", size).filter((F.col("size") >= MIN_SAMPLES) & (F.col("_rows") >= MIN_SAMPLES))
+    placed = gaps.join(grids.select(*keys, "_t0", "dt", "size"), keys)
     cell = lambda t: F.ceil((t - F.col("_t0")) / F.col("dt") - 1e-9).cast("long")
     last = F.col("_n").isNull()
     stop = F.when(last, F.col("size")).otherwise(cell(F.col("_n.time_s")))
     filled = explode_range(placed, cell(F.col("time_s")), stop - 1, "g")
     share = F.greatest(F.lit(0.0), (F.col("_t0") + F.col("g") * F.col("dt") - F.col("time_s")) / (F.col("_n.time_s") - F.col("time_s")))
     value = lambda a: F.when(last, F.col(a)).otherwise(F.col(a) + (F.col(f"_n.{a}") - F.col(a)) * share)
-    return filled.select(*keys, F.col("g").cast("long").alias("g"), *[value(a).alias(a) for a in AXES]), grids.select(*keys, "dt", "size")
+    return filled.select(*keys, F.col("g").cast("long").alias("g"), *[value(a).alias(a) for a in AXES]), grids.select(*keys, "dt", "size", *[f"_s{a}" for a in AXES])
 
 
 def _pairs(grid: DataFrame, keys: list[str], ahead: Column) -> DataFrame:
@@ -128,7 +147,7 @@ def first_peaks(products: DataFrame, grids: DataFrame, keys: list[str]) -> DataF
     value = lambda a, d: F.max(F.when(F.col("_p.d") == d, F.col(f"c{a}"))).alias(f"{a}{d + 1}")
     near = about.groupBy(*keys, F.col("_p.lag").alias("lag")).agg(*[value(a, d) for a in AXES for d in (-1, 0, 1)])
     tried = near.join(heads, keys).filter((F.col("lag") >= F.greatest(F.lit(2), F.floor(F.lit(SHORTEST_S) / F.col("dt")))) & (F.col("lag") < F.col("size") - 1))
-    hit = lambda a: (F.col(f"_z{a}") > 0) & (F.col(f"{a}1") > F.col(f"_z{a}") * CLEAR_SHARE) & (F.col(f"{a}1") >= F.greatest(f"{a}0", f"{a}2") - F.col(f"_z{a}") * TOLERANCE)
+    hit = lambda a: (F.col(f"_s{a}") >= FLAT) & (F.col(f"_z{a}") > 0) & (F.col(f"{a}1") > F.col(f"_z{a}") * CLEAR_SHARE) & (F.col(f"{a}1") >= F.greatest(f"{a}0", f"{a}2") - F.col(f"_z{a}") * TOLERANCE)
     firsts = tried.groupBy(*keys, "dt").agg(*[F.min(F.when(hit(a), F.col("lag"))).alias(a) for a in AXES])
     long = firsts.select(*keys, "dt", F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("lag")) for a in AXES])).alias("_p"))
     return long.filter("_p.lag is not null").select(*keys, "_p.axis", (F.col("_p.lag") * F.col("dt")).alias("period_s"))

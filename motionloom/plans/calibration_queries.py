@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import constants as C
 from ..functions import calibration as cal_fn
 from ..functions import geometry as G
 from ..functions import quality
 from ..operators import depth as D
 from ..operators import kinematics as K
 from ..operators.joins import attach
+from ..session import stored
 from ..sinks.track_csv import csv_rows
 from . import views as V
 from .registry import r, register, rounded
@@ -225,16 +227,37 @@ def grid_lines(spark, sf_dir):
     return rounded(lines, "x0", "y0", "x1", "y1", digits=5)
 
 
-@register("expected_depth")
+POSED = [
+    ("po0", f"""SELECT clip_id, CASE WHEN {LENS} THEN 400e0 ELSE 1280e0 END AS fx, CASE WHEN {LENS} THEN 410e0 ELSE 1280e0 END AS fy, CASE WHEN {LENS} THEN 160e0 ELSE 640e0 END AS px,
+      CASE WHEN {LENS} THEN 120e0 ELSE 360e0 END AS py, g0, g1, g2, g3, g4, g5, g6, g7, g8 FROM rec WHERE mode = 'planar'"""),
+    ("po1", "SELECT *, (g0 - px*g6)/fx AS a0, (g3 - py*g6)/fy AS a1, g6 AS a2, (g1 - px*g7)/fx AS b0, (g4 - py*g7)/fy AS b1, g7 AS b2, g8 AS t2 FROM po0"),
+    ("po2", "SELECT clip_id, a0/l AS a0, a1/l AS a1, a2/l AS a2, b0/l AS b0, b1/l AS b1, b2/l AS b2, t2/l AS t2 FROM (SELECT *, sqrt(a0*a0 + a1*a1 + a2*a2) AS l FROM po1)"),
+    ("po3", "SELECT *, a0*a0 + a1*a1 + a2*a2 AS p, a0*b0 + a1*b1 + a2*b2 AS q, b0*b0 + b1*b1 + b2*b2 AS r FROM po2"),
+    ("po4", "SELECT *, sqrt(p*r - q*q) AS d FROM po3"),
+    ("pose", "SELECT clip_id, sign(t2) * (a2*(r + d) - b2*q) / (d*sqrt(p + r + 2*d)) AS r20, sign(t2) * (b2*(p + d) - a2*q) / (d*sqrt(p + r + 2*d)) AS r21, abs(t2) AS tz FROM po4"),
+    ("deep", "SELECT w.*, CASE WHEN r20*wx + r21*wy + tz > 1e-6 THEN r20*wx + r21*wy + tz END AS z FROM world w LEFT JOIN pose USING (clip_id)"),
+]
+
+
+@register("expected_depth", with_ctes("SELECT clip_id, frame, round(z, 6) AS z_geom FROM deep", "pt", *world_ctes("pt"), *POSED))
 def expected_depth(spark, sf_dir):
-    posed = D.with_pose(V.calibrations(spark, sf_dir), KEY)
+    posed = D.with_pose(stored(V.calibrations(spark, sf_dir)), KEY)
     return D.expected_depth(V.event_points(spark, sf_dir), posed.filter("cal.mode = 'planar'"), KEY).select("clip_id", "frame", r("z_geom").alias("z_geom"))
 
 
-@register("depth_audit")
+@register(
+    "depth_audit",
+    with_ctes(
+        """SELECT clip_id, frame, round(z, 6) AS z_geom, round(zm, 6) AS z_model, round(abs(zm - z), 6) AS residual_m, round(coalesce(greatest(0, least(1, 1 - abs(zm - z) / (3 * lim))), 0), 6) AS confidence,
+        CASE WHEN zm - z IS NULL THEN 'skipped' WHEN abs(zm - z) > lim THEN 'off_plane' ELSE 'ok' END AS flag, round(lim, 6) AS limit_m
+        FROM (SELECT *, CASE WHEN event_id % 9 <> 0 THEN z + (event_id % 21 - 10) * 0.02e0 END AS zm, greatest(%ALLOWED%, 2 * %SHARE%) AS lim, min(frame) OVER c AS fa, max(frame) OVER c AS fz
+          FROM deep WHERE visible AND mode = 'planar' WINDOW c AS (PARTITION BY clip_id)) WHERE frame IN (fa, fz) OR confidence < 0.6 OR frame % 8 = 0""".replace("%ALLOWED%", f"{C.OFF_PLANE_WARN_M}e0").replace("%SHARE%", f"{C.OFF_PLANE_RATIO}e0"),
+        "pt", *world_ctes("pt"), *POSED,
+    ),
+)
 def depth_audit(spark, sf_dir):
     points = V.event_points(spark, sf_dir)
-    posed = D.with_pose(V.calibrations(spark, sf_dir), KEY)
+    posed = D.with_pose(stored(V.calibrations(spark, sf_dir)), KEY)
     seen = D.expected_depth(points, posed, KEY)
     i = F.col("event_id")
     model = seen.filter(i % 9 != 0).select("clip_id", "frame", (F.col("z_geom") + (i % 21 - 10) * 0.02).alias("z_model"))

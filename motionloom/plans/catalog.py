@@ -49,14 +49,14 @@ def teaching_context(picked: DataFrame, points: DataFrame, keys: Keys, *, level:
     ``points`` come from timeline.representative_points, so the array per track is bounded.
     """
     keys = list(keys)
-    shown = F.struct("frame", F.round("time_s", 4).alias("t"), F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.col("position_unit").alias("unit"))
+    shown = F.struct("frame", F.bround("time_s", 4).alias("t"), F.bround("x", 4).alias("x"), F.bround("y", 4).alias("y"), F.col("position_unit").alias("unit"))
     packed = points.groupBy(*keys).agg(F.array_sort(F.collect_list(shown)).alias("representative_points"))
     c = F.col("candidate")
     results = F.struct(
-        c.isNotNull().alias("available"), c["experiment_type"].alias("experiment_type"), F.round(c["confidence"], 4).alias("confidence"),
-        c["parameters"].alias("parameters"), c["units"].alias("units"), F.round(c["r2"], 4).alias("r2"), F.round(c["nrmse"], 4).alias("nrmse"),
+        c.isNotNull().alias("available"), c["experiment_type"].alias("experiment_type"), F.bround(c["confidence"], 4).alias("confidence"),
+        c["parameters"].alias("parameters"), c["units"].alias("units"), F.bround(c["r2"], 4).alias("r2"), F.bround(c["nrmse"], 4).alias("nrmse"),
         c["n_samples"].alias("n_samples"), F.array(c["time_start_s"], c["time_end_s"]).alias("time_range_s"),
-        F.array(c["frame_start"], c["frame_end"]).alias("frame_range"), F.round(F.col("coverage"), 4).alias("coverage"), F.col("position_unit").alias("position_unit"),
+        F.array(c["frame_start"], c["frame_end"]).alias("frame_range"), F.bround(F.col("coverage"), 4).alias("coverage"), F.col("position_unit").alias("position_unit"),
     )
     body = F.to_json(F.struct(F.lit(level).alias("teaching_level"), results.alias("results"), "missing", "warnings", "representative_points"))
     return picked.join(packed, keys, "left").select(*keys, body.alias("context"))

@@ -164,7 +164,11 @@ def report_markdown(spark, sf_dir):
 
 @register(
     "chat_messages",
-    """SELECT conv_id, 2 + count(*) FILTER (role IN ('user', 'assistant') AND length(trim(text, ' \t\n\r')) > 0) AS n_messages, 'system' AS first_role FROM conversations GROUP BY conv_id""",
+    """WITH k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations),
+    said AS (SELECT conv_id, turn, role, text FROM k WHERE back <= 12 AND role IN ('user', 'assistant') AND length(trim(text, ' \t\n\r')) > 0)
+    SELECT c.conv_id, 2 + count(s.turn) AS n_messages, sha256('system' || chr(10) || 'Use local numbers only.' || chr(10) || coalesce(string_agg(s.role || chr(10) || s.text || chr(10), '' ORDER BY s.turn), '')
+      || 'user' || chr(10) || 'Why is g not 9.8?' || chr(10)) AS messages_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN said s USING (conv_id) GROUP BY c.conv_id""",
 )
 def chat_messages(spark, sf_dir):
     talks = V.table(spark, sf_dir, "conversations")
@@ -173,17 +177,22 @@ def chat_messages(spark, sf_dir):
     history = kept.filter(said).select("conv_id", "turn", "role", F.col("text").alias("content"))
     questions = talks.select("conv_id").distinct().withColumn("question", F.lit("Why is g not 9.8?"))
     out = CT.chat_messages(history, questions, ["conv_id"], "Use local numbers only.")
-    return out.select("conv_id", F.size("messages").cast("long").alias("n_messages"), F.get("messages", F.lit(0))["role"].alias("first_role"))
+    whole = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit("\n"), m["content"], F.lit("\n"))), "")
+    return out.select("conv_id", F.size("messages").cast("long").alias("n_messages"), F.sha2(F.encode(whole, "utf-8"), 256).alias("messages_sha256"))
 
 
-@register("track_fingerprints", with_ctes("SELECT count(DISTINCT clip_id) AS n_tracks, count(DISTINCT clip_id) AS n_tokens, 0 AS n_unchanged FROM pt", "pt"))
+@register(
+    "track_fingerprints",
+    with_ctes(
+        """SELECT clip_id, left(sha256(concat_ws('|', count(*)::VARCHAR, sum(('0x' || substr(h, 1, 12))::HUGEINT)::VARCHAR, sum(('0x' || substr(h, 13, 12))::HUGEINT)::VARCHAR, sum(('0x' || substr(h, 25, 12))::HUGEINT)::VARCHAR)), 24) AS fingerprint, TRUE AS edit_seen
+        FROM (SELECT clip_id, sha256(concat_ws('|', frame::VARCHAR, printf('%.4f', x), printf('%.4f', y), visible::VARCHAR, printf('%.4f', confidence), manual::VARCHAR)) AS h FROM pt) GROUP BY clip_id""",
+        "pt",
+    ),
+)
 def track_fingerprints(spark, sf_dir):
-    """Tokens of all tracks, and of the same tracks with one confidence changed: none may stay equal."""
+    """Tokens of all tracks, and whether one changed confidence changes them."""
     points = V.event_points(spark, sf_dir)
     before = CT.fingerprint_points(points, KEY)
     edited = points.withColumn("confidence", F.when(F.col("frame") == 0, F.col("confidence") + 0.5).otherwise(F.col("confidence")))
     after = CT.fingerprint_points(edited, KEY).withColumnRenamed("fingerprint", "f2")
-    return before.join(after, KEY).agg(
-        F.count(F.lit(1)).alias("n_tracks"), F.countDistinct("fingerprint").alias("n_tokens"),
-        F.coalesce(F.sum((F.col("fingerprint") == F.col("f2")).cast("int")), F.lit(0)).cast("int").alias("n_unchanged"),
-    )
+    return before.join(after, KEY).select("clip_id", "fingerprint", (F.col("fingerprint") != F.col("f2")).alias("edit_seen"))
