@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..constants import CORE_METRICS
+from .metrics import track_metrics
 
 Keys = Sequence[str]
 
@@ -44,6 +45,19 @@ def clip_reports(entries: DataFrame, metrics: DataFrame, runs: DataFrame) -> Dat
     )
 
 
+def evaluate(manifest: DataFrame, truth: DataFrame, guesses: DataFrame, runs: DataFrame, *, split: str = "dev", include_holdout: bool = False) -> DataFrame:
+    """Clip reports of the track clips of a split, from annotations and predictions.
+
+    ``manifest``: clip_id, task, difficulty, split, hidden, entry_no; ``runs`` as in clip_reports.
+    Points of clips outside the split are dropped before they are matched.
+    """
+    entries = select_split(manifest.filter(F.col("task") == "track"), split, include_holdout=include_holdout)
+    mine = entries.select("clip_id").distinct()
+    kept = [points.join(mine, "clip_id", "left_semi") for points in (truth, guesses)]
+    metrics = track_metrics(*kept, entries.select("clip_id", "difficulty").distinct(), ["clip_id"])
+    return clip_reports(entries, metrics, runs)
+
+
 def pass_rate(reports: DataFrame) -> DataFrame:
     return reports.agg(
         F.count(F.lit(1)).alias("n_clips"),
