@@ -8,7 +8,6 @@ MAX_VELOCITY_STEP = 10
 LOW_CONFIDENCE = 0.60
 
 # rulers and calibration
-DEFAULT_RULER_LENGTH_M = 1.0
 MIN_RULER_PIXELS = 8.0
 MAX_RULER_ANGLE_DEG = 25.0
 MIN_DEPTH_PIXELS = 12.0
@@ -48,8 +47,6 @@ OFF_PLANE_RATIO = 0.04
 
 # chat and context
 MAX_REPRESENTATIVE_POINTS = 24
-MAX_HISTORY_MESSAGES = 12
-KEPT_MESSAGES = 50
 
 # look-ahead prediction
 PREDICTION_LOOKBACK = 4

@@ -24,11 +24,6 @@ def attach(df: DataFrame, dim: DataFrame, keys: Sequence[str], how: str = "left"
     return df.join(tiles.join(dim, keys), [*keys, "tile"], how)
 
 
-def join_frames(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Frame-level join; the frame in the key keeps hot tracks spread."""
-    return left.join(right, [*keys, "frame"], how)
-
-
 def last_per_frame(df: DataFrame, keys: Sequence[str], position: str) -> DataFrame:
     """Keep the row with the highest ``position`` for each frame (a later duplicate wins)."""
     rest = [c for c in df.columns if c not in (*keys, "frame")]

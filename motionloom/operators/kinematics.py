@@ -187,7 +187,3 @@ def track_summary(points: DataFrame, keys: Keys) -> DataFrame:
         F.coalesce(F.avg(F.when(F.col("visible"), F.col("confidence"))), F.lit(0.0)).alias("mean_confidence"),
         F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("result_confidence"),
     )
-
-
-def sample_at(samples: DataFrame, frame: int) -> DataFrame:
-    return samples.filter(F.col("frame") == frame)

@@ -124,9 +124,3 @@ def estimate_shake(anchors: DataFrame, keys: Keys) -> DataFrame:
         "pairs", F.when(F.col("frame") == 0, F.col("pairs")).otherwise(kept)
     )
     return robust_shift(again, keys)
-
-
-def anchors_at(anchors: Column, frame: Column) -> Column:
-    """Anchors of a clamped frame without the lost ones; ``anchors`` is an array of arrays."""
-    at = F.greatest(F.lit(0), F.least(frame, F.size(anchors) - 1))
-    return F.filter(F.get(anchors, at), lambda p: p.isNotNull())

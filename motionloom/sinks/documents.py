@@ -11,9 +11,14 @@ def write_reports(reports: DataFrame, path: str) -> None:
     reports.write.mode("overwrite").json(path)
 
 
-def write_track_json(points: DataFrame, path: str) -> None:
-    """Points as JSON lines, one folder per clip, in frame order; tracks are never gathered."""
-    points.repartitionByRange("clip_id", "frame").sortWithinPartitions("clip_id", "frame").write.mode("overwrite").partitionBy("clip_id").json(path)
+def write_track_json(points: DataFrame, path: str, buckets: int = 64) -> None:
+    """Points as JSON lines in frame order, in a bounded number of folders by hash of the clip.
+
+    Ranges of (bucket, clip, frame) are dealt to the tasks, so a long track is never gathered.
+    """
+    placed = points.withColumn("bucket", F.pmod(F.xxhash64("clip_id"), F.lit(buckets)).cast("int"))
+    order = ("bucket", "clip_id", "frame")
+    placed.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").json(path)
 
 
 def project_documents(projects: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import quality
+from ..session import stored
 
 
 def fixed(value: Column, digits: int) -> Column:
@@ -43,8 +44,9 @@ def write_track_csv(samples: DataFrame, path: str, keys: Sequence[str] = ("clip_
     """One folder per unit, partitioned by clip, rows in frame order inside a file.
 
     Export stays distributed: clips are spread by key and frame range and never pulled together.
+    The cells are worked out once and stored, as each unit has its own header and write.
     """
-    rows = csv_rows(samples, keys)
+    rows = stored(csv_rows(samples, keys))
     for unit in ("px", "m"):
         part = rows.filter(F.col("unit") == unit).drop("unit").withColumnsRenamed(headers(unit))
         ordered = part.repartitionByRange(*keys, "frame").sortWithinPartitions(*keys, "frame")

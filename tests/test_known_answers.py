@@ -30,13 +30,13 @@ def test_experiments_are_recognised(spark):
         points = points.unionByName(c)
     xy = lambda v: F.struct(F.lit(float(v)).alias("x"), F.lit(0.0).alias("y"))
     cal = cal_fn.solve(points.select("clip_id").distinct().withColumns(cal_fn.uniform_record(xy(0), xy(100), F.lit(1.0))), KEY, planar=False)
-    lengths = points.select("clip_id").distinct().withColumn("length_m", F.lit(0.3578))
+    lengths = points.select("clip_id").distinct().withColumn("length_m", F.lit(0.3007))
     found = {r.clip_id: r for r in analysis.analyze(points, KEY, calibration=cal, pendulum_length=lengths, period_hint=True).collect()}
     kinds = {"slider": "uniform_linear", "free_fall": "free_fall", "acceleration": "uniform_accel", "projectile": "projectile", "pendulum": "pendulum"}
     assert {k: found[k].candidates[0].experiment_type for k in kinds} == kinds
     assert found["free_fall"].candidates[0].parameters["g"] == pytest.approx(9.81, rel=0.01)
     assert found["acceleration"].candidates[0].parameters["a"] == pytest.approx(1.2, rel=0.01)
-    assert found["pendulum"].candidates[0].parameters["T"] == pytest.approx(1.2, rel=0.02)
+    assert found["pendulum"].candidates[0].parameters["T"] == pytest.approx(1.1, rel=0.02)
 
 
 def shake_of(spark, frames):
