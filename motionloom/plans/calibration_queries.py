@@ -210,19 +210,31 @@ def track_csv(spark, sf_dir):
     return rows.select("clip_id", "unit", "frame", "time_s", "x", "y", "visible", "confidence", "sigma_x", "quality", "off_plane_m", "source")
 
 
+def _bent(u: str, v: str, axis: int) -> str:
+    """Lens distortion of an image point of the records that have a lens."""
+    x, y = f"(({u} - 160e0) / 400e0)", f"(({v} - 120e0) / 410e0)"
+    r2 = f"({x}*{x} + {y}*{y})"
+    radial = f"(1e0 - 0.1e0 * {r2} + 0.01e0 * {r2} * {r2})"
+    moved = (
+        f"400e0 * ({x} * {radial} + 2e0 * 0.001e0 * {x} * {y} - 0.002e0 * ({r2} + 2e0 * {x} * {x})) + 160e0",
+        f"410e0 * ({y} * {radial} + 0.001e0 * ({r2} + 2e0 * {y} * {y}) - 2e0 * 0.002e0 * {x} * {y}) + 120e0",
+    )[axis]
+    return f"(CASE WHEN {LENS} THEN {moved} ELSE {(u, v)[axis]} END)"
+
+
 @register(
     "grid_lines",
     with_ctes(
-        f"""SELECT clip_id, CAST(i AS INT) AS line, round(x0, 5) + 0.0 AS x0, round(y0, 5) + 0.0 AS y0, round(x1, 5) + 0.0 AS x1, round(y1, 5) + 0.0 AS y1 FROM (
+        f"""SELECT clip_id, CAST(i AS INT) AS line, round({_bent('x0', 'y0', 0)}, 5) + 0.0 AS x0, round({_bent('x0', 'y0', 1)}, 5) + 0.0 AS y0, round({_bent('x1', 'y1', 0)}, 5) + 0.0 AS x1, round({_bent('x1', 'y1', 1)}, 5) + 0.0 AS y1 FROM (
         SELECT clip_id, i, {_h('g', 'ax', 'ay', 0)} AS x0, {_h('g', 'ax', 'ay', 1)} AS y0, {_h('g', 'bx_', 'by_', 0)} AS x1, {_h('g', 'bx_', 'by_', 1)} AS y1 FROM
         (SELECT r.*, i, CASE WHEN i < 5 THEN 0.5e0 * i ELSE 0e0 END AS ax, CASE WHEN i < 5 THEN 0e0 ELSE 0.375e0 * (i - 5) END AS ay, CASE WHEN i < 5 THEN 0.5e0 * i ELSE 2e0 END AS bx_, CASE WHEN i < 5 THEN 1.5e0 ELSE 0.375e0 * (i - 5) END AS by_
-        FROM rec r, range(10) g(i) WHERE mode = 'planar' AND r.clip_id % 8 <> 7))""",
+        FROM rec r, range(10) g(i) WHERE mode = 'planar'))""",
         *record_ctes(None),
     ),
 )
 def grid_lines(spark, sf_dir):
-    """Metre grid of planar records without a lens (with one, lines are also distorted)."""
-    c = V.calibrations(spark, sf_dir).filter("clip_id % 8 != 7")
+    """Metre grid of planar records; with a lens its ends are distorted."""
+    c = V.calibrations(spark, sf_dir)
     lines = c.select("clip_id", F.posexplode(cal_fn.grid_lines(F.col("cal"))).alias("line", "l")).select("clip_id", "line", "l.*")
     return rounded(lines, "x0", "y0", "x1", "y1", digits=5)
 

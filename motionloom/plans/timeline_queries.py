@@ -15,7 +15,7 @@ from .sql_views import FLIPPED, with_ctes
 
 KEY = V.KEY
 BOUNDS = ("bounds", "SELECT clip_id, clip_id % 3 AS a, max(frame) + clip_id % 4 AS z FROM pt GROUP BY clip_id")
-SPARSE = ("sp", "SELECT * FROM pt WHERE event_id % 3 = 0")
+SPARSE = ("sp", "SELECT * FROM pt WHERE frame % 3 = 0 OR manual")
 
 
 @register(
@@ -41,26 +41,26 @@ def densify(spark, sf_dir):
     "sample_grid",
     with_ctes(
         """SELECT DISTINCT clip_id, CAST(f AS INT) AS frame FROM (SELECT clip_id, unnest(range(a, z + 1, 3)) AS f FROM bounds UNION ALL SELECT clip_id, z FROM bounds
-        UNION ALL SELECT p.clip_id, p.frame FROM pt p JOIN bounds b USING (clip_id) WHERE p.event_id % 17 = 0 AND p.frame BETWEEN b.a AND b.z)""",
+        UNION ALL SELECT p.clip_id, p.frame FROM pt p JOIN bounds b USING (clip_id) WHERE p.manual AND p.frame BETWEEN b.a AND b.z)""",
         "pt", BOUNDS,
     ),
 )
 def sample_grid(spark, sf_dir):
     points = V.event_points(spark, sf_dir)
-    return TL.sample_grid(V.clip_bounds(points), KEY, 3, points.filter("event_id % 17 = 0").select("clip_id", "frame"))
+    return TL.sample_grid(V.clip_bounds(points), KEY, 3, points.filter("manual").select("clip_id", "frame"))
 
 
 @register(
     "remap_prompts",
     with_ctes(
         """SELECT p.clip_id, p.event_id, CAST(o.k AS INT) AS frame FROM pt p JOIN (SELECT clip_id, frame, row_number() OVER (PARTITION BY clip_id ORDER BY frame) - 1 AS k FROM sp) o
-        ON o.clip_id = p.clip_id AND o.frame = p.frame WHERE p.event_id % 2 = 0""",
+        ON o.clip_id = p.clip_id AND o.frame = p.frame""",
         "pt", SPARSE,
     ),
 )
 def remap_prompts(spark, sf_dir):
     points = V.event_points(spark, sf_dir)
-    prompts = points.filter("event_id % 2 = 0").select("clip_id", "event_id", "frame")
+    prompts = points.select("clip_id", "event_id", "frame")
     return TL.remap_prompts(prompts, V.sparse_points(points).select("clip_id", "frame"), KEY)
 
 
@@ -237,13 +237,13 @@ def frame_delays(spark, sf_dir):
 @register(
     "index_of_pts",
     with_ctes(
-        """SELECT q.clip_id, q.query_id, coalesce(min(i.frame) FILTER (i.pts >= q.value), max(i.frame)) AS frame FROM (SELECT user_id AS clip_id, event_id AS query_id, epoch_us(ts) + 1000000 AS value FROM events WHERE event_id % 7 = 0) q
+        """SELECT q.clip_id, q.query_id, coalesce(min(i.frame) FILTER (i.pts >= q.value), max(i.frame)) AS frame FROM (SELECT user_id AS clip_id, event_id AS query_id, epoch_us(ts) + 1000000 AS value FROM events) q
         JOIN ix i ON i.clip_id = q.clip_id GROUP BY q.clip_id, q.query_id""",
         PACKETS, INDEX,
     ),
 )
 def index_of_pts(spark, sf_dir):
-    e = V.table(spark, sf_dir, "events").filter("event_id % 7 = 0")
+    e = V.table(spark, sf_dir, "events")
     wanted = e.select(F.col("user_id").alias("clip_id"), F.col("event_id").alias("query_id"), (V.micros(F.col("ts")) + 1_000_000).alias("value"))
     return VI.index_of_pts(_index(spark, sf_dir), wanted, KEY)
 
@@ -276,13 +276,13 @@ def merge_points(spark, sf_dir):
     with_ctes(
         """SELECT clip_id, frame, x, y, visible, confidence, manual, FALSE AS interpolated FROM pt p WHERE NOT EXISTS (SELECT 1 FROM fix f WHERE f.clip_id = p.clip_id AND f.frame = p.frame)
         UNION ALL SELECT clip_id, frame, x, y, TRUE, 1.0, TRUE, FALSE FROM fix""",
-        "pt", ("fix", "SELECT clip_id, CAST(frame + CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1000 END AS INT) AS frame, x + 1 AS x, y - 1 AS y FROM pt WHERE event_id % 41 = 0"),
+        "pt", ("fix", "SELECT clip_id, CAST(frame + CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1000 END AS INT) AS frame, x + 1 AS x, y - 1 AS y FROM pt WHERE confidence < 0.75 OR NOT visible"),
     ),
 )
 def override_points(spark, sf_dir):
     points = V.event_points(spark, sf_dir)
     even = F.col("event_id") % 2 == 0
-    fixes = points.filter("event_id % 41 = 0").select(
+    fixes = points.filter("confidence < 0.75 or not visible").select(
         "clip_id", (F.col("frame") + F.when(even, 0).otherwise(1000)).alias("frame"), (F.col("x") + 1).alias("x"), (F.col("y") - 1).alias("y")
     )
     return J.override_points(points, fixes, KEY)
@@ -309,14 +309,14 @@ def compensate_shake(spark, sf_dir):
     "nearest_in_time",
     with_ctes(
         """SELECT clip_id, cursor_id, frame, round(time_s, 6) AS time_s FROM (SELECT c.clip_id, c.event_id AS cursor_id, p.frame, p.time_s, row_number() OVER (PARTITION BY c.clip_id, c.event_id ORDER BY abs(p.time_s - c.at_s), p.frame) AS rk
-        FROM (SELECT clip_id, event_id, time_s + 1800 * (event_id % 50) AS at_s FROM pt WHERE event_id % 11 = 0) c JOIN pt p ON p.clip_id = c.clip_id) WHERE rk = 1""",
+        FROM (SELECT clip_id, event_id, time_s + 1800 * (event_id % 50) AS at_s FROM pt) c JOIN pt p ON p.clip_id = c.clip_id) WHERE rk = 1""",
         "pt",
     ),
 )
 def nearest_in_time(spark, sf_dir):
     points = V.event_points(spark, sf_dir)
     i = F.col("event_id")
-    cursors = points.filter("event_id % 11 = 0").select("clip_id", i.alias("cursor_id"), (F.col("time_s") + (i % 50) * 1800).alias("at_s"))
+    cursors = points.select("clip_id", i.alias("cursor_id"), (F.col("time_s") + (i % 50) * 1800).alias("at_s"))
     return J.nearest_in_time(points, cursors, KEY).select("clip_id", "cursor_id", "frame", r("time_s").alias("time_s"))
 
 
