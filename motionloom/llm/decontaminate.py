@@ -12,24 +12,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .shared import ascii_lower, indices, small_side, text_digest, text_key
 
 WIDTH = 13
 PASSAGES_BROADCAST = 200_000  # passages up to which they are broadcast; beyond, the join shuffles
 
-# Fixed character classes of the word definition, before and after lower-casing.
+# Fixed character class between words, after lower-casing.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(text), GAPS), "")
 
 
-def count_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(ANY_CASE_WORD)), F.lit(0)).cast("long")
-
-
 def passages(items: DataFrame, width: int = WIDTH) -> DataFrame:
     """item_id, passage, body: windows of each item; wordless items have none."""
     rows = items.filter(F.col("text").isNotNull()).select("item_id", words_of(F.col("text")).alias("words"))
@@ -39,9 +35,11 @@ def passages(items: DataFrame, width: int = WIDTH) -> DataFrame:
     return bodies.select("item_id", F.sha2(F.array_join("body", " "), 256).alias("passage"), "body").distinct()
 
 
-def document_words(docs: DataFrame) -> DataFrame:
-    rows = docs.filter(F.col("text").isNotNull()).select("doc_id", text_key(F.col("text")).alias("key"), words_of(F.col("text")).alias("words"))
-    return rows.select("doc_id", "key", "words", F.posexplode("words").alias("pos", "word"))
+def document_words(docs: DataFrame, *after: str) -> DataFrame:
+    """doc_id, key, words, pos, word; `after` stands behind the last word of each text."""
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("key"), words_of(F.coalesce("text", F.lit(""))).alias("words"))
+    spread = F.concat("words", F.array(*[F.lit(x) for x in after])) if after else F.col("words")
+    return rows.select("doc_id", "key", "words", F.posexplode(spread).alias("pos", "word"))
 
 
 def anchored(docs: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -60,15 +58,23 @@ def anchored(docs: DataFrame, bodies: DataFrame) -> DataFrame:
     return bodies.join(heads, "passage").withColumn("size", F.size("body"))
 
 
-def occurrences(docs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """doc_id, key, passage, start, size: every exact occurrence of a passage."""
-    heads = small_side(anchored(docs, bodies), PASSAGES_BROADCAST)
+def occurrences(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, key, start, size, items: every exact occurrence of a passage.
+
+    Each text also gives one row of size 0 at its end, so that its words are counted on the way.
+    """
+    found = passages(items, width)
+    named = found.groupBy("passage", "body").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
+    heads = anchored(docs, named.select("passage", "body")).join(named.select("passage", "items"), "passage")
+    columns = ("token", "offset", "second", "second_offset", "size", "body", "items")
+    end = docs.sparkSession.range(1).select(F.xxhash64(F.lit("")), F.lit(0), F.lit(None).cast("string"), F.lit(None).cast("int"), F.lit(0), F.array().cast("array<string>"), F.array().cast("array<string>")).toDF(*columns)
+    heads = small_side(stored(heads.select(*columns).unionByName(end)), PASSAGES_BROADCAST)
     start = F.col("pos") - F.col("offset")
     fits = (start >= 0) & (start + F.col("size") <= F.size("words"))
     second = F.col("second").isNull() | (F.get(F.col("words"), start + F.col("second_offset")) == F.col("second"))
     exact = F.slice("words", F.when(fits, start + 1).otherwise(1), F.col("size")) == F.col("body")
-    met = document_words(docs).withColumn("token", F.xxhash64("word")).join(heads, "token")
-    return met.filter(fits & second & exact).select("doc_id", "key", "passage", start.alias("start"), "size")
+    met = document_words(docs, "").withColumn("token", F.xxhash64("word")).join(heads, "token")
+    return met.filter(fits & second & exact).select("doc_id", "key", start.alias("start"), "size", "items")
 
 
 def hits(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -77,15 +83,16 @@ def hits(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     Null texts have no words; an empty item table hits nothing; rows that repeat doc_id and text
     get the same result each. Other columns are not read.
     """
-    found = passages(items, width)
-    where = occurrences(docs, found.select("passage", "body").distinct())
-    named = where.join(found.select("passage", "item_id"), "passage")
-    per_doc = named.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "size")).alias("ranges"), F.collect_set(F.col("item_id").cast("string")).alias("items"))
+    inside, end = F.col("size") > 0, F.col("size") == 0
+    per_doc = occurrences(docs, items, width).groupBy("doc_id", "key").agg(
+        F.max(F.when(end, F.col("start"))).cast("long").alias("n_words"),
+        F.count(F.when(end, F.lit(1))).cast("int").alias("rows"),
+        F.collect_set(F.when(inside, F.struct("start", "size"))).alias("ranges"),
+        F.collect_set(F.when(inside, F.col("items"))).alias("items"),
+    )
     covered = F.array_distinct(F.flatten(F.transform("ranges", lambda r: F.sequence(r["start"], r["start"] + r["size"] - 1))))
-    per_doc = per_doc.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.size(covered).cast("long").alias("n_hit"), F.array_sort("items").alias("items"))
-    base = docs.select("doc_id", text_key(F.col("text")).alias("key"), count_words(F.col("text")).alias("n_words"))
-    joined = base.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")), "left")
-    return joined.select("doc_id", "key", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    each = F.explode(F.array_repeat(F.lit(1), F.col("rows"))).alias("each")
+    return per_doc.select("doc_id", "key", "n_words", F.size(covered).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"), each).drop("each")
 
 
 def is_contaminated() -> Column:
