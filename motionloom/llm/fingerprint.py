@@ -78,11 +78,11 @@ def before(stretches: DataFrame) -> DataFrame:
     return inner.join(tops, "above").select("stretch", F.coalesce("inner", "outer").alias("prev"))
 
 
-def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """Rows of `docs` with next_<column>: the next document's, by doc_id; after the last the first.
+def with_followers(docs: DataFrame) -> DataFrame:
+    """Rows of `docs` and, for each stretch of ids, a copy of the row that follows its last one.
 
-    Ids are cut into stretches that are ordered apart; each gets a copy of the row that follows its
-    last one. Null ids come first; rows of one id are ordered by a hash of their text.
+    Null ids come first; rows of one id are ordered by a hash of their text. Adds _stretch, _key
+    and _copy, by which `with_next` orders each stretch apart.
     """
     rows = docs.withColumns({"_key": text_key(F.col("text")), "_stretch": F.coalesce(_stretch(F.col("doc_id"), ID_CELL).cast("long"), F.lit(-(1 << 62)))})
     slim = rows.select(F.col("_stretch").alias("stretch"), F.coalesce("doc_id", F.lit(-(1 << 62))).alias("id"), F.coalesce("_key", F.lit(0)).alias("key"))
@@ -90,7 +90,11 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     heads = heads.join(before(heads.select("stretch")), "stretch").select(F.col("head.id").alias("_hid"), F.col("head.key").alias("_hkey"), F.col("prev").alias("_prev"))
     same = (F.coalesce("doc_id", F.lit(-(1 << 62))) == F.col("_hid")) & (F.coalesce("_key", F.lit(0)) == F.col("_hkey"))
     copies = rows.join(small_side(heads), same).withColumn("_stretch", F.col("_prev")).drop("_hid", "_hkey", "_prev")
-    both = rows.withColumn("_copy", F.lit(0)).unionByName(copies.withColumn("_copy", F.lit(1)))
+    return rows.withColumn("_copy", F.lit(0)).unionByName(copies.withColumn("_copy", F.lit(1)))
+
+
+def with_next(both: DataFrame, carried: list[str]) -> DataFrame:
+    """Rows of `with_followers` with next_<column> of the next document by doc_id; the copies go."""
     order = Window.partitionBy("_stretch").orderBy("_copy", "doc_id", "_key")
     led = both.withColumns({f"next_{c}": F.lead(c).over(order) for c in carried})
     return led.filter("_copy = 0").drop("_copy", "_stretch", "_key")
@@ -109,7 +113,7 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     Null texts are empty; a single document is its own next one; repeated rows stay repeated.
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    led = with_next(with_cells(texts, "text", "cells"), ["text", "cells"])
+    led = with_next(with_cells(with_followers(texts), "text", "cells"), ["text", "cells"])
     led = with_cells(led.withColumn("edited", edited_text()), "edited", "edited_cells")
     return led.select(
         "doc_id",
