@@ -3,8 +3,8 @@
 A run is resampled interval by interval on a grid of its median spacing. The grid is cut into
 tiles; each pair of tiles that lie `ahead` tiles apart gives, by one Fourier product, its part of
 the lag products of both coordinates, and the parts are summed by lag. No task holds more than
-two tiles, whatever the length of a run or of a pause in it. Runs of one and of many tiles take
-the same way.
+two tiles, whatever the length of a run or of a pause in it. A run of one tile is answered where
+its products are made.
 """
 
 from __future__ import annotations
@@ -153,6 +153,26 @@ def first_peaks(products: DataFrame, grids: DataFrame, keys: list[str]) -> DataF
     return long.filter("_p.lag is not null").select(*keys, "_p.axis", (F.col("_p.lag") * F.col("dt")).alias("period_s"))
 
 
+def short_periods(centred: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, axis, period_s of runs whose grid is one tile, by the same rules."""
+    schema = T.StructType([*[centred.schema[k] for k in keys], T.StructField("axis", T.StringType()), T.StructField("period_s", T.DoubleType())])
+
+    def answer(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        size, dt = int(pdf["size"].iloc[0]), float(pdf["dt"].iloc[0])
+        line = np.zeros((len(AXES), size))
+        line[:, pdf["g"].to_numpy()] = pdf[list(AXES)].to_numpy().T
+        power = np.abs(np.fft.rfft(line, 2 * size)) ** 2
+        products = np.fft.irfft(power, 2 * size)[:, :size]
+        inner = products[:, 1:-1]
+        top = products[:, :1]
+        crest = (inner > CLEAR_SHARE * top) & (inner >= np.maximum(products[:, :-2], products[:, 2:]) - TOLERANCE * top)
+        crest[:, : max(2, int(SHORTEST_S / dt)) - 1] = False
+        found = [(axis, (int(np.argmax(row)) + 1) * dt) for axis, row, ok in zip(AXES, crest, top[:, 0] > 0, strict=True) if ok and row.any() and pdf[f"_s{axis}"].iloc[0] >= FLAT]
+        return pd.DataFrame([[*key, *f] for f in found], columns=schema.names)
+
+    return centred.groupBy(*keys).applyInPandas(answer, schema)
+
+
 def correlation_periods(rows: DataFrame, keys: Keys) -> DataFrame:
     """keys, axis, period_s of the runs and coordinates whose autocorrelation has a clear peak.
 
@@ -162,12 +182,14 @@ def correlation_periods(rows: DataFrame, keys: Keys) -> DataFrame:
     keys = list(keys)
     even, grids = even_grid(rows, keys)
     means = even.groupBy(*keys).agg(*[F.avg(a).alias(f"_m{a}") for a in AXES])
-    centred = even.join(means, keys).join(grids.select(*keys, "size"), keys).withColumns({a: F.col(a) - F.col(f"_m{a}") for a in AXES}).drop("_mx", "_my")
-    near = first_peaks(lag_products(_pairs(centred, keys, F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))), keys), grids, keys)
+    centred = even.join(means, keys).join(grids, keys).withColumns({a: F.col(a) - F.col(f"_m{a}") for a in AXES}).drop("_mx", "_my")
+    short = short_periods(centred.filter(F.col("size") <= GRID_TILE), keys)
+    long = centred.filter(F.col("size") > GRID_TILE)
+    near = first_peaks(lag_products(_pairs(long, keys, F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))), keys), grids, keys)
     if not is_tiled(rows):
-        return near
+        return short.unionByName(near)
     done = near.groupBy(*keys).agg(F.countDistinct("axis").alias("_axes")).filter(F.col("_axes") == len(AXES))
-    rest = centred.filter(F.col("size") > 2 * GRID_TILE).join(done, keys, "left_anti")
+    rest = long.filter(F.col("size") > 2 * GRID_TILE).join(done, keys, "left_anti")
     every = F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / GRID_TILE).cast("long"))
     far = first_peaks(lag_products(_pairs(rest, keys, every), keys), grids, keys)
-    return near.unionByName(far).groupBy(*keys, "axis").agg(F.min("period_s").alias("period_s"))
+    return short.unionByName(near).unionByName(far).groupBy(*keys, "axis").agg(F.min("period_s").alias("period_s"))

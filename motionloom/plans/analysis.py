@@ -16,7 +16,7 @@ from ..operators import kinematics as kin
 from ..operators.joins import attach
 from ..operators.periods import periods
 from ..operators.tiling import is_tiled
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 
 Keys = Sequence[str]
 
@@ -131,8 +131,7 @@ def _swings(rows: DataFrame, best: DataFrame, keys: list[str]) -> DataFrame:
     )
     able = best.filter((F.col("n") >= C.MIN_PENDULUM_POINTS) & ~orbit).select(*keys, F.col("run_id").alias("_run"))
     long = attach(rows, able, keys, "inner").filter("run_id = _run")
-    if is_tiled(rows):
-        long = cut_lineage(long)
+    long = stored(long)  # read by each estimate and by the fit; everything before it runs once
     swings = fit.harmonic_fit(long, periods(long, keys), keys)
     return swings.select(*keys, F.col("period_s").alias("p_T"), F.col("r2").alias("p_r2"), F.col("nrmse").alias("p_nrmse"))
 

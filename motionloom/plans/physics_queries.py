@@ -8,6 +8,7 @@ from ..functions import poly
 from ..operators import fitting as fit
 from ..operators import kinematics as K
 from ..operators.periods import periods
+from ..session import stored
 from . import analysis as A
 from . import views as V
 from .registry import r, register, rounded
@@ -81,7 +82,7 @@ LONGEST = ("pick", "SELECT clip_id, run_id FROM (SELECT clip_id, run_id, row_num
 )
 def period_estimate(spark, sf_dir):
     rows = _longest_rows(V.motion_points(spark, sf_dir))
-    return rounded(periods(rows, KEY).filter("period_s is not null"), "period_s")
+    return rounded(periods(stored(rows), KEY).filter("period_s is not null"), "period_s")
 
 
 @register(
