@@ -153,24 +153,29 @@ def first_peaks(products: DataFrame, grids: DataFrame, keys: list[str]) -> DataF
     return long.filter("_p.lag is not null").select(*keys, "_p.axis", (F.col("_p.lag") * F.col("dt")).alias("period_s"))
 
 
+@F.pandas_udf("x double, y double")
+def tile_periods(x: pd.Series, y: pd.Series, dt: pd.Series) -> pd.DataFrame:
+    """Period of each coordinate of whole grids, null where no lag is clear."""
+    out = np.full((len(dt), len(AXES)), np.nan)
+    for row, (*lines, step) in enumerate(zip(x, y, dt, strict=True)):
+        line = np.stack(lines)
+        size = line.shape[1]
+        products = np.fft.irfft(np.abs(np.fft.rfft(line, 2 * size)) ** 2, 2 * size)[:, :size]
+        inner, top = products[:, 1:-1], products[:, :1]
+        crest = (inner > CLEAR_SHARE * top) & (inner >= np.maximum(products[:, :-2], products[:, 2:]) - TOLERANCE * top) & (top > 0)
+        crest[:, : max(2, int(SHORTEST_S / step)) - 1] = False
+        out[row] = np.where(crest.any(axis=1), (crest.argmax(axis=1) + 1) * step, np.nan)
+    made = pd.DataFrame(out, columns=list(AXES)).astype(object)
+    return made.where(made.notna(), None)
+
+
 def short_periods(centred: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, axis, period_s of runs whose grid is one tile, by the same rules."""
-    schema = T.StructType([*[centred.schema[k] for k in keys], T.StructField("axis", T.StringType()), T.StructField("period_s", T.DoubleType())])
-
-    def answer(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        size, dt = int(pdf["size"].iloc[0]), float(pdf["dt"].iloc[0])
-        line = np.zeros((len(AXES), size))
-        line[:, pdf["g"].to_numpy()] = pdf[list(AXES)].to_numpy().T
-        power = np.abs(np.fft.rfft(line, 2 * size)) ** 2
-        products = np.fft.irfft(power, 2 * size)[:, :size]
-        inner = products[:, 1:-1]
-        top = products[:, :1]
-        crest = (inner > CLEAR_SHARE * top) & (inner >= np.maximum(products[:, :-2], products[:, 2:]) - TOLERANCE * top)
-        crest[:, : max(2, int(SHORTEST_S / dt)) - 1] = False
-        found = [(axis, (int(np.argmax(row)) + 1) * dt) for axis, row, ok in zip(AXES, crest, top[:, 0] > 0, strict=True) if ok and row.any() and pdf[f"_s{axis}"].iloc[0] >= FLAT]
-        return pd.DataFrame([[*key, *f] for f in found], columns=schema.names)
-
-    return centred.groupBy(*keys).applyInPandas(answer, schema)
+    """keys, axis, period_s of runs whose grid is one tile: its points, at most GRID_TILE, are one row."""
+    swings = [f"_s{a}" for a in AXES]
+    whole = centred.groupBy(*keys, "dt", *swings).agg(F.sort_array(F.collect_list(F.struct("g", *AXES))).alias("_p"))
+    found = whole.select(*keys, *swings, tile_periods("_p.x", "_p.y", "dt").alias("_t"))
+    axes = F.array(*[F.struct(F.lit(a).alias("axis"), F.when(F.col(f"_s{a}") >= FLAT, F.col(f"_t.{a}")).alias("period_s")) for a in AXES])
+    return found.select(*keys, F.explode(axes).alias("_a")).select(*keys, "_a.*").filter("period_s is not null")
 
 
 def correlation_periods(rows: DataFrame, keys: Keys) -> DataFrame:
