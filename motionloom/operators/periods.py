@@ -153,7 +153,7 @@ def first_peaks(products: DataFrame, grids: DataFrame, keys: list[str]) -> DataF
     return long.filter("_p.lag is not null").select(*keys, "_p.axis", (F.col("_p.lag") * F.col("dt")).alias("period_s"))
 
 
-@F.pandas_udf("x double, y double")
+@F.pandas_udf(T.StructType([T.StructField(axis, T.DoubleType()) for axis in AXES]))
 def tile_periods(x: pd.Series, y: pd.Series, dt: pd.Series) -> pd.DataFrame:
     """Period of each coordinate of whole grids, null where no lag is clear."""
     out = np.full((len(dt), len(AXES)), np.nan)
