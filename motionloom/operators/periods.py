@@ -38,7 +38,8 @@ def periods(rows: DataFrame, keys: Keys) -> DataFrame:
     """keys + ``period_s``: from x, or from y where x gives none. ``rows``: one run per key.
 
     A coordinate's period is the mean of its correlation and its crossing estimate, or the one
-    there is. Runs that stand still along a coordinate have none there.
+    there is. Runs that stand still along a coordinate have none there; runs without a period have
+    no row.
     """
     keys = list(keys)
     found = correlation_periods(rows, keys).unionByName(crossing_periods(rows, keys))

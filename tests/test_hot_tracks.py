@@ -97,7 +97,7 @@ def test_runs_that_stand_still_or_pause(spark, monkeypatch):
     clips = spark.createDataFrame(rows, "clip_id int, frame int, time_s double, x double, y double")
     plain = {r.clip_id: r.period_s for r in periods.periods(clips, KEY).collect()}
     split = {r.clip_id: r.period_s for r in periods.periods(tiling.tile_tracks(clips, KEY, limit=50, tile_frames=32), KEY).collect()}
-    assert plain[1] is None and split[1] is None
+    assert 1 not in plain and 1 not in split
     assert plain[2] == pytest.approx(0.5, rel=0.05) and split[2] == pytest.approx(plain[2], rel=1e-9)
 
 
