@@ -43,7 +43,7 @@ def projectile(spark: SparkSession, n: int = 18) -> DataFrame:
     return clip(spark, "projectile", n, 30.0, lambda t: t * 80.0 + 20.0, lambda t: t * 20.0 + t * t * 490.5 + 20.0)
 
 
-def pendulum(spark: SparkSession, n: int = 60, period_s: float = 1.1, length_px: float = 80.0, swing_deg: float = 20.0) -> DataFrame:
+def pendulum(spark: SparkSession, n: int = 75, period_s: float = 1.1, length_px: float = 80.0, swing_deg: float = 20.0) -> DataFrame:
     angle = lambda t: F.cos(t * (2 * math.pi / period_s)) * math.radians(swing_deg)
     return clip(spark, "pendulum", n, 30.0, lambda t: F.sin(angle(t)) * length_px + 160.0, lambda t: F.cos(angle(t)) * length_px + 20.0)
 
