@@ -92,8 +92,8 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, bits: int = BITS) -> tuple[np.ndarray, float]:
     """Weights (2^bits) and bias from about `rows` labelled documents that are not held out.
 
-    The rows are chosen by a hash of doc_id, their features are made where the texts are, and one
-    task learns from them in the order of that hash. Without labelled rows all weights are zero.
+    The rows are chosen by a hash of doc_id, their features are made where the texts are, and these
+    bounded rows go to one task that learns from them in the order of that hash. Without labelled rows all weights are zero.
     """
     usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, rows / max(1, labels.count()))
@@ -119,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, bits: i
 
     bounded_batches(docs.sparkSession)
     made = joined.mapInArrow(featurize, "place long, toxic int, features array<int>")
-    kept = made.coalesce(1).mapInArrow(fit, "at long, weight double").collect()  # nonzero weights only, 2^bits at most
+    kept = made.repartition(1).mapInArrow(fit, "at long, weight double").collect()  # nonzero weights only, 2^bits at most
     weights, bias = np.zeros(1 << bits), 0.0
     for at, weight in kept:
         if at < 0:
