@@ -136,8 +136,8 @@ def lag_products(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return parts_of.groupBy(*keys, "lag").agg(*[F.sum(f"c{a}").alias(f"c{a}") for a in AXES])
 
 
-def first_peaks(products: DataFrame, grids: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, axis, period_s: the first lag at least as high as both neighbours and clear enough.
+def first_peaks(products: DataFrame, grids: DataFrame, keys: list[str], last: Column | None = None) -> DataFrame:
+    """keys, axis, period_s: the first lag, up to ``last``, at least as high as both neighbours and clear enough.
 
     Each lag meets its neighbours by an aggregate over the three lags around it, so a long run's
     lags stay spread.
@@ -148,6 +148,7 @@ def first_peaks(products: DataFrame, grids: DataFrame, keys: list[str]) -> DataF
     value = lambda a, d: F.max(F.when(F.col("_p.d") == d, F.col(f"c{a}"))).alias(f"{a}{d + 1}")
     near = about.groupBy(*keys, F.col("_p.lag").alias("lag")).agg(*[value(a, d) for a in AXES for d in (-1, 0, 1)])
     tried = near.join(heads, keys).filter((F.col("lag") >= F.greatest(F.lit(2), F.floor(F.lit(SHORTEST_S) / F.col("dt")))) & (F.col("lag") < F.col("size") - 1))
+    tried = tried if last is None else tried.filter(F.col("lag") <= last)
     hit = lambda a: (F.col(f"_s{a}") >= FLAT) & (F.col(f"_z{a}") > 0) & (F.col(f"{a}1") > F.col(f"_z{a}") * CLEAR_SHARE) & (F.col(f"{a}1") >= F.greatest(f"{a}0", f"{a}2") - F.col(f"_z{a}") * TOLERANCE)
     firsts = tried.groupBy(*keys, "dt").agg(*[F.min(F.when(hit(a), F.col("lag"))).alias(a) for a in AXES])
     long = firsts.select(*keys, "dt", F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("lag")) for a in AXES])).alias("_p"))
@@ -182,8 +183,9 @@ def short_periods(centred: DataFrame, keys: list[str]) -> DataFrame:
 def correlation_periods(rows: DataFrame, keys: Keys) -> DataFrame:
     """keys, axis, period_s of the runs and coordinates whose autocorrelation has a clear peak.
 
-    Lags inside neighbouring tiles are tried first; only runs that have more tiles and no peak
-    there go on to all their tile pairs.
+    Lags inside neighbouring tiles are tried first. In a grid of more than two tiles their products
+    are whole up to lag GRID_TILE only, so peaks count up to the lag before it; runs that have more
+    tiles and a moving coordinate without such a peak go on to all their tile pairs.
     """
     keys = list(keys)
     even, grids = even_grid(rows, keys)
@@ -191,11 +193,13 @@ def correlation_periods(rows: DataFrame, keys: Keys) -> DataFrame:
     centred = even.join(means, keys).join(grids, keys).withColumns({a: F.col(a) - F.col(f"_m{a}") for a in AXES}).drop("_mx", "_my")
     short = short_periods(centred.filter(F.col("size") <= GRID_TILE), keys)
     long = centred.filter(F.col("size") > GRID_TILE)
-    near = first_peaks(lag_products(_pairs(long, keys, F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))), keys), grids, keys)
-    if not is_tiled(rows):
-        return short.unionByName(near)
-    done = near.groupBy(*keys).agg(F.countDistinct("axis").alias("_axes")).filter(F.col("_axes") == len(AXES))
-    rest = long.filter(F.col("size") > 2 * GRID_TILE).join(done, keys, "left_anti")
+    whole = F.when(F.col("size") > 2 * GRID_TILE, F.lit(GRID_TILE - 1)).otherwise(F.col("size"))
+    near = first_peaks(lag_products(_pairs(long, keys, F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))), keys), grids, keys, whole)
+    if not is_tiled(rows) and grids.filter(F.col("size") > 2 * GRID_TILE).isEmpty():
+        return short.unionByName(near)  # keeps the plan small where no run has more tiles
+    done = near.groupBy(*keys).agg(F.countDistinct("axis").alias("_axes"))
+    moving = sum((F.col(f"_s{a}") >= FLAT).cast("int") for a in AXES)
+    rest = long.filter(F.col("size") > 2 * GRID_TILE).join(done, keys, "left").filter(F.coalesce("_axes", F.lit(0)) < moving).drop("_axes")
     every = F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / GRID_TILE).cast("long"))
     far = first_peaks(lag_products(_pairs(rest, keys, every), keys), grids, keys)
     return short.unionByName(near).unionByName(far).groupBy(*keys, "axis").agg(F.min("period_s").alias("period_s"))

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +89,22 @@ def test_periods_of_split_runs(spark, monkeypatch):
     assert periods.periods(tiled, KEY).first()["period_s"] == pytest.approx(want, rel=1e-6)
 
 
+@pytest.mark.parametrize("tiles", [0.6, 1.8, 2.5])
+def test_periods_of_untiled_runs_of_many_grid_tiles(spark, monkeypatch, tiles):
+    width, n = 32, 400
+    monkeypatch.setattr(periods, "GRID_TILE", width)
+    turn = 2 * math.pi / (tiles * width)
+    x = np.array([math.sin(turn * f) + 0.4 * math.sin(3 * turn * f + 1) + 0.002 * f for f in range(n)])
+    y = np.array([math.cos(turn * f / 1.3) for f in range(n)])
+    clip = spark.createDataFrame([(1, f, f / 8, float(x[f]), float(y[f])) for f in range(n)], "clip_id int, frame int, time_s double, x double, y double")
+    want = {}
+    for axis, line in (("x", x), ("y", y)):
+        c = np.correlate(line - line.mean(), line - line.mean(), "full")[n - 1 :]
+        want[axis] = next(k / 8 for k in range(2, n - 1) if c[k] >= max(c[k - 1], c[k + 1]) and c[k] > periods.CLEAR_SHARE * c[0])
+    got = {r.axis: r.period_s for r in periods.correlation_periods(clip, KEY).collect()}
+    assert got == pytest.approx(want)
+
+
 def test_runs_that_stand_still_or_pause(spark, monkeypatch):
     monkeypatch.setattr(periods, "GRID_TILE", 64)
     monkeypatch.setattr(timeline, "CHUNK", 100)
