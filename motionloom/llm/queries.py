@@ -154,8 +154,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op10_lm_scoring")
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bigram scores of every document by the rest of the corpus; no SQL side at whole size."""
-    return lm_score.score(table(spark, sf_dir, "documents"))
+    """Trigram scores of every document by the rest of the corpus; no SQL side at whole size."""
+    return lm_score.score(table(spark, sf_dir, "documents"), order=3)
 
 
 @register("op1_minhash_near_dedup")

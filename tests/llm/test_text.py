@@ -205,6 +205,31 @@ def test_language_model_scores_equal_brute_force(spark, monkeypatch):
     assert lm_score.score(docs_of(spark, rows), 3).filter("mean_log_score > 0").count() == 0
 
 
+def brute_trigrams(docs, backoff=0.4):
+    words = [(t or "").encode().lower().split() for _, t in docs]
+    grams = lambda w: collections.Counter(tuple(w[k : k + n]) for n in (1, 2, 3) for k in range(len(w) - n + 1))
+    every = sum((grams(w) for w in words), collections.Counter())
+    out = []
+    for (i, _), w in zip(docs, words, strict=True):
+        own, total = grams(w), 0.0
+        rest = lambda g, own=own: every[g] - own[g]
+        for k, x in enumerate(w):
+            deep = min(k, 2)
+            n = next((n for n in range(deep, 0, -1) if rest(tuple(w[k - n : k + 1])) > 0), 0)
+            share = rest(tuple(w[k - n : k + 1])) / rest(tuple(w[k - n : k])) if n else max(1, rest((x,))) / max(1, sum(map(len, words)) - len(w))
+            total += (deep - n) * math.log(backoff) + math.log(share)
+        out.append((i, len(w), round(total, 6)))
+    return sorted(out, key=str)
+
+
+def test_registered_language_model_counts_trigrams(spark, tmp_path):
+    draw = random.Random(4)
+    rows = [(i, " ".join(draw.choices("A b c d".split(), k=draw.randint(0, 30)))) for i in range(40)] + [(60, None), (62, "b c"), (62, "b c"), (63, "b q c d")]
+    docs_of(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op10_lm_scoring(spark, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.n_words, round(r.log_score, 6)) for r in got), key=str) == brute_trigrams(rows)
+
+
 def test_pipeline_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     now = docs
