@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from .shared import indices, small_side, text_digest, text_key
 
 K, DEPTH, CELL_BITS = 3, 2, 6
-ID_CELL, CELLS_ABOVE = 1024, 4096  # ids in a stretch, stretches in one of the next level
+ID_CELL, CELLS_ABOVE = 1024, 4096  # ids in a stretch, stretches up to which they are one range
+RANGES = 256  # measured ranges of more stretches than that
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
@@ -64,13 +65,20 @@ def _stretch(value: Column, width: int) -> Column:
     return (value - F.pmod(value, F.lit(width))) / width
 
 
+def ranged(stretches: DataFrame) -> DataFrame:
+    """stretch, above: the number of its range, of RANGES about equal ones measured on the stretches."""
+    shares = [k / RANGES for k in range(1, RANGES)]
+    n, cuts = stretches.agg(F.count(F.lit(1)), F.percentile_approx("stretch", shares)).first()
+    cuts = F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts))]) if n > CELLS_ABOVE else F.array().cast("array<long>")
+    return stretches.select("stretch", F.size(F.filter(cuts, lambda c: c <= F.col("stretch"))).alias("above"))
+
+
 def before(stretches: DataFrame) -> DataFrame:
     """stretch, prev: the stretch before each, the last one before the first.
 
-    Lags run inside groups of CELLS_ABOVE stretch numbers; only one row of each group is ordered
-    as a whole, that is one in ID_CELL * CELLS_ABOVE ids.
+    Lags run inside ranges; only one row of each range is ordered as a whole, however the ids lie.
     """
-    grouped = stretches.select("stretch", _stretch(F.col("stretch"), CELLS_ABOVE).cast("long").alias("above"))
+    grouped = ranged(stretches)
     inner = grouped.withColumn("inner", F.lag("stretch").over(Window.partitionBy("above").orderBy("stretch")))
     tops = grouped.groupBy("above").agg(F.max("stretch").alias("last"))
     everything = Window.partitionBy(F.lit(0))

@@ -194,3 +194,13 @@ def test_edited_texts_and_next_documents(spark, monkeypatch):
 def test_edits_lie_nearer_than_the_next_document(spark, sf):
     rows = queries.QUERIES["op8_document_fingerprints"](spark, sf).agg(F.avg("near_edited"), F.avg("near_next")).first()
     assert rows[0] > 0.08 > 0.02 > rows[1]
+
+
+def test_sparse_ids_have_one_row_a_range_in_the_whole_order(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "CELLS_ABOVE", 4)
+    monkeypatch.setattr(fingerprint, "RANGES", 5)
+    ids = sorted({(k * 0x9E3779B97F4A7C15 + 7) % (1 << 53) - (1 << 52) for k in range(60)})
+    stretches = spark.createDataFrame([(i,) for i in ids], "stretch long")
+    counts = [r["count"] for r in fingerprint.ranged(stretches).groupBy("above").count().collect()]
+    assert len(counts) == 5 and max(counts) <= 15
+    assert {r.stretch: r.prev for r in fingerprint.before(stretches).collect()} == dict(zip(ids, [ids[-1], *ids[:-1]], strict=True))
