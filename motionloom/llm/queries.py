@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprint, line_dedup, lm_score, near_dup, packing, secrets, toxicity, url_filter
+from ..session import stored
+from . import chat, decontaminate, fingerprint, line_dedup, lm_score, near_dup, packing, secrets, toxicity, turn_repair, url_filter
 from .shared import inline_rows, table, text_digest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,3 +163,61 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No SQL side: all pairs are too slow on whole tables."""
     return near_dup.classes(table(spark, sf_dir, "documents"), k=4)
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """The contract's faults by crc32 of `conv_id:turn`; nulls are one space."""
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    draw = F.crc32(F.encode(F.concat(said("conv_id"), F.lit(":"), said("turn")), "utf-8")) % 20
+    text = F.when(draw == 1, "").when(draw == 2, F.regexp_replace(said("text"), "[.!?]", "")).otherwise(said("text"))
+    rows = turns.select("conv_id", "turn", F.when(draw == 4, "user").otherwise(said("role")).alias("role"), text.alias("text"), draw.alias("draw"))
+    copies = F.explode(F.when(F.col("draw") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return rows.filter("draw <> 0").select("conv_id", "turn", "role", "text", copies.alias("copy")).drop("copy")
+
+
+@register(
+    "op11_turn_repair",
+    r"""
+    WITH RECURSIVE k AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+    c AS (SELECT k.*, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(key) + 1), lambda i: ascii(key[i])::BIGINT)),
+                 lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT) % 20 AS draw FROM k),
+    b AS (SELECT coalesce(conv_id, -9000000000000000000) AS conv, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role,
+                 CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN draw = 3 THEN 2 ELSE 1 END)) AS copy
+          FROM c WHERE draw <> 0),
+    o AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text, copy) AS n FROM b),
+    f AS (SELECT *, left(role, 1) AS ini, NOT regexp_matches(text, '[^ 	-]') AS blank,
+                 row_number() OVER (PARTITION BY conv, role, text ORDER BY n) > 1 AS seen,
+                 regexp_extract(text, '(?s)([^ 	-])[ 	-]*\z', 1) NOT IN ('.', '!', '?') AS open,
+                 lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY n) || left(role, 1) AS pair FROM o),
+    ids AS (SELECT DISTINCT conv_id, coalesce(conv_id, -9000000000000000000) AS conv FROM conversations),
+    m AS (SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND seen) AS duplicate,
+                 count(*) FILTER (NOT blank AND NOT seen AND open) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS rows FROM f GROUP BY conv),
+    ins(p, more, fee, q) AS (VALUES (0, '', 0, 0), (1, '', 0, 1), (2, '', 0, 2), (3, '', 0, 3), (0, 'I', 5, 2), (1, 'I', 5, 2), (2, 'I', 5, 3), (3, 'I', 5, 2), (0, 'II', 10, 3), (1, 'II', 10, 3), (2, 'II', 10, 2), (3, 'II', 10, 3)),
+    step(q, want, r) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+    e AS (SELECT conv, n, q, q AS r, 2 AS fee, 'D' AS letter FROM f, (VALUES (0), (1), (2), (3)) AS v(q)
+          UNION ALL SELECT conv, n, q, r, CASE WHEN open THEN 5 ELSE 0 END + CASE WHEN ini = want THEN 0 ELSE 1 END, CASE WHEN ini = want THEN 'K' ELSE 'R' END
+          FROM f, step WHERE NOT blank AND NOT seen AND (ini = want OR want <> 's')),
+    walk AS (SELECT conv, 0::BIGINT AS n, 0 AS p, {'cost': 0::BIGINT, 'audit': ''} AS best FROM m
+          UNION ALL SELECT w.conv, w.n + 1, e.r, min({'cost': w.best.cost + ins.fee + e.fee, 'audit': w.best.audit || ins.more || e.letter})
+          FROM walk w JOIN ins ON ins.p = w.p JOIN e ON e.conv = w.conv AND e.n = w.n + 1 AND e.q = ins.q GROUP BY w.conv, w.n, e.r),
+    a AS (SELECT w.conv, min({'cost': w.best.cost + ins.fee, 'audit': w.best.audit || ins.more}) AS best FROM walk w JOIN m ON m.conv = w.conv AND m.rows = w.n JOIN ins USING (p) WHERE ins.q IN (0, 3) GROUP BY w.conv),
+    x AS (SELECT conv, best.audit AS audit, unnest(range(1, length(best.audit) + 1)) AS i FROM a),
+    y AS (SELECT conv, i, audit[i] AS letter, length(replace(left(audit, i), 'I', '')) AS n, length(replace(left(audit, i), 'D', '')) - 1 + length(replace(audit, 'D', '')) % 2 AS place FROM x),
+    z AS (SELECT y.conv, sha256(string_agg(CASE letter WHEN 'K' THEN f.role ELSE CASE WHEN place % 2 = 0 THEN 'user' ELSE 'assistant' END END || ':' || CASE WHEN letter = 'I' THEN '' ELSE f.text END, chr(10) ORDER BY i)) AS sha
+          FROM y LEFT JOIN f ON f.conv = y.conv AND f.n = y.n AND letter <> 'I' WHERE letter <> 'D' GROUP BY y.conv)
+    SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+           coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+    FROM ids LEFT JOIN m USING (conv) LEFT JOIN a USING (conv) LEFT JOIN z USING (conv)
+    """,
+)
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = damaged(conversations)
+    found = stored(turn_repair.audits(turns))
+    hashes = turn_repair.digests(turn_repair.repaired(turns, found)).select(F.col("conv_id").alias("_hashed"), "sha256")
+    same = lambda other: F.col("conv_id").eqNullSafe(F.col(other))
+    ids = conversations.select("conv_id").distinct()
+    out = ids.join(found.withColumnRenamed("conv_id", "_found"), same("_found"), "left").join(hashes, same("_hashed"), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", text_digest(F.lit(""))).alias("repaired_sha256"))
