@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stored
-from . import chat, decontaminate, fingerprint, line_dedup, lm_score, near_dup, packing, secrets, toxicity, turn_repair, url_filter
+from . import chat, decontaminate, fingerprint, lexical, line_dedup, lm_score, near_dup, packing, secrets, simhash, toxicity, turn_repair, url_filter
 from .shared import inline_rows, table, text_digest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,9 +186,12 @@ def damaged(turns: DataFrame) -> DataFrame:
                  CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN draw = 3 THEN 2 ELSE 1 END)) AS copy
           FROM c WHERE draw <> 0),
     o AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text, copy) AS n FROM b),
-    f AS (SELECT *, left(role, 1) AS ini, NOT regexp_matches(text, '[^ 	-]') AS blank,
+    f AS (SELECT *, left(role, 1) AS ini, NOT regexp_matches(text, '[^ 	-
+]') AS blank,
                  row_number() OVER (PARTITION BY conv, role, text ORDER BY n) > 1 AS seen,
-                 regexp_extract(text, '(?s)([^ 	-])[ 	-]*\z', 1) NOT IN ('.', '!', '?') AS open,
+                 regexp_extract(text, '(?s)([^ 	-
+])[ 	-
+]*\z', 1) NOT IN ('.', '!', '?') AS open,
                  lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY n) || left(role, 1) AS pair FROM o),
     ids AS (SELECT DISTINCT conv_id, coalesce(conv_id, -9000000000000000000) AS conv FROM conversations),
     m AS (SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND seen) AS duplicate,
@@ -221,3 +224,30 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ids.join(found.withColumnRenamed("conv_id", "_found"), same("_found"), "left").join(hashes, same("_hashed"), "left")
     counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", text_digest(F.lit(""))).alias("repaired_sha256"))
+
+
+@register(
+    "op12_lexical_search",
+    r"""
+    WITH d AS (SELECT row_number() OVER () AS row, doc_id,
+                      regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+    i AS (SELECT row_number() OVER () AS item, item_id,
+                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM benchmark),
+    s AS (SELECT count(*)::BIGINT AS nd, sum(len(words))::BIGINT AS nt FROM d WHERE len(words) > 0),
+    q AS (SELECT item, term, count(*) AS times FROM (SELECT item, unnest(words) AS term FROM i) GROUP BY ALL),
+    p AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(words) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+    w AS (SELECT term, floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM p, s GROUP BY term, nd),
+    c AS (SELECT row, term, (1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * len(words) * nd) // nt)) AS impact FROM p JOIN d USING (row), s),
+    r AS (SELECT item, row, sum(times * weight * impact)::BIGINT AS score FROM q JOIN w USING (term) JOIN c USING (term) GROUP BY item, row),
+    o AS (SELECT item, doc_id, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM r JOIN d USING (row) WHERE score > 0)
+    SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM o JOIN i USING (item) WHERE rank <= 10
+    """,
+)
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op13_simhash_near_dedup")
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL side: DuckDB has not this hash."""
+    return simhash.classes(table(spark, sf_dir, "documents"))

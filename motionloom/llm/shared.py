@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,3 +54,27 @@ def inline_rows(spark: SparkSession, names: str, rows: Sequence[tuple]) -> DataF
     cell = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
     values = ", ".join("(" + ", ".join(cell(v) for v in row) + ")" for row in rows)
     return spark.sql(f"SELECT * FROM VALUES {values} AS t({names})")
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Texts of the jobs run inside go to Python in batches of so many rows at most."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, "10000")
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def word_pieces(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Words between ASCII blanks, in lists of about `size` bytes."""
+    at = 0
+    while len(data) - at > size:
+        end = at + size
+        while end < len(data) and data[end] not in b" \t\n\x0b\x0c\r":
+            end += 1
+        yield data[at:end].split()
+        at = end
+    yield (data[at:] if at else data).split()
