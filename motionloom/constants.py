@@ -39,6 +39,36 @@ PERIOD_HINT_BOOST = 0.04
 SHAKE_CLUSTER_PX = 24.0
 ANCHORS_PER_CORNER = 2
 ANCHOR_MIN_DIST_SQ = 64.0
+LUMA = (0.299, 0.587, 0.114)
+CORNER_GRID = 8
+CORNER_MIN_PX = 24
+CORNER_SHARE = 0.22
+ENERGY_SHARE = 0.2
+MIN_ENERGY = 1e-6
+PATCH_PX = 15
+NCC_MIN = 0.42
+NCC_SEARCH = (20, 48, 64, 8)  # near, mid, coarse, fine
+NCC_COARSE_SCALE = 3
+
+# template tracker
+DEFAULT_TEMPLATE = 31
+MIN_TEMPLATE = 15
+MAX_TEMPLATE = 72
+SEARCH_RADIUS = 48
+EXPANDED_SEARCH_RADIUS = 96
+GOOD_MATCH = 4.0
+EVOLVE_RATE = 0.20
+TETHER_RATE = 0.05
+LOST_AFTER = 8
+PEAK_LEVEL = 160.0
+
+# stick figure that bright peaks are assigned to, pixels from the nose
+POSE_TEMPLATE = (
+    ("nose", 0, 0), ("left_eye", -4, -2), ("right_eye", 4, -2), ("left_ear", -8, 0), ("right_ear", 8, 0),
+    ("left_shoulder", -18, 20), ("right_shoulder", 18, 20), ("left_elbow", -28, 40), ("right_elbow", 28, 40),
+    ("left_wrist", -34, 58), ("right_wrist", 34, 58), ("left_hip", -12, 60), ("right_hip", 12, 60),
+    ("left_knee", -14, 90), ("right_knee", 14, 90), ("left_ankle", -16, 120), ("right_ankle", 16, 120),
+)
 
 # off-plane audit
 AUDIT_STRIDE = 8
