@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..constants import CORE_METRICS
-from .metrics import track_metrics
+from .metrics import calibration_metrics, physics_metrics, pose_metrics, track_metrics
 
 Keys = Sequence[str]
 
@@ -45,17 +45,41 @@ def clip_reports(entries: DataFrame, metrics: DataFrame, runs: DataFrame) -> Dat
     )
 
 
-def evaluate(manifest: DataFrame, truth: DataFrame, guesses: DataFrame, runs: DataFrame, *, split: str = "dev", include_holdout: bool = False) -> DataFrame:
-    """Clip reports of the track clips of a split, from annotations and predictions.
+def evaluate(
+    manifest: DataFrame, truth: DataFrame, guesses: DataFrame, runs: DataFrame, *, split: str = "dev", include_holdout: bool = False,
+    poses: tuple[DataFrame, DataFrame] | None = None, calibrations: tuple[DataFrame, DataFrame] | None = None, physics: tuple[DataFrame, DataFrame] | None = None,
+) -> DataFrame:
+    """Clip reports of a split, each clip measured by the task its manifest entry names.
 
     ``manifest``: clip_id, task, difficulty, split, hidden, entry_no; ``runs`` as in clip_reports.
-    Points of clips outside the split are dropped before they are matched.
+    ``truth`` and ``guesses`` are points of track clips, and of physics clips, which must also track
+    well; the other tasks have (truth, found) pairs as their metrics take them. An entry of a task
+    without tables stays in the report as failed, with an error. Rows of clips outside the split, or
+    of another task, are dropped before they are matched.
     """
-    entries = select_split(manifest.filter(F.col("task") == "track"), split, include_holdout=include_holdout)
-    mine = entries.select("clip_id").distinct()
-    kept = [points.join(mine, "clip_id", "left_semi") for points in (truth, guesses)]
-    metrics = track_metrics(*kept, entries.select("clip_id", "difficulty").distinct(), ["clip_id"])
-    return clip_reports(entries, metrics, runs)
+    entries = select_split(manifest, split, include_holdout=include_holdout)
+    given = {"track": True, "pose": poses is not None, "calibration": calibrations is not None, "physics": physics is not None}
+
+    def of(*tasks: str) -> DataFrame:
+        return entries.filter(F.col("task").isin(*tasks)).select("clip_id", "difficulty").distinct()
+
+    def mine(pair: tuple[DataFrame, DataFrame], clips: DataFrame) -> list[DataFrame]:
+        return [rows.join(clips.select("clip_id"), "clip_id", "left_semi") for rows in pair]
+
+    tracked = of("track", "physics") if physics is not None else of("track")
+    metrics = track_metrics(*mine((truth, guesses), tracked), tracked, ["clip_id"])
+    if poses is not None:
+        metrics = metrics.unionByName(pose_metrics(*mine(poses, of("pose")), of("pose"), ["clip_id"]))
+    if calibrations is not None:
+        known, found = mine(calibrations, of("calibration"))
+        metrics = metrics.unionByName(calibration_metrics(known.drop("difficulty").join(of("calibration"), "clip_id"), found, ["clip_id"]))
+    if physics is not None:
+        metrics = metrics.unionByName(physics_metrics(*mine(physics, of("physics")), ["clip_id"]))
+    served = F.col("task").isin(*[task for task, there in given.items() if there])
+    untold = entries.select("clip_id", F.when(~served, F.concat(F.lit("no results for task "), "task")).alias("_untold")).filter("_untold IS NOT NULL").distinct()
+    missing = entries.select("clip_id").distinct().join(runs.select("clip_id"), "clip_id", "left_anti")
+    told = runs.unionByName(missing, allowMissingColumns=True).join(untold, "clip_id", "left")
+    return clip_reports(entries, metrics, told.withColumn("error", F.coalesce("error", "_untold")).drop("_untold"))
 
 
 def pass_rate(reports: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ..session import cut_lineage
 from .sequence import drop_halo, per_key, run_ids, running_max, walk_stretches, with_halo
 from .tiling import hot_keys, number_rows, parts, tile_tracks
 from .timeline import explode_range
@@ -67,6 +68,24 @@ def repair_pts(frames: DataFrame, keys: Keys, step: int) -> DataFrame:
     return fine.unionByName(walk_stretches(broken, keys, [*keys, "run_id"], later, schema))
 
 
+def index_clips(packets: DataFrame, frames: DataFrame, keys: Keys, time_base: float, step: int, *, cell: int = 1_000_000) -> DataFrame:
+    """keys, frame, pts, pts_ms of every clip: from its packets where they are sound, else from its decoded frames.
+
+    ``frames``: keys, frame (position), pts as the decoder gave them. Packets with repeated
+    timestamps, or none, send a clip the other way; each row is read by one of the two ways only,
+    after the clips were judged. Milliseconds count from a clip's first frame, half to even.
+    """
+    keys = list(keys)
+    judged = cut_lineage(needs_decoding(packets, keys).select(*keys, "fallback"))
+    sound = index_packets(packets.join(judged.filter("NOT fallback"), keys, "left_semi"), keys, time_base, cell=cell)
+    broken = frames.join(judged.filter("NOT fallback"), keys, "left_anti")
+    repaired = repair_pts(broken, keys, step)
+    first = repaired.groupBy(*keys).agg(F.min("pts").alias("_first"))
+    ms = F.bround((F.col("pts") - F.col("_first")) * F.lit(time_base) * 1000.0).cast("long")
+    decoded = repaired.join(first, keys).select(*keys, "frame", "pts", ms.alias("pts_ms"))
+    return sound.select(*keys, F.col("frame").cast("int").alias("frame"), F.col("pts").cast("long").alias("pts"), "pts_ms").unionByName(decoded)
+
+
 def constant_rate_index(points: DataFrame, keys: Keys, fps: Column | float) -> DataFrame:
     """Frame index of clips known only by their rate: frames 0..max(frame) on a 1 ms base."""
     rate = F.greatest(fps if isinstance(fps, Column) else F.lit(float(fps)), F.lit(1e-6))

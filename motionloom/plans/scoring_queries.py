@@ -8,7 +8,7 @@ from ..constants import CORE_METRICS, POSE_BONES, POSE_KEYPOINTS
 from ..operators import metrics as M
 from ..operators import reports as R
 from . import views as V
-from .registry import r, register
+from .registry import SQL, r, register
 from .sql_views import with_ctes
 
 KEY = V.KEY
@@ -170,29 +170,51 @@ def clip_passed(spark, sf_dir):
     return M.clip_passed(M.track_metrics(points, V.repeated_predictions(points), V.clip_difficulty(points), KEY), KEY)
 
 
+#: Added to the clip ids of each task, so that no two share one.
+TASK_IDS = {"track": 0, "pose": 100_000_000_000, "calibration": 200_000_000_000, "physics": 300_000_000_000}
+CLIPS = "SELECT DISTINCT user_id AS clip_id FROM events"
+
+
+def _judged(name: str, task: str, where: str = "TRUE") -> str:
+    return f"SELECT clip_id + {TASK_IDS[task]} AS clip_id, passed FROM ({SQL[name]}) WHERE {where}"
+
+
 @register(
     "run_eval",
-    with_ctes(
-        """SELECT clip_id, difficulty, split, 'shift' AS model, NOT err AND passed AS passed, CASE WHEN err THEN 0 ELSE n END AS n_metrics, CASE WHEN err THEN 0 ELSE bad END AS n_failed, CASE WHEN err THEN 'timeout' END AS error
-        FROM (SELECT clip_id, coalesce(bool_and(passed), FALSE) AS passed, count(*) AS n, count(*) FILTER (passed = FALSE) AS bad FROM (""" + judge_sql("wide", TRACK_SPECS) + """) GROUP BY clip_id)
-        JOIN (SELECT DISTINCT clip_id, CASE WHEN clip_id % 2 = 1 THEN 'hard' ELSE 'normal' END AS difficulty, CASE clip_id % 5 WHEN 0 THEN 'holdout' ELSE 'dev' END AS split, clip_id % 23 = 0 AS err FROM pt) USING (clip_id)
-        WHERE clip_id % 5 <> 0 OR clip_id % 10 = 0""",
-        "pt", "pred", MATCH, *GAPS, TRACK_WIDE,
-    ),
+    f"""WITH e AS (SELECT clip_id, 'track' AS task FROM ({CLIPS}) UNION ALL SELECT DISTINCT label + {TASK_IDS["pose"]}, 'pose' FROM embeddings UNION ALL SELECT c_custkey + {TASK_IDS["calibration"]}, 'calibration' FROM customer
+        UNION ALL SELECT clip_id + {TASK_IDS["physics"]}, 'physics' FROM ({CLIPS}) UNION ALL SELECT n_nationkey + 400000000000, 'depth' FROM nation),
+    j AS ({_judged("track_metrics", "track")} UNION ALL {_judged("pose_metrics", "pose")} UNION ALL {_judged("calibration_metrics", "calibration")}
+        UNION ALL {_judged("physics_metrics", "physics", f"clip_id IN ({CLIPS})")} UNION ALL {_judged("track_metrics", "physics")}),
+    m AS (SELECT clip_id, coalesce(bool_and(passed), FALSE) AS ok, count(*) AS n, count(*) FILTER (passed = FALSE) AS bad FROM j GROUP BY clip_id),
+    t AS (SELECT *, CASE WHEN clip_id % 23 = 0 THEN 'timeout' WHEN task = 'depth' THEN 'no results for task depth' END AS error FROM e)
+    SELECT clip_id, task, CASE WHEN clip_id % 2 = 1 THEN 'hard' ELSE 'normal' END AS difficulty, CASE clip_id % 5 WHEN 0 THEN 'holdout' ELSE 'dev' END AS split, 'shift' AS model, error IS NULL AND coalesce(ok, FALSE) AS passed,
+      CASE WHEN error IS NULL THEN coalesce(n, 0) ELSE 0 END AS n_metrics, CASE WHEN error IS NULL THEN coalesce(bad, 0) ELSE 0 END AS n_failed, error
+    FROM t LEFT JOIN m USING (clip_id) WHERE clip_id % 5 <> 0 OR clip_id % 10 = 0""",
 )
 def run_eval(spark, sf_dir):
-    """All entries that are not hidden, as the evaluation of a release runs them."""
+    """All entries that are not hidden, of four tasks and one that nothing was run for, as the evaluation of a release runs them."""
     points = V.event_points(spark, sf_dir)
+    guesses = V.repeated_predictions(points)
     clip = F.col("clip_id")
-    manifest = V.clip_difficulty(points).select(
-        "clip_id", F.lit("track").alias("task"), "difficulty", F.when(clip % 5 == 0, "holdout").otherwise("dev").alias("split"),
+    moved = lambda rows, task: rows.withColumn("clip_id", clip.cast("long") + TASK_IDS[task])
+    both = lambda rows: rows.unionByName(moved(rows, "physics"))
+    poses = [moved(V.pose_frames(spark, sf_dir, predicted=guess), "pose") for guess in (False, True)]
+    calibrations = [moved(rows, "calibration") for rows in V.calibration_truth(spark, sf_dir)]
+    physics = [moved(rows, "physics") for rows in V.physics_truth(spark, sf_dir)]
+    other = V.table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 400_000_000_000).cast("long").alias("clip_id"), F.lit("depth").alias("task"))
+    tracks = points.select("clip_id").distinct()
+    entries = other
+    for rows, task in ((tracks, "track"), (poses[0], "pose"), (calibrations[0], "calibration"), (moved(tracks, "physics"), "physics")):
+        entries = entries.unionByName(rows.select(clip.cast("long").alias("clip_id"), F.lit(task).alias("task")).distinct())
+    manifest = entries.select(
+        "clip_id", "task", F.when(clip % 2 == 1, "hard").otherwise("normal").alias("difficulty"), F.when(clip % 5 == 0, "holdout").otherwise("dev").alias("split"),
         ((clip % 5 == 0) & (clip % 10 != 0)).alias("hidden"), clip.alias("entry_no"),
     )
     runs = manifest.select("clip_id", F.lit("shift").alias("model"), F.lit(0.5).alias("elapsed_s"), F.when(clip % 23 == 0, "timeout").alias("error"))
-    reports = R.evaluate(manifest, points, V.repeated_predictions(points), runs, split="all")
+    reports = R.evaluate(manifest, both(points), both(guesses), runs, split="all", poses=tuple(poses), calibrations=tuple(calibrations), physics=tuple(physics))
     metrics = F.coalesce("metrics", F.array().cast(reports.schema["metrics"].dataType))
     failed = F.filter(metrics, lambda m: m["passed"] == F.lit(False))
-    return reports.select("clip_id", "difficulty", "split", "model", "passed", F.size(metrics).cast("long").alias("n_metrics"), F.size(failed).cast("long").alias("n_failed"), "error")
+    return reports.select("clip_id", "task", "difficulty", "split", "model", "passed", F.size(metrics).cast("long").alias("n_metrics"), F.size(failed).cast("long").alias("n_failed"), "error")
 
 
 def _doc_sql(baseline: bool) -> str:

@@ -193,6 +193,24 @@ def video_index_fallback(spark, sf_dir):
     return VI.needs_decoding(coarse, KEY)
 
 
+@register(
+    "video_index_mixed",
+    """WITH RECURSIVE pk AS (SELECT user_id AS clip_id, CASE WHEN event_id % 23 <> 0 THEN CASE WHEN user_id % 3 = 0 THEN epoch_us(ts) // 3600000000 ELSE epoch_us(ts) END END AS pts, event_id % 19 AS size FROM events WHERE user_id % 7 <> 0),
+    ok AS (SELECT clip_id, pts FROM pk WHERE size > 0 AND pts IS NOT NULL), fine AS (SELECT clip_id FROM ok GROUP BY clip_id HAVING count(*) = count(DISTINCT pts)),
+    pt AS (SELECT user_id AS clip_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS frame, event_id FROM events WHERE user_id NOT IN (SELECT clip_id FROM fine)),
+    raw AS (SELECT clip_id, frame, coalesce(CASE WHEN event_id % 5 <> 0 THEN frame * 100 + (event_id % 7 - 3) * 60 END, frame * 40) AS v FROM pt),
+    walk AS (SELECT clip_id, frame, CAST(v AS BIGINT) AS pts FROM raw WHERE frame = 0 UNION ALL
+      SELECT r.clip_id, r.frame, CAST(CASE WHEN r.v > w.pts THEN r.v ELSE w.pts + 40 END AS BIGINT) FROM walk w JOIN raw r ON r.clip_id = w.clip_id AND r.frame = w.frame + 1),
+    every AS (SELECT clip_id, CAST(row_number() OVER (PARTITION BY clip_id ORDER BY pts) - 1 AS INT) AS frame, pts FROM ok WHERE clip_id IN (SELECT clip_id FROM fine) UNION ALL SELECT * FROM walk)
+    SELECT *, CAST(round_even((pts - min(pts) OVER (PARTITION BY clip_id)) * 1e-6 * 1000.0, 0) AS BIGINT) AS pts_ms FROM every""",
+)
+def video_index_mixed(spark, sf_dir):
+    """Clips with repeated packet timestamps (every third) or none at all (every seventh) are indexed from decoded frames."""
+    c = F.col("clip_id")
+    packets = V.packets(spark, sf_dir).filter(c % 7 != 0).withColumn("pts", F.when(c % 3 == 0, F.floor(F.col("pts") / 3_600_000_000)).otherwise(F.col("pts")))
+    return VI.index_clips(packets, V.decoded_frames(V.event_points(spark, sf_dir)), KEY, 1e-6, 40)
+
+
 @register(
     "repair_pts",
     """WITH RECURSIVE pt AS (SELECT user_id AS clip_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS frame, event_id FROM events),
