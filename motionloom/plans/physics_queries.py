@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import poly
+from ..operators import curves
 from ..operators import fitting as fit
 from ..operators import kinematics as K
 from ..operators.periods import periods
@@ -17,8 +18,8 @@ from .sql_views import FLIPPED, analysis_ctes, period_ctes, run_ctes, with_ctes
 KEY = V.KEY
 
 
-def fit_sql(src: str, attr: str, degree: int, *ctes) -> str:
-    """Unweighted fit by centred sums and a second residual pass."""
+def fit_sql(src: str, attr: str, degree: int, *ctes, select: str | None = None) -> str:
+    """Unweighted fit by centred sums and a second residual pass; `select` may read the coefficients from fr."""
     line = "(b1 - s1*b0/n) / (s2 - s1*s1/n)"
     if degree == 1:
         coef = f"SELECT *, {line} AS k1 FROM fs WHERE n >= 3 AND abs(s2 - s1*s1/n) >= 1e-14"
@@ -31,7 +32,7 @@ def fit_sql(src: str, attr: str, degree: int, *ctes) -> str:
     shown = [f"round({c0}, 5) + 0.0", "round(k1 - 2*k2*t0, 6) + 0.0"] + (["round(k2, 9) + 0.0"] if degree == 2 else [])
     names = ["c0", "c1", "c2"]
     return with_ctes(
-        "SELECT clip_id, n, " + ", ".join(f"{e} AS {n}" for e, n in zip(shown, names))
+        select or "SELECT clip_id, n, " + ", ".join(f"{e} AS {n}" for e, n in zip(shown, names))
         + ", round(CASE WHEN tt < 1e-18 THEN CASE WHEN rr < 1e-18 THEN 1e0 ELSE 0e0 END ELSE greatest(0e0, least(1e0, 1 - rr/tt)) END, 6) AS r2 FROM fr",
         *ctes,
         ("fv", f"SELECT clip_id, time_s, {attr} AS v, time_s - min(time_s) OVER c AS tau, min(time_s) OVER c AS t0, avg({attr}) OVER c AS m FROM {src} WHERE {attr} IS NOT NULL WINDOW c AS (PARTITION BY clip_id)"),
@@ -193,9 +194,56 @@ def physics_results(spark, sf_dir):
     )
 
 
+VALUE = "m + k0 + k1 * ({t} - t0) + k2 * ({t} - t0) ** 2"
+SPANS = "(SELECT clip_id, min(time_s) AS a, CASE WHEN max(time_s) > min(time_s) THEN max(time_s) ELSE min(time_s) + 1 END AS z FROM {src} GROUP BY clip_id)"
+
+
+@register(
+    "fit_curve",
+    fit_sql("mdisp", "y", 2, "mp_raw", "mp", "mdisp", select=f"""SELECT clip_id, step::INT AS step, round(t, 7) AS time_s, round({VALUE.format(t="t")}, 7) + 0.0 AS value
+      FROM (SELECT fr.*, step, a + (z - a) * step / 80 AS t FROM fr JOIN {SPANS.format(src="mdisp")} USING (clip_id), range(81) s(step))"""),
+)
+def fit_curve(spark, sf_dir):
+    """The fitted parabola of each motion at 81 times."""
+    shown = K.display_points(V.motion_points(spark, sf_dir), KEY, V.motion_calibrations(spark, sf_dir))
+    rows = curves.fit_curve(shown, fit.fit_quantity(shown, KEY, "y", 2), KEY)
+    return rows.select("clip_id", "step", r("time_s", 7).alias("time_s"), r("value", 7).alias("value"))
+
+
+@register(
+    "fit_axes",
+    fit_sql("d", "x", 2, "pt", "cum", ("d", FLIPPED.format(src="cum") + " WHERE clip_id % 5 > 0 OR frame < 2 OR (clip_id % 10 = 0 AND frame = 2)"), select=f"""SELECT clip_id, round(a, 6) AS t0, round(z, 6) AS t1,
+      round(CASE WHEN lo IS NULL THEN -1 WHEN lo = hi THEN lo - 1 ELSE lo END, 4) + 0.0 AS low, round(CASE WHEN lo IS NULL THEN 1 WHEN lo = hi THEN hi + 1 ELSE hi END, 4) + 0.0 AS high
+      FROM {SPANS.format(src="d")} LEFT JOIN (SELECT clip_id, min(v) AS lo, max(v) AS hi FROM (SELECT clip_id, unnest([x, y]) AS v FROM d
+        UNION ALL SELECT clip_id, {VALUE.format(t="t")} FROM (SELECT fr.*, a + (z - a) * step / 20 AS t FROM fr JOIN {SPANS.format(src="d")} USING (clip_id), range(21) s(step))) GROUP BY clip_id) USING (clip_id)"""),
+)
+def fit_axes(spark, sf_dir):
+    """Extents of x, y and the fitted parabola of x; some tracks have one or two samples, so no fit."""
+    c, f = F.col("clip_id"), F.col("frame")
+    kept = V.cumulative_points(V.event_points(spark, sf_dir)).filter((c % 5 > 0) | (f < 2) | ((c % 10 == 0) & (f == 2)))
+    shown = K.display_points(kept, KEY, None)
+    rows = curves.fit_axes(shown, fit.fit_quantity(shown, KEY, "x", 2), KEY, ["x", "y"])
+    return rows.select("clip_id", r("t0").alias("t0"), r("t1").alias("t1"), r("low", 4).alias("low"), r("high", 4).alias("high"))
+
+
+def _coef_sql(c: str) -> str:
+    return f"regexp_replace(CASE WHEN abs({c}) >= 100 THEN printf('%.1f', abs({c})) WHEN abs({c}) >= 10 THEN printf('%.2f', abs({c})) ELSE printf('%.3g', abs({c})) END, '\\.0$', '')"
+
+
+def _term_sql(i: int, var: str, before: list[str]) -> str:
+    first = " AND ".join(f"abs({b}) < 1e-12" for b in before)
+    c = f"c{i}"
+    lead = f"CASE WHEN {first} THEN CASE WHEN {c} < 0 THEN '−' ELSE '' END WHEN {c} < 0 THEN ' − ' ELSE ' + ' END"
+    body = f"CASE WHEN {_coef_sql(c)} = '1' AND NOT ({first} AND {c} < 0) THEN '{var}' ELSE {_coef_sql(c)} || ' {var}' END"
+    return f"CASE WHEN abs({c}) >= 1e-12 THEN {lead} || {body} ELSE '' END"
+
+
 @register(
     "fit_equations",
+    fit_sql("d", "x", 2, "pt", "cum", ("d", FLIPPED.format(src="cum")), select=f"""SELECT clip_id, 'x = ' || CASE WHEN body = '' THEN '0' ELSE body END || printf('    R²=%.3f', r2) AS equation FROM (
+      SELECT clip_id, r2, CASE WHEN abs(c0) >= 1e-12 THEN CASE WHEN c0 < 0 THEN '-' ELSE '' END || {_coef_sql("c0")} ELSE '' END || {_term_sql(1, "t", ["c0"])} || {_term_sql(2, "t^2", ["c0", "c1"])} AS body
+      FROM (SELECT clip_id, m + k0 - k1*t0 + k2*t0*t0 AS c0, k1 - 2*k2*t0 AS c1, k2 AS c2, CASE WHEN tt < 1e-18 THEN CASE WHEN rr < 1e-18 THEN 1e0 ELSE 0e0 END ELSE greatest(0e0, least(1e0, 1 - rr/tt)) END AS r2 FROM fr))"""),
 )
 def fit_equations(spark, sf_dir):
-    shown = K.display_points(V.motion_points(spark, sf_dir), KEY, V.motion_calibrations(spark, sf_dir))
+    shown = K.display_points(V.cumulative_points(V.event_points(spark, sf_dir)), KEY, None)
     return poly.equation(fit.fit_quantity(shown, KEY, "x", 2), "x", 2).select("clip_id", "equation")
