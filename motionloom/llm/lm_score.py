@@ -11,6 +11,7 @@ taken off the totals, so it is scored by what the rest of the corpus says.
 from __future__ import annotations
 
 import math
+import struct
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,8 @@ OWNED_CHARS = 8_000_000  # characters of the corpus per owner of a hash range
 CACHED_WORDS = 200_000
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
+RARE = np.uint64(63)
+HEAD = struct.Struct("<IBIIQ")
 
 
 class Words:
@@ -60,18 +63,55 @@ def grams(words: np.ndarray, order: int) -> list[np.ndarray]:
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Unsigned integers in as few bytes each as the largest needs, byte planes apart."""
-    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
-    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width]) + planes.T.tobytes()
+    """Unsigned integers in about their entropy: low bits as byte and bit planes, the rest in unary.
+
+    The number of low bits is the cheapest near the logarithm of the mean. Values of RARE or more in
+    unary stand as they are in a list of their own.
+    """
+    if not len(values):
+        return HEAD.pack(0, 0, 0, 0, 0)
+    values = values.astype(np.uint64, copy=False)
+    base = values.min()
+    values = values - base
+    k0 = int(values.mean()).bit_length()
+    sample = values[:: max(1, len(values) // 4096)]  # for the choice of a width only
+    k = min(range(max(0, k0 - 3), k0 + 1), key=lambda k: len(sample) * (k + 1) + int(np.minimum(sample >> np.uint64(k), RARE).sum()))
+    high = values >> np.uint64(k)
+    rare = np.flatnonzero(high >= RARE)
+    kept = values[rare]
+    if len(rare):
+        high[rare] = RARE
+    ends = np.cumsum(high + np.uint64(1), dtype=np.int64) - 1
+    unary = np.zeros(int(ends[-1]) + 1, dtype=np.uint8)
+    unary[ends] = 1
+    unary = np.packbits(unary)
+    planes = np.ascontiguousarray(values.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, : k // 8].T)
+    bits = [np.packbits((values >> np.uint64(bit)).astype(np.uint8) & 1) for bit in range(k // 8 * 8, k)]
+    return b"".join([HEAD.pack(len(values), k, len(unary), len(rare), int(base)), unary.tobytes(), kept.tobytes(), planes.tobytes(), *[x.tobytes() for x in bits]])
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    width = data[0]
-    planes = np.frombuffer(data, dtype=np.uint8, offset=1).reshape(width, -1)
-    wide = np.zeros((planes.shape[1], 8), dtype=np.uint8)
-    wide[:, :width] = planes.T
-    return wide.reshape(-1).view("<u8")
+    n, k, size, rare, base = HEAD.unpack_from(data)
+    if not n:
+        return np.zeros(0, dtype=np.uint64)
+    at = HEAD.size
+    ends = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, size, at)))[:n]
+    high = np.diff(ends, prepend=-1).astype(np.uint64) - np.uint64(1)
+    at += size
+    kept = np.frombuffer(data, "<u8", rare, at)
+    at += 8 * rare
+    wide = np.zeros((n, 8), dtype=np.uint8)
+    wide[:, : k // 8] = np.frombuffer(data, np.uint8, n * (k // 8), at).reshape(-1, n).T
+    at += n * (k // 8)
+    values = wide.reshape(-1).view("<u8")
+    for bit in range(k // 8 * 8, k):
+        plane = np.unpackbits(np.frombuffer(data, np.uint8, (n + 7) // 8, at), count=n)
+        values |= plane.astype(np.uint64) << np.uint64(bit)
+        at += (n + 7) // 8
+    values |= high << np.uint64(k)
+    if rare:
+        values[high == RARE] = kept
+    return values + np.uint64(base)
 
 
 def owner_edges(owners: int) -> np.ndarray:
@@ -103,10 +143,15 @@ def ask(order: int, owners: int):
 def answer(key: tuple, asked: pd.DataFrame) -> pd.DataFrame:
     """Totals over all chunks, for each chunk in the order of its own keys."""
     keys = [np.cumsum(unpacked(x), dtype=np.uint64) for x in asked["keys"]]
-    every, at = np.unique(np.concatenate(keys), return_inverse=True)
-    totals = np.bincount(at, weights=np.concatenate([unpacked(x) for x in asked["counts"]])).astype(np.uint64)
     cuts = np.cumsum([0, *map(len, keys)])
-    return pd.DataFrame({"chunk": asked["chunk"], "owner": key[0], "totals": [packed(totals[at[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
+    every = np.concatenate(keys)
+    order = every.argsort(kind="stable")  # merges the chunks' sorted keys
+    every = every[order]
+    starts = np.concatenate(([0], np.flatnonzero(every[1:] != every[:-1]) + 1))
+    sums = np.add.reduceat(np.concatenate([unpacked(x) for x in asked["counts"]])[order], starts)
+    totals = np.empty(len(every), dtype=np.uint64)
+    totals[order] = np.repeat(sums, np.diff(starts, append=len(every)))
+    return pd.DataFrame({"chunk": asked["chunk"], "owner": key[0], "totals": [packed(totals[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
 
 
 def document_score(words: np.ndarray, order: int, keys: np.ndarray, totals: np.ndarray, corpus_words: int, backoff: float) -> tuple[float, int]:

@@ -246,3 +246,13 @@ def test_pipeline_stages(spark, sf):
 
 def test_every_operator_has_one_query():
     assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in queries.QUERIES) == list(range(1, 11))
+
+
+def test_packed_integers_round_trip_in_little_space():
+    draw = np.random.default_rng(2)
+    gaps = draw.exponential(2**41.7, 50_000).astype(np.uint64)
+    cases = [[], [0], [7, 7, 7], [0, 2**64 - 1], [2**63, 2**63 + 5, 1], draw.integers(0, 2**64, 999, dtype=np.uint64), gaps, draw.zipf(1.4, 9_999).astype(np.uint64), [1] * 1000 + [10**12] + [1] * 5]
+    for case in cases:
+        values = np.array(case, dtype=np.uint64)
+        assert (lm_score.unpacked(lm_score.packed(values)) == values).all()
+    assert len(lm_score.packed(gaps)) < 5.5 * len(gaps)
