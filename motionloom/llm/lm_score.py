@@ -119,13 +119,30 @@ def owner_edges(owners: int) -> np.ndarray:
     return np.array([(k << 64) // owners for k in range(1, owners)], dtype=np.uint64)
 
 
-def chunk_grams(texts: list, order: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sorted distinct n-grams of a chunk, their counts, and its number of words."""
+def chunk_grams(texts: list, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Sorted distinct n-grams of a chunk, their counts, and the n-grams of each text, n = 1 .. order in turn."""
     make = Words()
     found = [g for t in texts for g in grams(make.hashes(t), order)]
     flat = np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
     keys, counts = np.unique(flat, return_counts=True)
-    return keys, counts, sum(len(g) for g in found[::order])
+    return keys, counts, found
+
+
+def places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted hash lies in the sorted keys that hold it.
+
+    Hashes are spread evenly, so a directory of their leading bits leads to within a few keys.
+    """
+    bits = max(1, len(keys).bit_length())
+    shift = np.uint64(64 - bits)
+    starts = np.zeros((1 << bits) + 1, dtype=np.int64)
+    np.cumsum(np.bincount((keys >> shift).astype(np.int64), minlength=1 << bits), out=starts[1:])
+    at = starts[(wanted >> shift).astype(np.int64)]
+    left = np.flatnonzero(keys[at] != wanted)
+    while len(left):
+        at[left] += 1
+        left = left[keys[at[left]] != wanted[left]]
+    return at
 
 
 def ask(order: int, owners: int):
@@ -154,19 +171,25 @@ def answer(key: tuple, asked: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": asked["chunk"], "owner": key[0], "totals": [packed(totals[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
 
 
-def document_score(words: np.ndarray, order: int, keys: np.ndarray, totals: np.ndarray, corpus_words: int, backoff: float) -> tuple[float, int]:
-    """Sum of log scores and number of words that backed off to a shorter context.
+def rest_counts(found: list[np.ndarray], totals: np.ndarray) -> list[np.ndarray]:
+    """Counts of a document's n-grams (places of their totals, n = 1 .. order) in the rest of the corpus."""
+    out = []
+    for at in found:
+        own, where, n = np.unique(at, return_inverse=True, return_counts=True)
+        out.append((totals[own].astype(np.int64) - n)[where])
+    return out
+
+
+def document_score(others: list[np.ndarray], corpus_words: int, backoff: float) -> tuple[float, int]:
+    """Sum of log scores and number of words that backed off to a shorter context, from `rest_counts`.
 
     The longest n-gram that the rest of the corpus has is used: its count over that of its context,
     times `backoff` for each step down. A word that the rest lacks counts as if it stood there once.
     """
-    others = []
-    for g in grams(words, order):
-        own, at, n = np.unique(g, return_inverse=True, return_counts=True)
-        others.append((totals[np.searchsorted(keys, own)].astype(np.int64) - n)[at])
-    rest = max(1, corpus_words - len(words))
+    size, order = len(others[0]), len(others)
+    rest = max(1, corpus_words - size)
     score = np.log(np.maximum(others[0], 1) / rest)
-    steps = np.minimum(np.arange(len(words)), order - 1)  # context there is
+    steps = np.minimum(np.arange(size), order - 1)  # context there is
     score += steps * math.log(backoff)
     backed = steps.copy()
     for n in range(2, order + 1):
@@ -180,14 +203,16 @@ def document_score(words: np.ndarray, order: int, keys: np.ndarray, totals: np.n
 
 def scorer(order: int, corpus_words: int, backoff: float):
     def run(key: tuple, texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        keys, _, _ = chunk_grams(texts["text"].tolist(), order)
+        keys, _, found = chunk_grams(texts["text"].tolist(), order)
         parts = [unpacked(x) for x in answers.sort_values("owner")["totals"]]
         totals = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
-        make, rows = Words(), []
-        for doc_id, text in zip(texts["doc_id"], texts["text"], strict=True):
-            words = make.hashes(text)
-            log, backed = document_score(words, order, keys, totals, corpus_words, backoff) if len(words) else (0.0, 0)
-            rows.append((doc_id, len(words), backed, log))
+        sizes = [len(g) for g in found]
+        at = np.split(places(keys, np.concatenate(found)), np.cumsum(sizes)[:-1]) if len(keys) else found
+        rows = []
+        for k, doc_id in enumerate(texts["doc_id"]):
+            mine = at[k * order : (k + 1) * order]
+            log, backed = document_score(rest_counts(mine, totals), corpus_words, backoff) if len(mine[0]) else (0.0, 0)
+            rows.append((doc_id, len(mine[0]), backed, log))
         return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_backed_off", "log_score"]).astype({"doc_id": "Int64"})
 
     return run
