@@ -174,35 +174,3 @@ def run_ids(df: DataFrame, keys: Keys, usable: Column, *, order: str = "frame")
     """
     broken = F.when(usable, F.lit(0)).otherwise(F.lit(1))
     return running_sum(df, keys, order, {"run_id": broken})
-
-
-def walk_stretches(rows: DataFrame, keys: Keys, by: Sequence[str], step, schema) -> DataFrame:
-    """Fold short stretches in order: ``step(state, row_values) -> state`` per row, streamed.
-
-    Stretches (``by``) are hash-partitioned and sorted by frame; each task walks its stretches in
-    Arrow batches and holds one state, never a whole stretch. ``rows``: by-columns, frame, then
-    the value columns; the output has keys, frame and the state columns of ``schema``.
-    """
-    import pandas as pd
-
-    by, keys = list(by), list(keys)
-    values = [c for c in rows.columns if c not in (*by, "frame")]
-    state_names = [f.name for f in schema.fields if f.name not in (*keys, "frame")]
-
-    def run(batches):
-        current, state = None, None
-        for pdf in batches:
-            states = []
-            ids = zip(*[pdf[c] for c in by])
-            for group, *row in zip(ids, *[pdf[c] for c in values]):
-                if group != current:
-                    current, state = group, None
-                state = step(state, row)
-                states.append(state)
-            out = pdf[[*keys, "frame"]].copy()
-            for i, name in enumerate(state_names):
-                out[name] = pd.Series([s[i] for s in states], index=out.index)
-            yield out
-
-    spread = rows.repartition(*by).sortWithinPartitions(*by, "frame")
-    return spread.mapInPandas(run, schema)

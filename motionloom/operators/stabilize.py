@@ -6,12 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..constants import ANCHOR_MIN_DIST_SQ, ANCHORS_PER_CORNER, SHAKE_CLUSTER_PX
 from ..session import cut_lineage
 from .joins import attach
-from .sequence import carry, run_ids, walk_stretches
+from .scan import composed_scan, nearest
+from .sequence import carry, run_ids
 
 Keys = Sequence[str]
 LIMIT_SQ = SHAKE_CLUSTER_PX**2
@@ -70,8 +70,8 @@ def robust_shift(frames: DataFrame, keys: Keys) -> DataFrame:
     """Shift of every frame from its ``pairs`` array; keys, [tile], frame, dx, dy.
 
     Frames with one consensus are settled at once and frames without anchors take the last shift
-    before them. Only a stretch that starts at a settled frame and contains a tie is walked in
-    order, each stretch on its own.
+    before them. Only a stretch that starts at a settled frame and contains a tie is scanned,
+    as composed maps of blocks.
     """
     keys = list(keys)
     tile = ["tile"] if "tile" in frames.columns else []
@@ -85,17 +85,10 @@ def robust_shift(frames: DataFrame, keys: Keys) -> DataFrame:
     value = F.when(settled, F.get("_c", F.lit(0)))
     held = carry(clear, keys, "frame", {"_s": value}, forward=True, inclusive=True)
     plain = held.select(*keys, "frame", F.coalesce("_s.dx", F.lit(0.0)).alias("dx"), F.coalesce("_s.dy", F.lit(0.0)).alias("dy"))
-    schema = T.StructType([*[frames.schema[k] for k in keys], T.StructField("frame", T.IntegerType()), T.StructField("dx", T.DoubleType()), T.StructField("dy", T.DoubleType())])
-
-    def nearer(state, row):
-        last = state or (0.0, 0.0)
-        options = list(zip(row[0], row[1]))
-        return min(options, key=lambda o: (o[0] - last[0]) ** 2 + (o[1] - last[1]) ** 2) if options else last
-
-    loose = rows.join(tied, [*keys, "run_id"], "left_semi").select(
-        *keys, "run_id", "frame", F.transform("_c", lambda o: o["dx"]).alias("_x"), F.transform("_c", lambda o: o["dy"]).alias("_y")
-    )
-    return plain.unionByName(walk_stretches(loose, keys, [*keys, "run_id"], nearer, schema))
+    loose = rows.join(tied, [*keys, "run_id"], "left_semi").select(*keys, "run_id", F.col("frame").cast("int").alias("frame"), "_c")
+    still = F.struct(F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"))
+    walked = composed_scan(loose, [*keys, "run_id"], "_c", still, nearest())
+    return plain.unionByName(walked.select(*keys, "frame", "state.dx", "state.dy"))
 
 
 def estimate_shake(anchors: DataFrame, keys: Keys) -> DataFrame:

@@ -6,11 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..session import cut_lineage
-from .sequence import drop_halo, per_key, run_ids, running_max, walk_stretches, with_halo
+from .scan import composed_scan, raised
+from .sequence import drop_halo, per_key, run_ids, running_max, with_halo
 from .tiling import hot_keys, number_rows, parts, tile_tracks
 from .timeline import explode_range
 
@@ -48,7 +48,8 @@ def repair_pts(frames: DataFrame, keys: Keys, step: int) -> DataFrame:
     """Strictly increasing pts for decoded frames: missing -> position * step, late -> previous + step.
 
     A frame above the largest value any history could have reached resets the repair, so each
-    stretch between resets is repaired on its own; only stretches with a late frame reach Python.
+    stretch between resets is repaired on its own; stretches with a late frame are scanned as
+    composed maps of blocks.
     """
     keys = list(keys)
     raw = frames.withColumn("_v", F.coalesce(F.col("pts"), F.col("frame") * F.lit(step)))
@@ -58,14 +59,9 @@ def repair_pts(frames: DataFrame, keys: Keys, step: int) -> DataFrame:
     marked = run_ids(lead, keys, ~fresh).withColumn("_fresh", fresh)
     late = marked.filter("not _fresh").select(*keys, "run_id").distinct()
     fine = marked.join(late, [*keys, "run_id"], "left_anti").select(*keys, "frame", F.col("_v").cast("long").alias("pts"))
-    schema = T.StructType([*[frames.schema[k] for k in keys], T.StructField("frame", T.IntegerType()), T.StructField("pts", T.LongType())])
-
-    def later(state, row):
-        value = row[0]
-        return (value if state is None or value > state[0] else state[0] + step,)
-
-    broken = marked.join(late, [*keys, "run_id"], "left_semi").select(*keys, "run_id", "frame", F.col("_v").cast("long").alias("_v"))
-    return fine.unionByName(walk_stretches(broken, keys, [*keys, "run_id"], later, schema))
+    broken = marked.join(late, [*keys, "run_id"], "left_semi").select(*keys, "run_id", F.col("frame").cast("int").alias("frame"), F.col("_v").cast("long").alias("_v"))
+    repaired = composed_scan(broken, [*keys, "run_id"], "_v", F.lit(-(2**62)).cast("long"), raised(step))
+    return fine.unionByName(repaired.select(*keys, "frame", F.col("state").alias("pts")))
 
 
 def index_clips(packets: DataFrame, frames: DataFrame, keys: Keys, time_base: float, step: int, *, cell: int = 1_000_000) -> DataFrame:
