@@ -57,12 +57,11 @@ def train(docs: DataFrame, sample_docs: int = TRAINING_DOCS) -> list[float]:
     """Log-likelihood ratio of each bigram cell, random against ordinary.
 
     Labelled samples: what the fixed patterns find, and words of letters, in about `sample_docs`
-    documents chosen by a hash of doc_id. The result is bounded by the alphabet squared.
+    documents chosen by a hash of doc_id and text. The result is bounded by the alphabet squared.
     """
     cells = (len(ALPHABET) + 1) ** 2
-    share = min(1.0, sample_docs / max(1, docs.count()))
     text = F.coalesce("text", F.lit(""))
-    chosen = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select(text.alias("text"))
+    chosen = docs.filter(share_of(["doc_id", "text"], sample_docs, docs.count())).select(text.alias("text"))
     secret = F.concat(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), F.regexp_extract_all("text", F.lit(ACCESS), F.lit(0)), F.regexp_extract_all("text", F.lit(HEX), F.lit(0)))
     samples = lambda label, bodies: F.transform(bodies, lambda b: F.struct(F.lit(label).alias("label"), b.alias("body")))
     plain = chosen.select(F.explode(F.concat(samples(1, secret), samples(0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))).alias("s")).select("s.*")

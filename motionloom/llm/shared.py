@@ -78,3 +78,10 @@ def word_pieces(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
         yield data[at:end].split()
         at = end
     yield (data[at:] if at else data).split()
+
+
+def share_of(keys: Sequence[str], wanted: int, total: int) -> Column:
+    """Whether a row is among about `wanted` of `total`, by a 64-bit hash of its keys; all rows of a smaller table."""
+    if total <= wanted:
+        return F.lit(True)
+    return F.xxhash64(*keys) < F.lit((wanted << 64) // total - 2**63).cast("long")

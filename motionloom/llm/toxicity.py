@@ -96,8 +96,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, bits: i
     bounded rows go to one task that learns from them in the order of that hash. Without labelled rows all weights are zero.
     """
     usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = min(1.0, rows / max(1, labels.count()))
-    chosen = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    chosen = usable.filter(share_of(["doc_id"], rows, labels.count()))
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id", F.lit("order")).alias("place"), "toxic", "text")
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
