@@ -212,16 +212,16 @@ def fit_curve(spark, sf_dir):
 
 @register(
     "fit_axes",
-    fit_sql("d", "x", 2, "pt", "cum", ("d", FLIPPED.format(src="cum") + " WHERE clip_id % 5 > 0 OR frame < 2 OR (clip_id % 10 = 0 AND frame = 2)"), select=f"""SELECT clip_id, round(a, 6) AS t0, round(z, 6) AS t1,
+    fit_sql("d", "x", 2, "pt", "cum", ("d", "SELECT * REPLACE (CASE WHEN full_track OR frame < 2 THEN x END AS x, CASE WHEN full_track OR (clip_id % 10 = 0 AND frame = 2) THEN y END AS y) FROM (SELECT *, clip_id % 5 > 0 AS full_track FROM (" + FLIPPED.format(src="cum") + "))"), select=f"""SELECT clip_id, round(a, 6) AS t0, round(z, 6) AS t1,
       round(CASE WHEN lo IS NULL THEN -1 WHEN lo = hi THEN lo - 1 ELSE lo END, 4) + 0.0 AS low, round(CASE WHEN lo IS NULL THEN 1 WHEN lo = hi THEN hi + 1 ELSE hi END, 4) + 0.0 AS high
       FROM {SPANS.format(src="d")} LEFT JOIN (SELECT clip_id, min(v) AS lo, max(v) AS hi FROM (SELECT clip_id, unnest([x, y]) AS v FROM d
         UNION ALL SELECT clip_id, {VALUE.format(t="t")} FROM (SELECT fr.*, a + (z - a) * step / 20 AS t FROM fr JOIN {SPANS.format(src="d")} USING (clip_id), range(21) s(step))) GROUP BY clip_id) USING (clip_id)"""),
 )
 def fit_axes(spark, sf_dir):
-    """Extents of x, y and the fitted parabola of x; some tracks have one or two samples, so no fit."""
-    c, f = F.col("clip_id"), F.col("frame")
-    kept = V.cumulative_points(V.event_points(spark, sf_dir)).filter((c % 5 > 0) | (f < 2) | ((c % 10 == 0) & (f == 2)))
-    shown = K.display_points(kept, KEY, None)
+    """Extents of x, y and the fitted parabola of x; some tracks have few values, so no fit, or a flat one."""
+    whole, f = F.col("clip_id") % 5 > 0, F.col("frame")
+    shown = K.display_points(V.cumulative_points(V.event_points(spark, sf_dir)), KEY, None)
+    shown = shown.withColumns({"x": F.when(whole | (f < 2), F.col("x")), "y": F.when(whole | ((F.col("clip_id") % 10 == 0) & (f == 2)), F.col("y"))})
     rows = curves.fit_axes(shown, fit.fit_quantity(shown, KEY, "x", 2), KEY, ["x", "y"])
     return rows.select("clip_id", r("t0").alias("t0"), r("t1").alias("t1"), r("low", 4).alias("low"), r("high", 4).alias("high"))
 

@@ -15,7 +15,7 @@ from .sql_views import FLIPPED, with_ctes
 
 KEY = V.KEY
 BOUNDS = ("bounds", "SELECT clip_id, clip_id % 3 AS a, max(frame) + clip_id % 4 AS z FROM pt GROUP BY clip_id")
-SPARSE = ("sp", "SELECT * FROM pt WHERE frame % 3 = 0 OR manual")
+SPARSE = ("sp", "SELECT * FROM pt WHERE visible OR manual")
 
 
 @register(
@@ -195,7 +195,7 @@ def video_index_fallback(spark, sf_dir):
 
 @register(
     "video_index_mixed",
-    """WITH RECURSIVE pk AS (SELECT user_id AS clip_id, CASE WHEN event_id % 23 <> 0 THEN CASE WHEN user_id % 3 = 0 THEN epoch_us(ts) // 3600000000 ELSE epoch_us(ts) END END AS pts, event_id % 19 AS size FROM events WHERE user_id % 7 <> 0),
+    """WITH RECURSIVE pk AS (SELECT user_id AS clip_id, CASE WHEN event_id % 23 <> 0 AND user_id % 7 <> 0 THEN CASE WHEN user_id % 3 = 0 THEN epoch_us(ts) // 3600000000 ELSE epoch_us(ts) END END AS pts, event_id % 19 AS size FROM events),
     ok AS (SELECT clip_id, pts FROM pk WHERE size > 0 AND pts IS NOT NULL), fine AS (SELECT clip_id FROM ok GROUP BY clip_id HAVING count(*) = count(DISTINCT pts)),
     pt AS (SELECT user_id AS clip_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS frame, event_id FROM events WHERE user_id NOT IN (SELECT clip_id FROM fine)),
     raw AS (SELECT clip_id, frame, coalesce(CASE WHEN event_id % 5 <> 0 THEN frame * 100 + (event_id % 7 - 3) * 60 END, frame * 40) AS v FROM pt),
@@ -207,7 +207,7 @@ def video_index_fallback(spark, sf_dir):
 def video_index_mixed(spark, sf_dir):
     """Clips with repeated packet timestamps (every third) or none at all (every seventh) are indexed from decoded frames."""
     c = F.col("clip_id")
-    packets = V.packets(spark, sf_dir).filter(c % 7 != 0).withColumn("pts", F.when(c % 3 == 0, F.floor(F.col("pts") / 3_600_000_000)).otherwise(F.col("pts")))
+    packets = V.packets(spark, sf_dir).withColumn("pts", F.when(c % 7 == 0, F.lit(None)).when(c % 3 == 0, F.floor(F.col("pts") / 3_600_000_000)).otherwise(F.col("pts")))
     return VI.index_clips(packets, V.decoded_frames(V.event_points(spark, sf_dir)), KEY, 1e-6, 40)
 
 
@@ -338,7 +338,28 @@ def nearest_in_time(spark, sf_dir):
     return J.nearest_in_time(points, cursors, KEY).select("clip_id", "cursor_id", "frame", r("time_s").alias("time_s"))
 
 
-@register("estimate_shake")
+OPTIONS = """(SELECT *, list_filter(s, lambda e: e.n = list_max(list_transform(s, lambda o: o.n))) AS options FROM (SELECT *, list_transform(list_transform(p, lambda c: list_filter(p, lambda q: (q.x - c.x) ** 2 + (q.y - c.y) ** 2 <= 576)),
+      lambda g: {{'n': len(g), 'dx': list_aggregate(list_transform(g, lambda q: q.x), 'median'), 'dy': list_aggregate(list_transform(g, lambda q: q.y), 'median')}}) AS s FROM {src}))"""
+WALK = """SELECT clip_id, frame, dx, dy FROM (SELECT clip_id, -1 AS frame, 0e0 AS dx, 0e0 AS dy FROM pt GROUP BY clip_id) UNION ALL
+      SELECT w.clip_id, o.frame, coalesce(list_sort(list_transform(options, lambda e, k: {{'d': (e.dx - w.dx) ** 2 + (e.dy - w.dy) ** 2, 'k': k, 'v': e}}))[1].v.dx, w.dx), coalesce(list_sort(list_transform(options, lambda e, k: {{'d': (e.dx - w.dx) ** 2 + (e.dy - w.dy) ** 2, 'k': k, 'v': e}}))[1].v.dy, w.dy)
+      FROM {me} w JOIN {src} o ON o.clip_id = w.clip_id AND o.frame = w.frame + 1"""
+
+
+@register(
+    "estimate_shake",
+    with_ctes(
+        "SELECT clip_id, frame, round(dx, 6) + 0.0 AS dx, round(dy, 6) + 0.0 AS dy FROM w2 WHERE frame >= 0",
+        "pt",
+        ("a", """SELECT clip_id, frame, k, CASE WHEN frame > 0 THEN event_id * 13 % 41 - 20 ELSE 0 END + j AS x, CASE WHEN frame > 0 THEN event_id * 7 % 23 - 11 ELSE 0 END - j AS y, frame > 0 AND ((event_id + k) % 6 = 0 OR event_id % 31 = 0) AS lost
+          FROM (SELECT *, CASE WHEN frame > 0 AND k >= 2 + event_id % 2 AND event_id % 3 = 0 THEN 60 ELSE 0 END AS j FROM pt, range(5) r(k))"""),
+        ("b1", "SELECT clip_id, frame, coalesce(list({'x': x::DOUBLE, 'y': y::DOUBLE} ORDER BY k) FILTER (NOT lost), []) AS p FROM a GROUP BY ALL"),
+        ("o1", "SELECT * FROM " + OPTIONS.format(src="b1")),
+        ("w1", WALK.format(me="w1", src="o1")),
+        ("b2", "SELECT b.clip_id, b.frame, CASE WHEN b.frame = 0 THEN p ELSE list_filter(p, lambda q: (q.x - w.dx) ** 2 + (q.y - w.dy) ** 2 <= 576) END AS p FROM b1 b JOIN w1 w USING (clip_id, frame)"),
+        ("o2", "SELECT * FROM " + OPTIONS.format(src="b2")),
+        ("w2", WALK.format(me="w2", src="o2")),
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def estimate_shake(spark, sf_dir):
     return rounded(ST.estimate_shake(V.shake_anchors(V.event_points(spark, sf_dir)), KEY), "dx", "dy")
 

@@ -192,8 +192,8 @@ def decoded_frames(points: DataFrame) -> DataFrame:
 
 
 def sparse_points(points: DataFrame) -> DataFrame:
-    """What a tracker with a stride of three frames leaves, and the manual points."""
-    return points.filter("frame % 3 = 0 or manual")
+    """What a tracker leaves that gives no row for a frame without its target, and the manual points."""
+    return points.filter("visible or manual")
 
 
 def clip_bounds(points: DataFrame) -> DataFrame:
