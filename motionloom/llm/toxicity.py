@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches
+from .shared import bounded_batches, share_of
 
 BITS = 20
 TRAINING_ROWS = 16_000  # expected number of labelled rows that the weights are fitted on

@@ -12,7 +12,7 @@ import pytest
 
 import corpus_pipeline
 from motionloom.llm import chat, lm_score, packing, queries, secrets, toxicity, url_filter
-from motionloom.llm.shared import inline_rows
+from motionloom.llm.shared import inline_rows, share_of
 
 LOG = "conv_id long, seq long, msg long, op string, role string, text string, piece string, turn int"
 
@@ -256,3 +256,11 @@ def test_packed_integers_round_trip_in_little_space():
         values = np.array(case, dtype=np.uint64)
         assert (lm_score.unpacked(lm_score.packed(values)) == values).all()
     assert len(lm_score.packed(gaps)) < 5.5 * len(gaps)
+
+
+def test_samples_never_round_to_nothing(spark):
+    rows = spark.range(2_000_000)
+    assert abs(rows.filter(share_of(["id"], 20_000, 2_000_000)).count() - 20_000) < 1000
+    assert rows.filter(share_of(["id"], 20_000, 20_000)).count() == 2_000_000
+    assert rows.filter(share_of(["id"], 20_000, 5 * 10**10)).count() <= 10  # 0.8 are expected
+    assert 500 < rows.filter(share_of(["id"], 20_000_000, 5 * 10**10)).count() < 1200
