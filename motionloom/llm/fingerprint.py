@@ -1,9 +1,10 @@
 """Order-sensitive document fingerprints (Order MinHash over word k-mers).
 
 Each k-mer is numbered by its occurrence, so repeats differ. A hash deals the numbered k-mers into
-cells; each cell keeps its `depth` smallest, puts them back in text order and hashes the tuple.
-Texts share a cell's value only if the same k-mers were selected in the same order, so the share of
-equal cells falls with edit distance and not only with set overlap.
+cells; each cell keeps its `depth` smallest, puts them back in text order and hashes the tuple. A
+cell that was dealt fewer takes the `depth` smallest of all k-mers under a hash of its own, so short
+texts have whole tuples too. Texts share a cell's value only if the same k-mers were selected in the
+same order, so the share of equal cells falls with edit distance and not only with set overlap.
 """
 
 from __future__ import annotations
@@ -11,27 +12,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .shared import indices, small_side, text_digest, text_key
 
 K, DEPTH, CELL_BITS = 3, 2, 6
+PLACES = 1 << 32  # positions beside the hash bits of a long; no text has more words
 ID_CELL, CELLS_ABOVE = 1024, 4096  # ids in a stretch, stretches up to which they are one range
 RANGES = 256  # measured ranges of more stretches than that
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def with_cells(df: DataFrame, text: str, out: str, k: int = K, depth: int = DEPTH) -> DataFrame:
-    """`df` with `out`: array of cell * 2^32 + 32 bits of the tuple's hash, for cells that hold any.
+    """`df` with `out`: array of cell * 2^32 + 32 bits of the tuple's hash, for all cells of a text of `depth` k-mers or more.
 
-    A text of fewer than `k` words is one k-mer; a text without words has no cells. All work stays
-    inside the row and is linear in it, but for two sorts of long values.
+    A text of fewer than `k` words is one k-mer; a text of fewer than `depth` k-mers has one tuple, in
+    the cell of its least; a text without words has no cells. All work stays inside the row and is
+    linear in it, but for two sorts of long values: cells go short only in texts of a few hundred k-mers.
     """
+    cells = 1 << CELL_BITS
     grams = df.withColumn("_w", F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), ""))
     n = F.size("_w")
     grams = grams.withColumn("_n", F.when(n >= k, n - (k - 1)).when(n > 0, 1).otherwise(0))
-    # A long holds hash bits above and the position below; texts of over 2^24 words get more bits for it.
-    grams = grams.withColumn("_m", F.when(F.col("_n") >= 1 << 24, F.lit(1 << 32)).otherwise(F.lit(1 << 24)))
-    place = lambda x: F.pmod(x, F.col("_m"))
-    bits = lambda x: x - F.pmod(x, F.col("_m"))
+    # A long holds hash bits above and the position in the text below.
+    place = lambda x: x.bitwiseAND(F.lit(PLACES - 1))
+    bits = lambda x: x.bitwiseAND(F.lit(-PLACES))
     item = lambda a, i: F.get(F.col(a), i)
     gram = lambda i: F.xxhash64(*[item("_w", i + j) for j in range(k)])
     ordered = grams.withColumn("_s", F.sort_array(F.transform(indices(F.col("_n")), lambda i: bits(gram(i)) + i)))
@@ -40,13 +44,17 @@ def with_cells(df: DataFrame, text: str, out: str, k: int = K, depth: int = DEPT
     last = lambda j: F.coalesce(item("_f", j + 1), F.col("_n"))
     numbered = F.transform("_f", lambda s, j: F.transform(F.sequence(F.lit(0), last(j) - s - 1), lambda o: bits(F.xxhash64(bits(item("_s", s)), o)) + place(item("_s", s + o))))
     smallest = runs.withColumn("_t", F.sort_array(F.flatten(numbered)))
-    cell = lambda x: F.shiftright(x, 64 - CELL_BITS)
+    cell = lambda x: F.shiftright(x, 64 - CELL_BITS).cast("int") + (cells >> 1)
     kept = smallest.withColumn("_k", F.filter("_t", lambda x, i: (i < depth) | (cell(x) != cell(item("_t", i - depth)))))
-    heads = kept.withColumn("_h", F.filter(indices(F.size("_k")), lambda i: (i == 0) | (cell(item("_k", i)) != cell(item("_k", i - 1)))))
-    group = lambda s, j: F.slice("_k", s + 1, F.coalesce(item("_h", j + 1), F.size("_k")) - s)
+    full = kept.withColumn("_h", F.filter(indices(F.size("_k") - (depth - 1)), lambda i: ((i == 0) | (cell(item("_k", i)) != cell(item("_k", i - 1)))) & (cell(item("_k", i)) == cell(item("_k", i + depth - 1)))))
+    dealt = full.withColumn("_d", F.transform("_h", lambda i: cell(item("_k", i))))
     in_text = lambda xs: F.array_sort(F.transform(xs, lambda x: F.struct(place(x).alias("p"), bits(x).alias("h"))))
-    value = lambda s, j: (cell(item("_k", s)) + (1 << (CELL_BITS - 1))) * (1 << 32) + F.pmod(F.xxhash64(F.transform(in_text(group(s, j)), lambda x: x["h"])), F.lit(1 << 32))
-    return heads.withColumn(out, F.transform("_h", value)).drop("_w", "_n", "_m", "_s", "_f", "_t", "_k", "_h")
+    value = lambda c, xs: c.cast("long") * (1 << 32) + F.xxhash64(F.transform(in_text(xs), lambda x: x["h"])).bitwiseAND(F.lit((1 << 32) - 1))
+    short = F.array_except(F.sequence(F.lit(0), F.lit(cells - 1)), "_d")
+    drawn = lambda c: F.slice(F.sort_array(F.transform("_t", lambda x: bits(F.xxhash64(bits(x), c)) + place(x))), 1, depth)
+    values = F.concat(F.transform("_h", lambda i, j: value(item("_d", j), F.slice("_k", i + 1, depth))), F.transform(short, lambda c: value(c, drawn(c))))
+    few = F.when(F.col("_n") > 0, F.array(value(cell(item("_t", F.lit(0))), F.col("_t")))).otherwise(F.array().cast("array<bigint>"))
+    return dealt.withColumn(out, F.when(F.col("_n") >= depth, F.sort_array(values)).otherwise(few)).drop("_w", "_n", "_s", "_f", "_t", "_k", "_h", "_d")
 
 
 def written(cells: Column) -> Column:
@@ -94,7 +102,7 @@ def with_followers(docs: DataFrame) -> DataFrame:
     """
     rows = docs.withColumns({"_key": text_key(F.col("text")), "_stretch": F.coalesce(_stretch(F.col("doc_id"), ID_CELL).cast("long"), F.lit(-(1 << 62)))})
     slim = rows.select(F.col("_stretch").alias("stretch"), F.coalesce("doc_id", F.lit(-(1 << 62))).alias("id"), F.coalesce("_key", F.lit(0)).alias("key"))
-    heads = slim.groupBy("stretch").agg(F.min(F.struct("id", "key")).alias("head"))
+    heads = stored(slim.groupBy("stretch").agg(F.min(F.struct("id", "key")).alias("head")))
     heads = heads.join(before(heads.select("stretch")), "stretch").select(F.col("head.id").alias("_hid"), F.col("head.key").alias("_hkey"), F.col("prev").alias("_prev"))
     same = (F.coalesce("doc_id", F.lit(-(1 << 62))) == F.col("_hid")) & (F.coalesce("_key", F.lit(0)) == F.col("_hkey"))
     copies = rows.join(small_side(heads), same).withColumn("_stretch", F.col("_prev")).drop("_hid", "_hkey", "_prev")

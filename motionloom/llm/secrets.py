@@ -1,7 +1,7 @@
 """Spans of secrets in texts: fixed patterns, and strings that look random.
 
 The random look is the mean log-likelihood ratio of two character bigram models: one of strings
-that the fixed patterns found, one of ordinary words. Positions are code points: the pieces
+that the fixed patterns found, one of ordinary identifiers. Positions are code points: the pieces
 between matches and the matches themselves are measured and summed in order.
 """
 
@@ -24,7 +24,8 @@ RANDOM = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 BASE_KINDS = 3
 
-WORD = r"[A-Za-z]{6,}"
+# Words of letters joined by _ or -, with a number of up to four digits behind, and nothing of a key around them.
+IDENTIFIER = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9_-]{6})[A-Za-z]+(?:[_-][A-Za-z]+)*+(?:[_-]?[0-9]{1,4})?(?![A-Za-z0-9+/_=-])"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 TRAINING_DOCS = 20_000  # expected number of documents that the bigram models are fitted on
 MIN_RATIO = 0.5  # mean log-likelihood ratio of a bigram from which a string counts as random
@@ -58,7 +59,7 @@ def _pairs(body: Column) -> Column:
 def train(docs: DataFrame, sample_docs: int = TRAINING_DOCS) -> list[float]:
     """Log-likelihood ratio of each bigram cell, random against ordinary.
 
-    Labelled samples: what the fixed patterns find, and words of letters, in about `sample_docs`
+    Labelled samples: what the fixed patterns find, and identifiers, in about `sample_docs`
     documents chosen by a hash of doc_id and text. The result is bounded by the alphabet squared.
     """
     cells = (len(ALPHABET) + 1) ** 2
@@ -66,7 +67,7 @@ def train(docs: DataFrame, sample_docs: int = TRAINING_DOCS) -> list[float]:
     chosen = docs.filter(share_of(["doc_id", "text"], sample_docs, docs.count())).select(text.alias("text"))
     secret = F.concat(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), F.regexp_extract_all("text", F.lit(ACCESS), F.lit(0)), F.regexp_extract_all("text", F.lit(HEX), F.lit(0)))
     samples = lambda label, bodies: F.transform(bodies, lambda b: F.struct(F.lit(label).alias("label"), b.alias("body")))
-    plain = chosen.select(F.explode(F.concat(samples(1, secret), samples(0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))).alias("s")).select("s.*")
+    plain = chosen.select(F.explode(F.concat(samples(1, secret), samples(0, F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))))).alias("s")).select("s.*")
     pairs = plain.filter(F.length("body") >= 6).select("label", F.explode(_pairs(F.col("body"))).alias("cell"))
     counts = {(r.label, r.cell): r.n for r in pairs.groupBy("label", "cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     totals = [sum(n for (label, _), n in counts.items() if label == k) + SMOOTHING * cells for k in (0, 1)]

@@ -6,6 +6,7 @@ import random
 import re
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from motionloom.llm import components, decontaminate, fingerprint, line_dedup, near_dup, queries
@@ -147,6 +148,28 @@ def test_contamination_equals_brute_force(spark):
     assert left.columns == frame(spark, []).columns
 
 
+def test_many_passages_join_by_shuffle(spark, monkeypatch):
+    draw = random.Random(8)
+    words = ["a", "b", "c9", "the", *[f"w{k}" for k in range(30)]]
+    say = lambda n: " ".join(draw.choices(words, weights=[40, 40, 5, 40, *[1] * 30], k=n))
+    items = [(k, say(draw.randint(1, 9))) for k in range(40)] + [(50, "a b"), (51, None), (52, "unseen words only")]
+    docs = [(k, say(draw.randint(0, 80))) for k in range(60)] + [(70, None), (71, ""), (71, "the a b"), (71, "the a b"), (None, "a b a b"), (80, say(4000))]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_hits(docs, items, 4)
+    monkeypatch.setattr(decontaminate, "PASSAGES_BROADCAST", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for threshold, cells, share in ((before, 1 << 20, 1000), ("-1", 4, 3), ("-1", 1 << 10, 50)):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            monkeypatch.setattr(decontaminate, "FILTER_CELLS", cells)
+            monkeypatch.setattr(decontaminate, "HOT_SHARE", share)
+            got = [tuple(r) for r in decontaminate.report(frame(spark, docs), table, 4).collect()]
+            assert sorted(got, key=str) == want
+        assert decontaminate.report(frame(spark, []), table, 4).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def brute_cells(text, k=fingerprint.K, depth=fingerprint.DEPTH):
     """Occurrence-numbered k-mers of a text, as a list of names in text order."""
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
@@ -169,8 +192,57 @@ def test_fingerprints_order_occurrences_and_edges(spark):
     assert out[1] == out[2] and out[5] == out[6] == out[9] == [] and len(out[7]) == 1
     alike = lambda a, b: len(set(out[a]) & set(out[b])) / len({c >> 32 for c in out[a]} | {c >> 32 for c in out[b]})
     assert alike(1, 3) > 0.3 > alike(1, 4)
-    numbered = [brute_cells(t) for _, t in rows]
-    assert len(out[1]) <= 64 and all(len(c) >= min(20, len(g) // 8) for c, g in zip(out.values(), numbered, strict=True))
+    for i, t in rows:
+        assert out[i] == signature(t)
+
+
+def signed(x):
+    return (x + (1 << 63)) % (1 << 64) - (1 << 63)
+
+
+def chained(*parts):
+    """The 64-bit hash of several values, each one's hash being the seed of the next; numbers by width in bytes."""
+    seed = 42
+    for p in parts:
+        data = p.encode() if isinstance(p, str) else (p[0] % (1 << 8 * p[1])).to_bytes(p[1], "little")
+        seed = xxhash.xxh64_intdigest(data, seed=seed)
+    return signed(seed)
+
+
+def signature(text, depth=fingerprint.DEPTH):
+    """Cells by plain loops: dealt tuples, and drawn ones where a cell was dealt too few."""
+    top = lambda x: x - x % (1 << 32)
+    place, dealt = [], {c: [] for c in range(64)}
+    for at, (gram, count) in enumerate(brute_cells(text)):
+        h = top(chained((top(chained(*gram)), 8), (count - 1, 4)))
+        place.append((h, at))
+        dealt[(h >> 58) + 32].append((h, at))
+    if len(place) < depth:
+        return [(((h >> 58) + 32) << 32) + chained((h, 8)) % (1 << 32) for h, _ in place]
+    out = []
+    for c in range(64):
+        chosen = sorted(dealt[c])[:depth]
+        if len(chosen) < depth:
+            chosen = sorted((top(chained((h, 8), (c, 4))), at) for h, at in place)[:depth]
+        out.append((c << 32) + chained(*[(h, 8) for h, _ in sorted(chosen, key=lambda x: x[1])]) % (1 << 32))
+    return out
+
+
+def test_short_texts_keep_their_order(spark):
+    draw = random.Random(3)
+    words = [f"w{k}" for k in range(5000)]
+    rows, sizes = [], (20, 40, 60, 100, 800)
+    for k, n in enumerate(s for s in sizes for _ in range(20)):
+        body = draw.choices(words, k=n)
+        rows += [(2 * k, " ".join(body)), (2 * k + 1, " ".join(body[n // 2 :] + body[: n // 2]))]
+    out = {r.doc_id: set(r.cells) for r in fingerprint.with_cells(frame(spark, rows), "text", "cells").select("doc_id", "cells").collect()}
+    alike = [len(out[2 * k] & out[2 * k + 1]) / 64 for k in range(20 * len(sizes))]
+    means = [sum(alike[20 * i : 20 * i + 20]) / 20 for i in range(len(sizes))]
+    text = dict(rows)
+    for i, mean in enumerate(means):  # both k-mers of a tuple are shared, and half of all pairs keep their order
+        grams = [set(brute_cells(text[40 * i + side])) for side in (0, 1)]
+        shared, either = len(grams[0] & grams[1]), len(grams[0] | grams[1])
+        assert abs(mean - 0.5 * shared * (shared - 1) / (either * (either - 1))) < 0.08, (sizes[i], mean)
 
 
 def test_edited_texts_and_next_documents(spark, monkeypatch):

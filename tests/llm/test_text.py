@@ -80,6 +80,21 @@ def test_base_secrets_equal_python_and_random_strings_are_added(spark):
     assert secrets.report(secrets.scan(docs_of(spark, []), model)).count() == 0
 
 
+def test_planted_keys_are_found_and_identifiers_left(spark):
+    draw = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    words = "get user account total response handler session number configuration value index parser stream buffer memory string table record update default window message network thread random output".split()
+    key = lambda: "".join(draw.choices(letters, k=draw.randint(24, 40)))
+    joins = (lambda ws: "_".join(ws), lambda ws: "-".join(ws), lambda ws: ws[0] + "".join(w.title() for w in ws[1:]), lambda ws: "_".join(ws).upper(), lambda ws: "_".join(ws) + str(draw.randint(1, 2030)))
+    name = lambda n: draw.choice(joins)(draw.choices(words, k=n))
+    train = [(k, f"{name(2)} {name(1)} {name(3)} token={key()} and {name(2)}") for k in range(400)]
+    model = secrets.train(docs_of(spark, train))
+    long_name = lambda: next(x for x in iter(lambda: name(5), None) if len(x) >= 20)
+    tests = [(k, key()) for k in range(300)] + [(1000 + k, long_name()) for k in range(300)]
+    found = {r.doc_id for r in secrets.report(secrets.scan(docs_of(spark, tests), model)).filter("spans <> ''").collect()}
+    assert sum(k < 300 for k in found) >= 270 and sum(k >= 1000 for k in found) <= 30
+
+
 def test_urls_follow_the_longest_rule(spark):
     rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("org", "/fr/ab", "block"), ("Example.org", "/fr/", "allow"), ("org", "/fr/ab", "allow"), ("com", "", "block"), (None, "/", "block")]
     urls = ["http://x.EXAMPLE.net/en/1?q", "http://net/", "http://net", "https://a.org/fr/abc#x", "http://example.org/fr/abc", "http://notnet/", "x", None, "", "http://b.com", "http://a.b.c.d.example.net/EN/", "http://a\n.net/", "u://h?/://net/", "http://" + "a." * 3000 + "net/" + "x/" * 3000]
