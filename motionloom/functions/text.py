@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 # words that must not leave the machine inside a shared context
 FORBIDDEN = ("api_key", "authorization", "sk-")
+# keys of a context that hold a file's place
+PATH_KEYS = ("video_path", "path")
+# fields of an answer's usage record
+USAGE_FIELDS = ("prompt_tokens", "completion_tokens", "total_tokens")
 
 
 def version(tag: Column) -> Column:
@@ -79,6 +83,18 @@ def leaks_secret(text: Column) -> Column:
     return out
 
 
+def leaks_context(context: Column) -> Column:
+    """First forbidden word of a JSON context, ``path`` where one of its own keys is a path, or null."""
+    keys = F.json_object_keys(context)
+    return F.coalesce(leaks_secret(context), F.when(F.arrays_overlap(keys, F.array(*[F.lit(k) for k in PATH_KEYS])), "path"))
+
+
+def usage(answer: Column) -> Column:
+    """struct of the token counts of a JSON answer; what is missing, null or broken counts 0."""
+    fields = F.from_json(F.get_json_object(answer, "$.usage"), ", ".join(f"{n} bigint" for n in USAGE_FIELDS))
+    return F.struct(*[F.coalesce(fields[n], F.lit(0).cast("long")).alias(n) for n in USAGE_FIELDS])
+
+
 def http_outcome(status: Column) -> Column:
     """Class of an HTTP answer: ok, auth, rate_limited, retry or failed."""
     return (

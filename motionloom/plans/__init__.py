@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-QUERY_MODULES = ("track_queries", "physics_queries", "timeline_queries", "scoring_queries", "calibration_queries", "context_queries", "pixel_queries", "record_queries")
+QUERY_MODULES = ("track_queries", "physics_queries", "timeline_queries", "scoring_queries", "calibration_queries", "context_queries", "pixel_queries", "record_queries", "lookup_queries")
 
 
 def load_queries():

@@ -73,6 +73,14 @@ def chat_messages(history: DataFrame, questions: DataFrame, keys: Keys, system_p
     return rows.select(*keys, F.concat(one("system", F.lit(system_prompt)), middle, one("user", F.col("question"))).alias("messages"))
 
 
+def report_messages(contexts: DataFrame, keys: Keys, system_prompt: str, instruction: str, *, level: str = "high") -> DataFrame:
+    """keys, messages: the system prompt with its instruction, then the task with the JSON ``context``."""
+    head = F.to_json(F.struct(F.lit(level).alias("teaching_level"), F.lit("experiment_report_sections").alias("task"), F.lit(True).alias("json")))
+    task = F.concat(F.rtrim(head, F.lit("}")), F.lit(',"context":'), F.coalesce("context", F.lit("null")), F.lit("}"))
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    return contexts.select(*keys, F.array(message("system", F.lit(f"{system_prompt}\n{instruction}")), message("user", task)).alias("messages"))
+
+
 def report_markdown(picked: DataFrame, keys: Keys, stamp: Column, *, level: str = "high", stale: Column | None = None) -> DataFrame:
     """keys, markdown: six sections whose numbers all come from the analysis."""
     c = F.col("candidate")
