@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from motionloom.operators import fitting, joins, kinematics, metrics, periods, quantiles, stabilize, tiling, timeline, video
+from motionloom.operators import fitting, joins, kinematics, lookup, metrics, periods, quantiles, stabilize, tiling, timeline, video
 from motionloom.plans import analysis, catalog
 from motionloom.plans import views as V
 from motionloom.sources import synthetic
@@ -25,8 +25,12 @@ def rows_of(df):
     return sorted((tuple(str(canon(r[c])) for c in cols) for r in df.select(*cols).collect()))
 
 
+def asked(points):
+    return points.select("clip_id", F.col("event_id").alias("cursor_id"), (F.col("frame") + F.col("event_id") % 41 - 20).alias("asked"))
+
+
 OPERATORS = {
-    "series": lambda p: kinematics.series(p, KEY).drop("quality_flags"),
+    "series":lambda p: kinematics.series(p, KEY).drop("quality_flags"),
     "series_step10": lambda p: kinematics.series(p, KEY, step=10).drop("quality_flags"),
     "run_bounds": lambda p: kinematics.run_bounds(p, KEY).drop("run_id"),
     "cumulative": lambda p: V.cumulative_points(p).select("clip_id", "frame", "x"),
@@ -37,6 +41,9 @@ OPERATORS = {
     "trailing_hidden": lambda p: timeline.trailing_hidden(p, KEY),
     "track_metrics": lambda p: metrics.track_metrics(p, V.repeated_predictions(p), V.clip_difficulty(p), KEY),
     "compensate": lambda p: joins.compensate(p, V.shake_offsets(p), KEY).select("clip_id", "frame", "x", "y"),
+    "position_at": lambda p: lookup.position_at(V.sparse_points(p), asked(p), KEY),
+    "to_video": lambda p: lookup.to_video(p, V.shake_offsets(p), KEY).select("clip_id", "frame", "x", "y"),
+    "anchors_at": lambda p: lookup.anchors_at(V.shake_anchors(p), asked(p), KEY),
     "shake": lambda p: stabilize.estimate_shake(V.shake_anchors(p), KEY),
     "repair": lambda p: video.repair_pts(V.decoded_frames(p), KEY, 40),
     "fit": lambda p: fitting.fit_quantity(V.cumulative_points(p), KEY, "x", 1).select("clip_id", "n", F.round("r2", 5).alias("r2")),
