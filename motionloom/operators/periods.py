@@ -1,10 +1,10 @@
 """Periods of runs: autocorrelation on an even grid, and zero crossings.
 
-A run is resampled interval by interval on a grid of its median spacing. The grid is cut into
-tiles; each pair of tiles that lie `ahead` tiles apart gives, by one Fourier product, its part of
-the lag products of both coordinates, and the parts are summed by lag. No task holds more than
-two tiles, whatever the length of a run or of a pause in it. A run of one tile is answered where
-its products are made.
+A run is resampled interval by interval on a grid of its median spacing. A grid of up to GRID_TILE
+points is answered in one row. The lag products of a longer one are the inverse transform of its
+power spectrum, taken in four steps: the grid is laid out as a matrix, its columns are transformed,
+turned and exchanged for its rows, and the way back goes through the same blocks. That is three
+exchanges and n log n work; no task holds more than one block of whole columns or rows.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ..session import stored
 from .fitting import zero_crossing_period
 from .quantiles import exact_median
 from .sequence import drop_halo, with_halo
@@ -69,10 +70,11 @@ def crossing_periods(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def even_grid(rows: DataFrame, keys: Keys) -> tuple[DataFrame, DataFrame]:
-    """(keys, g, x, y) on the grid of each run, and (keys, dt, size, swing of each axis) of the grids.
+    """(keys, g, x, y and the facts) on the grid of each run, and its facts: keys, dt, size, swing of each axis.
 
     A grid runs from the first sample to within half a step of the last one and needs eight
-    points; each gap between samples fills its own grid points by linear interpolation.
+    points; each gap between samples fills its own grid points by linear interpolation. The facts,
+    one row per run, are stored.
     """
     keys = list(keys)
     rows = rows.select(*parts(rows, keys), "frame", "time_s", *AXES)
@@ -87,57 +89,99 @@ def even_grid(rows: DataFrame, keys: Keys) -> tuple[DataFrame, DataFrame]:
         spans = gaps.groupBy(*keys).agg(*spans, F.median(step).alias("dt"))
     size = F.ceil((F.col("_t1") - F.col("_t0")) / F.col("dt") + 0.5).cast("long")
     grids = spans.filter("dt > 1e-9").withColumn("size", size).filter((F.col("size") >= MIN_SAMPLES) & (F.col("_rows") >= MIN_SAMPLES))
-    placed = gaps.join(grids.select(*keys, "_t0", "dt", "size"), keys)
+    facts = ["dt", "size", *[f"_s{a}" for a in AXES]]
+    grids = stored(grids.select(*keys, "_t0", *facts))
+    placed = gaps.join(grids, keys)
     cell = lambda t: F.ceil((t - F.col("_t0")) / F.col("dt") - 1e-9).cast("long")
     last = F.col("_n").isNull()
     stop = F.when(last, F.col("size")).otherwise(cell(F.col("_n.time_s")))
     filled = explode_range(placed, cell(F.col("time_s")), stop - 1, "g")
     share = F.greatest(F.lit(0.0), (F.col("_t0") + F.col("g") * F.col("dt") - F.col("time_s")) / (F.col("_n.time_s") - F.col("time_s")))
     value = lambda a: F.when(last, F.col(a)).otherwise(F.col(a) + (F.col(f"_n.{a}") - F.col(a)) * share)
-    return filled.select(*keys, F.col("g").cast("long").alias("g"), *[value(a).alias(a) for a in AXES]), grids.select(*keys, "dt", "size", *[f"_s{a}" for a in AXES])
-
-
-def _pairs(grid: DataFrame, keys: list[str], ahead: Column) -> DataFrame:
-    """Grid rows copied to the tile pairs (tile, ahead) that they belong to, as `first` or not."""
-    tile = F.floor(F.col("g") / GRID_TILE)
-    as_first = F.transform(ahead, lambda k: F.struct(F.col("_b").alias("tile"), k.alias("ahead"), F.lit(True).alias("first")))
-    as_second = F.transform(F.filter(ahead, lambda k: (k > 0) & (k <= F.col("_b"))), lambda k: F.struct((F.col("_b") - k).alias("tile"), k.alias("ahead"), F.lit(False).alias("first")))
-    rows = grid.withColumn("_b", tile.cast("long"))
-    return rows.select(*keys, "g", *AXES, F.explode(F.concat(F.filter(as_first, lambda p: p["tile"] + p["ahead"] <= F.floor((F.col("size") - 1) / GRID_TILE)), as_second)).alias("_p")).select(*keys, "g", *AXES, "_p.*")
-
-
-def lag_products(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, lag, cx, cy: sums of products at each lag, over all pairs of tiles."""
-    schema = T.StructType([*[pairs.schema[k] for k in keys], T.StructField("lag", T.LongType()), *[T.StructField(f"c{a}", T.DoubleType()) for a in AXES]])
-
-    def products(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        *names, tile, ahead = key
-        left = pdf[pdf["first"]]
-        right = left if ahead == 0 else pdf[~pdf["first"]]
-        base = (tile * GRID_TILE, (tile + ahead) * GRID_TILE)
-        width = 1 + int(max((left["g"] - base[0]).max(), (right["g"] - base[1]).max()))
-        spots = 2 * width
-        out = {}
-        for axis in AXES:
-            line = np.zeros((2, spots))
-            for k, side in enumerate((left, right)):
-                line[k, side["g"].to_numpy() - base[k]] = side[axis].to_numpy()
-            spectra = np.fft.rfft(line)
-            out[f"c{axis}"] = np.fft.irfft(np.conj(spectra[0]) * spectra[1], spots)
-        shift = np.arange(spots)
-        shift[shift >= width] -= spots
-        made = pd.DataFrame({"lag": ahead * GRID_TILE + shift, **out})
-        made = made[made["lag"] >= 0]
+    return filled.select(*keys, F.col("g").cast("long").alias("g"), *[value(a).alias(a) for a in AXES], *facts), grids.drop("_t0")
+
+
+def layout(size: int, block: int) -> tuple[int, int, int, int]:
+    """(rows, columns, rows of a block, columns of a block) of the matrix for a grid of `size` points.
+
+    It holds twice the points, all but the first ones zero, so no lag wraps around. Every number is
+    a power of two; a block holds `block` values, or one whole column or row if that is more.
+    """
+    bits = (2 * size - 1).bit_length()
+    rows, columns = 1 << (bits - bits // 2), 1 << bits // 2
+    return rows, columns, min(rows, max(1, block // columns)), min(columns, max(1, block // rows))
+
+
+def _column_block(block: int) -> Column:
+    """Number of the column block that a grid point lies in, as ``layout`` has them."""
+    bits = F.length(F.bin(2 * F.col("size") - 1))
+    power = lambda b: F.pow(F.lit(2.0), b).cast("long")
+    half = F.floor(bits / 2)
+    columns, rows = power(half), power(bits - half)
+    width = F.least(columns, F.greatest(F.lit(1), F.floor(F.lit(block) / rows))).cast("long")
+    return F.floor((F.col("g") % columns) / width).cast("long")
+
+
+def lag_products(centred: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, lag, cx, cy: sums of products at each lag of whole grids (keys, g, x, y, size)."""
+    block = 4 * GRID_TILE
+    named = [centred.schema[k] for k in keys]
+    number = lambda *names: [T.StructField(n, T.LongType()) for n in names]
+    cells = T.StructType([*named, *number("size", "row", "column"), T.StructField("body", T.BinaryType())])
+    lags = T.StructType([*named, *number("lag"), *[T.StructField(f"c{a}", T.DoubleType()) for a in AXES]])
+
+    def turns(k: np.ndarray, c: np.ndarray, total: int, sign: int) -> np.ndarray:
+        return np.exp(sign * 2j * np.pi * (k[:, None] * c[None, :] % total) / total)
+
+    def labelled(made: pd.DataFrame, names: Sequence, schema: T.StructType) -> pd.DataFrame:
         for name, value in zip(keys, names, strict=True):
             made[name] = value
         return made[schema.names]
 
-    parts_of = pairs.groupBy(*keys, "tile", "ahead").applyInPandas(products, schema)
-    return parts_of.groupBy(*keys, "lag").agg(*[F.sum(f"c{a}").alias(f"c{a}") for a in AXES])
-
-
-def first_peaks(products: DataFrame, grids: DataFrame, keys: list[str], last: Column | None = None) -> DataFrame:
-    """keys, axis, period_s: the first lag, up to ``last``, at least as high as both neighbours and clear enough.
+    def columns_in(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        *names, column = key
+        size = int(pdf["size"].iloc[0])
+        rows, columns, deep, wide = layout(size, block)
+        g = pdf["g"].to_numpy()
+        lines = np.zeros((len(AXES), rows, wide))
+        lines[:, g // columns, g % columns - column * wide] = pdf[list(AXES)].to_numpy().T
+        spectra = np.fft.fft(lines, axis=1) * turns(np.arange(rows), column * wide + np.arange(wide), rows * columns, -1)
+        bodies = [spectra[:, at : at + deep].tobytes() for at in range(0, rows, deep)]
+        return labelled(pd.DataFrame({"size": size, "row": range(len(bodies)), "column": column, "body": bodies}), names, cells)
+
+    def rows_through(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        *names, row = key
+        size = int(pdf["size"].iloc[0])
+        rows, columns, deep, wide = layout(size, block)
+        lines = np.empty((len(AXES), deep, columns), dtype=complex)
+        for column, body in zip(pdf["column"], pdf["body"], strict=True):
+            lines[:, :, column * wide : (column + 1) * wide] = np.frombuffer(body, dtype=complex).reshape(len(AXES), deep, wide)
+        power = np.abs(np.fft.fft(lines, axis=2)) ** 2
+        both = np.fft.ifft(power[0] + 1j * power[1], axis=1)  # two real answers share one way back
+        both *= turns(row * deep + np.arange(deep), np.arange(columns), rows * columns, 1)
+        bodies = [both[:, at : at + wide].tobytes() for at in range(0, columns, wide)]
+        return labelled(pd.DataFrame({"size": size, "row": row, "column": range(len(bodies)), "body": bodies}), names, cells)
+
+    def columns_out(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        *names, column = key
+        size = int(pdf["size"].iloc[0])
+        rows, columns, deep, wide = layout(size, block)
+        lines = np.empty((rows, wide), dtype=complex)
+        for row, body in zip(pdf["row"], pdf["body"], strict=True):
+            lines[row * deep : (row + 1) * deep] = np.frombuffer(body, dtype=complex).reshape(deep, wide)
+        lines = np.fft.ifft(lines, axis=0)
+        lag = np.arange(rows)[:, None] * columns + column * wide + np.arange(wide)[None, :]
+        inside = lag < size
+        return labelled(pd.DataFrame({"lag": lag[inside], "cx": lines.real[inside], "cy": lines.imag[inside]}), names, lags)
+
+    points = centred.select(*keys, "g", *AXES, "size", _column_block(block).alias("column"))
+    turned = points.groupBy(*keys, "column").applyInPandas(columns_in, cells)
+    back = turned.groupBy(*keys, "row").applyInPandas(rows_through, cells)
+    return back.groupBy(*keys, "column").applyInPandas(columns_out, lags)
+
+
+def first_peaks(products: DataFrame, grids: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, axis, period_s: the first lag at least as high as both neighbours and clear enough.
 
     Each lag meets its neighbours by an aggregate over the three lags around it, so a long run's
     lags stay spread.
@@ -148,7 +192,6 @@ def first_peaks(products: DataFrame, grids: DataFrame, keys: list[str], last: Co
     value = lambda a, d: F.max(F.when(F.col("_p.d") == d, F.col(f"c{a}"))).alias(f"{a}{d + 1}")
     near = about.groupBy(*keys, F.col("_p.lag").alias("lag")).agg(*[value(a, d) for a in AXES for d in (-1, 0, 1)])
     tried = near.join(heads, keys).filter((F.col("lag") >= F.greatest(F.lit(2), F.floor(F.lit(SHORTEST_S) / F.col("dt")))) & (F.col("lag") < F.col("size") - 1))
-    tried = tried if last is None else tried.filter(F.col("lag") <= last)
     hit = lambda a: (F.col(f"_s{a}") >= FLAT) & (F.col(f"_z{a}") > 0) & (F.col(f"{a}1") > F.col(f"_z{a}") * CLEAR_SHARE) & (F.col(f"{a}1") >= F.greatest(f"{a}0", f"{a}2") - F.col(f"_z{a}") * TOLERANCE)
     firsts = tried.groupBy(*keys, "dt").agg(*[F.min(F.when(hit(a), F.col("lag"))).alias(a) for a in AXES])
     long = firsts.select(*keys, "dt", F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("lag")) for a in AXES])).alias("_p"))
@@ -161,6 +204,7 @@ def tile_periods(x: pd.Series, y: pd.Series, dt: pd.Series) -> pd.DataFrame:
     out = np.full((len(dt), len(AXES)), np.nan)
     for row, (*lines, step) in enumerate(zip(x, y, dt, strict=True)):
         line = np.stack(lines)
+        line = line - line.mean(axis=1, keepdims=True)
         size = line.shape[1]
         products = np.fft.irfft(np.abs(np.fft.rfft(line, 2 * size)) ** 2, 2 * size)[:, :size]
         inner, top = products[:, 1:-1], products[:, :1]
@@ -171,10 +215,10 @@ def tile_periods(x: pd.Series, y: pd.Series, dt: pd.Series) -> pd.DataFrame:
     return made.where(made.notna(), None)
 
 
-def short_periods(centred: DataFrame, keys: list[str]) -> DataFrame:
+def short_periods(even: DataFrame, keys: list[str]) -> DataFrame:
     """keys, axis, period_s of runs whose grid is one tile: its points, at most GRID_TILE, are one row."""
     swings = [f"_s{a}" for a in AXES]
-    whole = centred.groupBy(*keys, "dt", *swings).agg(F.sort_array(F.collect_list(F.struct("g", *AXES))).alias("_p"))
+    whole = even.groupBy(*keys, "dt", *swings).agg(F.sort_array(F.collect_list(F.struct("g", *AXES))).alias("_p"))
     found = whole.select(*keys, *swings, tile_periods("_p.x", "_p.y", "dt").alias("_t"))
     axes = F.array(*[F.struct(F.lit(a).alias("axis"), F.when(F.col(f"_s{a}") >= FLAT, F.col(f"_t.{a}")).alias("period_s")) for a in AXES])
     return found.select(*keys, F.explode(axes).alias("_a")).select(*keys, "_a.*").filter("period_s is not null")
@@ -183,23 +227,17 @@ def short_periods(centred: DataFrame, keys: list[str]) -> DataFrame:
 def correlation_periods(rows: DataFrame, keys: Keys) -> DataFrame:
     """keys, axis, period_s of the runs and coordinates whose autocorrelation has a clear peak.
 
-    Lags inside neighbouring tiles are tried first. In a grid of more than two tiles their products
-    are whole up to lag GRID_TILE only, so peaks count up to the lag before it; runs that have more
-    tiles and a moving coordinate without such a peak go on to all their tile pairs.
+    Grids of up to GRID_TILE points are one row each; the longer ones, where there are any, are
+    stored and transformed in blocks. Both give the first clear peak over all lags of a run.
     """
     keys = list(keys)
     even, grids = even_grid(rows, keys)
-    means = even.groupBy(*keys).agg(*[F.avg(a).alias(f"_m{a}") for a in AXES])
-    centred = even.join(means, keys).join(grids, keys).withColumns({a: F.col(a) - F.col(f"_m{a}") for a in AXES}).drop("_mx", "_my")
-    short = short_periods(centred.filter(F.col("size") <= GRID_TILE), keys)
-    long = centred.filter(F.col("size") > GRID_TILE)
-    whole = F.when(F.col("size") > 2 * GRID_TILE, F.lit(GRID_TILE - 1)).otherwise(F.col("size"))
-    near = first_peaks(lag_products(_pairs(long, keys, F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))), keys), grids, keys, whole)
-    if not is_tiled(rows) and grids.filter(F.col("size") > 2 * GRID_TILE).isEmpty():
-        return short.unionByName(near)  # keeps the plan small where no run has more tiles
-    done = near.groupBy(*keys).agg(F.countDistinct("axis").alias("_axes"))
-    moving = sum((F.col(f"_s{a}") >= FLAT).cast("int") for a in AXES)
-    rest = long.filter(F.col("size") > 2 * GRID_TILE).join(done, keys, "left").filter(F.coalesce("_axes", F.lit(0)) < moving).drop("_axes")
-    every = F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / GRID_TILE).cast("long"))
-    far = first_peaks(lag_products(_pairs(rest, keys, every), keys), grids, keys)
-    return short.unionByName(near).unionByName(far).groupBy(*keys, "axis").agg(F.min("period_s").alias("period_s"))
+    short = short_periods(even.filter(F.col("size") <= GRID_TILE), keys)
+    grids = grids.filter(F.col("size") > GRID_TILE)
+    if grids.isEmpty():
+        return short
+    long = stored(even.filter(F.col("size") > GRID_TILE))
+    means = long.groupBy(*keys).agg(*[F.avg(a).alias(f"_m{a}") for a in AXES])
+    centred = long.join(means, keys).withColumns({a: F.col(a) - F.col(f"_m{a}") for a in AXES})
+    products = stored(lag_products(centred, keys))  # read for lag 0 and for all lags
+    return short.unionByName(first_peaks(products, grids, keys))

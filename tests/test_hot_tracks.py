@@ -167,3 +167,24 @@ def test_long_ranges_are_chunked(spark, monkeypatch):
     got = timeline.sample_grid(bounds, KEY, 3)
     want = [(1, f) for f in (0, 3, 6, 9, 12, 15, 18, 21, 23)] + [(2, 4)]
     assert sorted((r.clip_id, r.frame) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("n", [33, 64, 100, 1000])
+def test_lag_products_of_blocks_equal_the_plain_sums(spark, monkeypatch, n):
+    monkeypatch.setattr(periods, "GRID_TILE", 8)
+    rng = np.random.default_rng(n)
+    runs = {k: rng.normal(size=(2, n + k)) for k in (1, 2)}
+    rows = [(k, g, float(v[0, g]), float(v[1, g]), n + k) for k, v in runs.items() for g in range(n + k)]
+    got = periods.lag_products(spark.createDataFrame(rows, "clip_id int, g long, x double, y double, size long"), KEY).toPandas()
+    for k, v in runs.items():
+        mine = got[got["clip_id"] == k].sort_values("lag")
+        assert mine["lag"].tolist() == list(range(n + k))
+        for axis, line in zip(("cx", "cy"), v, strict=True):
+            assert mine[axis].to_numpy() == pytest.approx(np.correlate(line, line, "full")[n + k - 1 :], abs=1e-9)
+
+
+def test_blocks_of_a_long_run_stay_bounded():
+    for size in (1 << 15, 1 << 20, 1 << 27):
+        rows, columns, deep, wide = periods.layout(size, 1 << 16)
+        assert 2 * size <= rows * columns < 8 * size
+        assert rows * wide <= 1 << 16 and deep * columns <= 1 << 16
