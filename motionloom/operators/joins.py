@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tiling import SPLIT, is_tiled
+from .tiling import SPLIT, is_tiled, parts
 
 def attach(df: DataFrame, dim: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join a per-track record onto its points.
@@ -97,7 +97,7 @@ def nearest_in_time(samples: DataFrame, cursors: DataFrame, keys: Sequence[str])
     ``cursors`` has (keys, cursor_id, at_s). Samples and cursors are one ordered stream: the last
     sample at or before a cursor and the first one after it are the only candidates.
     """
-    from .sequence import carry, file_marks
+    from .sequence import carry, file_marks, with_marks
 
     keys = list(keys)
     tile = ["tile"] if is_tiled(samples) else []
@@ -107,7 +107,7 @@ def nearest_in_time(samples: DataFrame, cursors: DataFrame, keys: Sequence[str])
     if tile:
         starts = samples.filter(SPLIT).groupBy(*keys, "tile").agg(F.min("time_s").alias("_at"))
         marks = file_marks(marks, keys, starts)
-    stream = rows.unionByName(marks).withColumn("_ord", F.struct("_at", F.col("cursor_id").isNotNull(), F.coalesce("cursor_id", "_k")))
+    stream = with_marks(rows, marks, parts(rows, keys)).withColumn("_ord", F.struct("_at", F.col("cursor_id").isNotNull(), F.coalesce("cursor_id", "_k")))
     prev = carry(stream, keys, "_ord", {"_prev": F.col("_s")}, forward=True)
     both = carry(prev, keys, "_ord", {"_next": F.col("_s")}, forward=False)
     gap_prev = F.col("_at") - F.col("_prev.t")

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import lerp
 from .joins import compensate
-from .sequence import carry, file_marks
-from .tiling import SPLIT, is_tiled
+from .sequence import carry, file_marks, with_marks
+from .tiling import SPLIT, is_tiled, parts
 
 Keys = Sequence[str]
 
@@ -29,7 +29,7 @@ def position_at(points: DataFrame, cursors: DataFrame, keys: Keys) -> DataFrame:
     marks = cursors.select(*keys, F.col("asked").cast("long").alias("_at"), F.lit(None).cast(rows.schema["_s"].dataType).alias("_s"), F.col("cursor_id").cast("long"))
     if tile:
         marks = file_marks(marks, keys, rows.filter(SPLIT).groupBy(*keys, "tile").agg(F.min("_at").alias("_at")))
-    stream = rows.unionByName(marks).withColumn("_ord", F.struct("_at", F.col("cursor_id").isNotNull(), F.coalesce("cursor_id", F.lit(0).cast("long"))))
+    stream = with_marks(rows, marks, parts(rows, keys)).withColumn("_ord", F.struct("_at", F.col("cursor_id").isNotNull(), F.coalesce("cursor_id", F.lit(0).cast("long"))))
     both = carry(carry(stream, keys, "_ord", {"_prev": F.col("_s")}, forward=True), keys, "_ord", {"_next": F.col("_s")}, forward=False)
     value = lambda axis: (
         F.when(F.col("_prev").isNull(), F.col("_next")[axis])

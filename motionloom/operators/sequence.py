@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .tiling import COLD_TILE, SPLIT, is_tiled, parts
+from .tiling import COLD_TILE, SPLIT, hot_keys, is_tiled, parts
 
 Keys = Sequence[str]
+CROWD = 1_000_000  # marks of one group (track, or tile) from which they are dealt to several tasks
 
 
 def running_max(df: DataFrame, keys: Keys, order: str | Sequence[str], values: Mapping[str, Column], *, inclusive: bool = True) -> DataFrame:
@@ -64,11 +65,14 @@ def carry(
     forward: bool = True,
     inclusive: bool = False,
 ) -> DataFrame:
-    """Nearest non-null ``value`` before (``forward``) or after the row along ``order``."""
+    """Nearest non-null ``value`` before (``forward``) or after the row along ``order``.
+
+    A stream of ``with_marks`` is scanned part by part.
+    """
     group = parts(df, keys)
     end = 0 if inclusive else -1
     sort = F.col(order).asc() if forward else F.col(order).desc()
-    w = W.partitionBy(*group).orderBy(sort).rowsBetween(W.unboundedPreceding, end)
+    w = W.partitionBy(*group, *_dealt(df)).orderBy(sort).rowsBetween(W.unboundedPreceding, end)
     local = {name: F.last(value, ignorenulls=True).over(w) for name, value in values.items()}
     if not is_tiled(df):
         return df.withColumns(local)
@@ -150,21 +154,44 @@ def per_key(df: DataFrame, keys: Keys, values: Mapping[str, Column]) -> DataFram
     ).drop(*[f"_h_{name}" for name in values])
 
 
+def _dealt(df: DataFrame) -> list[str]:
+    return ["part"] if "part" in df.columns else []
+
+
+def with_marks(rows: DataFrame, marks: DataFrame, group: Keys) -> DataFrame:
+    """Rows and marks as one table, with the columns of both.
+
+    A mark only reads the rows of its ``group``, which are bounded in number. Where a group has more
+    than CROWD marks they are dealt by a hash of their columns to parts of about CROWD marks, and the
+    group's rows are copied to each part; the column ``part`` is there only then. Marks that are
+    equal in all columns stay together.
+    """
+    group = list(group)
+    crowded = hot_keys(marks, group, CROWD, count="_marks", counted=True)
+    if crowded is None:
+        return rows.unionByName(marks, allowMissingColumns=True)
+    sizes = crowded.select(*group, F.ceil(F.col("_marks") / CROWD).cast("int").alias("_parts"))
+    n = F.coalesce("_parts", F.lit(1))
+    plain = [c for c in marks.columns if c not in group]
+    copied = rows.join(sizes, group, "left").withColumn("part", F.explode(F.sequence(F.lit(0), n - 1))).drop("_parts")
+    dealt = marks.join(sizes, group, "left").withColumn("part", F.pmod(F.xxhash64(*plain), n).cast("int")).drop("_parts")
+    return copied.unionByName(dealt, allowMissingColumns=True)
+
+
 def file_marks(marks: DataFrame, keys: Keys, edges: DataFrame, *, forward: bool = True) -> DataFrame:
     """Add ``tile`` to marks (keys, ``_at``, ...): the last tile whose edge is at or before ``_at``.
 
     ``edges`` has keys, tile, ``_at``; backward, the first tile whose edge is at or after it. Marks
     beyond all edges go to the nearest tile, marks of keys without tiles to ``COLD_TILE``. Edges
-    and marks are scanned as one ordered stream.
+    and marks are scanned as one ordered stream, crowded marks in parts beside the same edges.
     """
-    both = marks.withColumns({"tile": F.lit(None).cast("int"), "_mark": F.lit(True)}).unionByName(
-        edges.withColumn("_mark", F.lit(False)), allowMissingColumns=True
-    )
+    both = with_marks(edges.withColumn("_mark", F.lit(False)), marks.withColumn("_mark", F.lit(True)), keys)
+    by = [*keys, *_dealt(both)]
     at = F.col("_at").asc() if forward else F.col("_at").desc()
-    scan = W.partitionBy(*keys).orderBy(at, F.col("_mark").asc()).rowsBetween(W.unboundedPreceding, 0)
-    nearest = (F.min if forward else F.max)("tile").over(W.partitionBy(*keys))
+    scan = W.partitionBy(*by).orderBy(at, F.col("_mark").asc()).rowsBetween(W.unboundedPreceding, 0)
+    nearest = (F.min if forward else F.max)("tile").over(W.partitionBy(*by))
     tile = F.coalesce(F.last("tile", ignorenulls=True).over(scan), nearest, F.lit(COLD_TILE))
-    return both.withColumn("_tile", tile).filter("_mark").drop("_mark", "tile").withColumnRenamed("_tile", "tile")
+    return both.withColumn("_tile", tile).filter("_mark").drop("_mark", "tile", *_dealt(both)).withColumnRenamed("_tile", "tile")
 
 
 def run_ids(df: DataFrame, keys: Keys, usable: Column, *, order: str = "frame") -> DataFrame:

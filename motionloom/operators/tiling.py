@@ -24,15 +24,15 @@ SPLIT = f"tile > {COLD_TILE}"
 Keys = Sequence[str]
 
 
-def hot_keys(df: DataFrame, keys: Keys, limit: int | None = None) -> DataFrame | None:
-    """Keys with more than ``limit`` rows, or None. One key-only pass, combined map-side.
+def hot_keys(df: DataFrame, keys: Keys, limit: int | None = None, *, count: str = "_n", counted: bool = False) -> DataFrame | None:
+    """Keys with more than ``limit`` rows, with their ``count`` if ``counted``, or None. One key-only pass, combined map-side.
 
     There are at most rows / limit such keys; the list carries a broadcast hint where its counted
     length allows it.
     """
     limit = HOT_ROWS if limit is None else limit
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.filter(F.col("_n") > limit).select(*keys)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count))
+    hot = counts.filter(F.col(count) > limit).select(*keys, *([count] if counted else []))
     n_hot = hot.limit(BROADCAST_KEYS + 1).count()
     if n_hot == 0:
         return None

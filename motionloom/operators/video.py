@@ -126,7 +126,7 @@ def index_of_pts(frame_time: DataFrame, wanted: DataFrame, keys: Keys) -> DataFr
     ``wanted``: keys, query_id, value. Frames and wanted values form one ordered stream per clip,
     so the lookup is a scan, not a range join.
     """
-    from .sequence import carry, file_marks
+    from .sequence import carry, file_marks, with_marks
     from .tiling import SPLIT, is_tiled
 
     keys = list(keys)
@@ -138,6 +138,6 @@ def index_of_pts(frame_time: DataFrame, wanted: DataFrame, keys: Keys) -> DataFr
     if tile:
         tops = frame_time.filter(SPLIT).groupBy(*keys, "tile").agg(F.max("pts").cast("long").alias("_at"))
         asked = file_marks(asked, keys, tops, forward=False)
-    stream = frames.unionByName(asked).withColumn("_ord", F.struct("_at", "_side", F.coalesce("query_id", F.col("_f").cast("long"))))
+    stream = with_marks(frames, asked, parts(frames, keys)).withColumn("_ord", F.struct("_at", "_side", F.coalesce("query_id", F.col("_f").cast("long"))))
     found = carry(stream, keys, "_ord", {"frame": F.col("_f")}, forward=False).filter("query_id is not null")
     return found.select(*keys, "query_id", "frame").join(ends, keys).select(*keys, "query_id", F.coalesce("frame", "_last").alias("frame"))

@@ -4,9 +4,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from motionloom.operators import fitting, joins, kinematics, lookup, metrics, periods, quantiles, stabilize, tiling, timeline, video
+from motionloom.operators import fitting, joins, kinematics, lookup, metrics, periods, quantiles, sequence, stabilize, tiling, timeline, video
 from motionloom.plans import analysis, catalog
 from motionloom.plans import views as V
 from motionloom.sources import synthetic
@@ -72,6 +73,36 @@ def test_tiles_change_nothing(point_sets, name):
     assert rows_of(OPERATORS[name](tiled)) == rows_of(OPERATORS[name](plain))
 
 
+def wanted_pts(points):
+    rows = points.select("clip_id", F.row_number().over(W.partitionBy("clip_id").orderBy("frame")).cast("int").alias("frame"), (F.col("frame") * 33).cast("long").alias("pts"), *[c for c in points.columns if c == "tile"])
+    asked_pts = points.select("clip_id", F.col("event_id").alias("query_id"), (F.col("frame") * 33 + F.col("event_id") % 90 - 45).alias("value"))
+    return video.index_of_pts(rows, asked_pts, KEY)
+
+
+@pytest.mark.parametrize("name", ["nearest", "position_at", "index_of_pts"])
+def test_dealt_cursors_change_nothing(point_sets, monkeypatch, name):
+    ask = OPERATORS.get(name, wanted_pts)
+    plain, tiled = point_sets
+    want = rows_of(ask(plain))
+    monkeypatch.setattr(sequence, "CROWD", 3)
+    assert rows_of(ask(plain)) == want
+    assert rows_of(ask(tiled)) == want
+
+
+@pytest.mark.parametrize("k", [0, 1])
+def test_crowded_cursors_meet_their_rows_in_bounded_parts(point_sets, monkeypatch, k):
+    rows = point_sets[k].filter("clip_id = 1").select("clip_id", "frame", *(["tile"] if k else []))
+    group = tiling.parts(rows, KEY)
+    target = rows.groupBy(*group).agg(F.count("*").alias("n")).orderBy(F.desc("n")).drop("n").limit(1)
+    marks = target.crossJoin(rows.sparkSession.range(4000).withColumnRenamed("id", "cursor_id"))
+    monkeypatch.setattr(sequence, "CROWD", 500)
+    both = sequence.with_marks(rows, marks, group)
+    sizes = both.join(target, group).groupBy("part").agg(F.count("cursor_id").alias("marks"), F.count("frame").alias("rows")).collect()
+    assert len(sizes) == 8 and sum(r.marks for r in sizes) == 4000
+    assert max(r.marks for r in sizes) < 2 * 500
+    assert {r.rows for r in sizes} == {rows.join(target, group).count()}
+
+
 def test_numbering_by_cells(spark, sf, monkeypatch):
     plain = rows_of(V.event_points(spark, sf))
     monkeypatch.setattr(tiling, "HOT_ROWS", 20)
