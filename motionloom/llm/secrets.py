@@ -33,20 +33,21 @@ SMOOTHING = 0.5
 
 
 def _matches(text: Column, kind: int, pattern: str) -> Column:
-    """Array of (kind, i, gap before the match, length, holds, body)."""
+    """Array of (kind, i, gap before the match, length, holds, body); null where nothing matches."""
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     if pattern == ASSIGN:
-        value = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), F.length)
+        value = F.transform(found, lambda x: F.length(F.regexp_extract(x, pattern, 2)))
     else:
         value = F.transform(found, lambda x: F.lit(VALUE_CHARS))
     zipped = F.arrays_zip(F.transform(pieces, F.length).alias("gap"), found.alias("body"), value.alias("value"))
     some = F.slice(zipped, F.lit(1), F.size(zipped) - 1)
-    return F.transform(
+    matches = F.transform(
         some,
         lambda m, i: F.struct(
             F.lit(kind).alias("kind"), i.alias("i"), m["gap"].alias("gap"), F.length(m["body"]).alias("len"), (m["value"] >= VALUE_CHARS).alias("holds"), m["body"].alias("body")
         ),
     )
+    return F.when(text.rlike(pattern), matches)  # most texts hold no match and are read once
 
 
 def _pairs(body: Column) -> Column:
@@ -89,7 +90,7 @@ def scan(docs: DataFrame, model: list[float]) -> DataFrame:
     texts are empty; repeated rows stay repeated; other columns are not read.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    every = F.concat(*[_matches(F.col("text"), k, p) for k, p in enumerate((ASSIGN, ACCESS, HEX, RANDOM))])
+    every = F.flatten(F.array_compact(F.array(*[_matches(F.col("text"), k, p) for k, p in enumerate((ASSIGN, ACCESS, HEX, RANDOM))])))
     found = rows.select("row", "doc_id", F.explode_outer(every).alias("m")).select("row", "doc_id", "m.*")
     in_order = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     placed = found.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(in_order)).withColumn("start", F.col("end") - F.col("len"))
