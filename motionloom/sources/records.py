@@ -7,13 +7,17 @@ read whole keeps its row with the reason; no row is lost and none fails the job.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..constants import DEFAULT_PIXEL_SIGMA, DEFAULT_RULER_LENGTH_M, OFF_PLANE_WARN_M
 from ..functions import calibration as cal_fn
+from ..session import stored
 from .annotations import FAILURE_REASONS, POINT, XY
 
 Keys = Sequence[str]
@@ -67,6 +71,42 @@ def _result(result: Column) -> Column:
     return F.when(result["clip_id"].isNotNull() | result["points"].isNotNull(), filled)
 
 
+def _first_of_pairs(pairs: list) -> dict:
+    out: dict = {}
+    for name, value in pairs:
+        out.setdefault(name, value)
+    return out
+
+
+def _no_constant(name: str):
+    raise ValueError(name)
+
+
+def _one_of_each_key(text: str | None) -> str | None:
+    try:
+        return None if text is None else json.dumps(json.loads(text, object_pairs_hook=_first_of_pairs, parse_constant=_no_constant))
+    except (ValueError, RecursionError):
+        return None
+
+
+@F.pandas_udf(StringType())
+def one_of_each_key(texts: pd.Series) -> pd.Series:
+    """JSON texts whose objects keep the first of equal keys; null for what is not JSON."""
+    return texts.map(_one_of_each_key)
+
+
+def _read(texts: DataFrame, keys: Keys, text: str) -> DataFrame:
+    """keys and ``_v``, the text as VARIANT, null for what is not JSON.
+
+    VARIANT refuses objects that repeat a key; of those the first counts. A record costs far more
+    than its bytes tell, so a small file is first dealt to all cores.
+    """
+    dealt = texts.select(*keys, F.col(text).alias("_text")).repartition(*keys, "_text")
+    rows = dealt.withColumn("_v", F.try_parse_json("_text"))
+    again = F.try_parse_json(one_of_each_key(F.when(F.col("_v").isNull(), F.col("_text"))))
+    return rows.withColumn("_v", F.coalesce("_v", again)).drop("_text")
+
+
 def _raw(rows: DataFrame) -> DataFrame:
     """The parts of each record, cast to the widest schema; `_lost` names those that are there but do not cast."""
     part = lambda name, kind: F.try_variant_get("_v", f"$.{name}", kind)
@@ -175,7 +215,7 @@ def parse_records(texts: DataFrame, keys: Keys, text: str = "text") -> DataFrame
     The version is that of `schema` ("....v1" to "....v5"; none is 1, an unknown one null). Where
     `reason` is not null the parts may be incomplete; `quarantined` has those rows.
     """
-    rows = _raw(texts.select(*keys, F.try_parse_json(F.col(text)).alias("_v")))
+    rows = _raw(_read(texts, keys, text))
     number = F.regexp_extract(F.col("schema"), r"\.v(\d+)$", 1)
     version = F.when(F.col("schema").isNull(), F.lit(1)).when(number != "", number.cast("int"))
     rows = rows.withColumn("version", F.when(version.between(1, NEWEST), version))
@@ -185,8 +225,14 @@ def parse_records(texts: DataFrame, keys: Keys, text: str = "text") -> DataFrame
     return rows.select(*keys, "version", _reason().alias("reason"), *parts)
 
 
-def accepted(records: DataFrame) -> DataFrame:
-    return records.filter("reason IS NULL").drop("reason")
+def accepted(records: DataFrame, *columns: str) -> DataFrame:
+    """The named columns (all, if none is named) of the records that can be taken.
+
+    They are stored with the reason first: a filter on an unstored reason would be moved below the
+    migrations, and there repeat the reading of every part for each of its uses.
+    """
+    kept = records.select(*columns, "reason") if columns else records
+    return stored(kept).filter("reason IS NULL").drop("reason")
 
 
 def quarantined(records: DataFrame, texts: DataFrame, keys: Keys, text: str = "text") -> DataFrame:
@@ -196,18 +242,18 @@ def quarantined(records: DataFrame, texts: DataFrame, keys: Keys, text: str = "t
 
 def record_points(records: DataFrame, keys: Keys) -> DataFrame:
     """One row for each point of each layer of accepted records."""
-    layers = accepted(records).select(*keys, F.explode("tracks").alias("t"))
+    layers = accepted(records, *keys, "tracks").select(*keys, F.explode("tracks").alias("t"))
     return layers.select(*keys, F.col("t.track_id").alias("track_id"), F.explode("t.result.points").alias("p")).select(*keys, "track_id", "p.*")
 
 
 def record_calibrations(records: DataFrame, keys: Keys) -> DataFrame:
     """keys, cal of accepted records; one that does not hold has mode none and its warning."""
-    return cal_fn.solve(accepted(records).select(*keys, "calibration.*"), list(keys))
+    return cal_fn.solve(accepted(records, *keys, "calibration").select(*keys, "calibration.*"), list(keys))
 
 
 def record_readings(records: DataFrame, keys: Keys) -> DataFrame:
     """keys, at (the frame it is filed under), and the depth reading, of accepted records."""
-    rows = accepted(records).select(*keys, F.explode("depth_audit.readings").alias("at", "r"))
+    rows = accepted(records, *keys, "depth_audit").select(*keys, F.explode("depth_audit.readings").alias("at", "r"))
     return rows.select(*keys, F.col("at").cast("int").alias("at"), "r.*")
 
 
@@ -216,7 +262,7 @@ def parse_poses(texts: DataFrame, keys: Keys, text: str = "text") -> DataFrame:
 
     A pose record that cannot be taken, or has no frames, keeps one row without a frame.
     """
-    rows = texts.select(*keys, F.try_parse_json(F.col(text)).alias("_v")).withColumn("_p", F.try_variant_get("_v", "$", POSES))
+    rows = _read(texts, keys, text).withColumn("_p", F.try_variant_get("_v", "$", POSES))
     point = lambda k: _with(k, visible=True, confidence=1.0)
     frames = F.transform(F.coalesce(F.col("_p.frames"), F.array().cast(f"array<{POSE}>")), lambda f: _with(f, person_id=0, confidence=1.0).withField("keypoints", F.transform(f["keypoints"], point)))
     bare = lambda f: f["frame"].isNull() | f["keypoints"].isNull() | F.exists(f["keypoints"], lambda k: k["name"].isNull() | k["x"].isNull() | k["y"].isNull())

@@ -143,3 +143,19 @@ def test_entries_without_results_stay_in_the_report(spark):
     got = {r.clip_id: (r.passed, r.error) for r in reports.evaluate(manifest, truth, truth, runs).collect()}
     assert got == {"a": (True, None), "b": (False, "no results for task pose"), "c": (False, "no results for task calibration"), "d": (False, "crashed")}
     assert reports.pass_rate(reports.evaluate(manifest, truth, truth, runs)).first().pass_rate == pytest.approx(0.25)
+
+
+def test_first_of_repeated_keys_counts(spark):
+    twice = '{"video_path":"v","video_path":"w","depth_audit":{"readings":{"3":{"z_geom":1.5},"7":{},"7":{"z_model":2},"3":{"z_geom":9}}}}'
+    rows = spark.createDataFrame([(1, twice), (2, '{"video_path":"v","a":1,"a":NaN}'), (3, '{"video_path":"v","a":'), (4, None)], "k int, text string")
+    found = {r.k: r for r in records.parse_records(rows, ["k"]).collect()}
+    assert {k: r.reason for k, r in found.items()} == {1: None, 2: "not_json", 3: "not_json", 4: "not_json"}
+    assert found[1].video_path == "v" and {k: r.z_geom for k, r in found[1].depth_audit.readings.items()} == {"3": 1.5}
+
+
+def test_rows_of_accepted_records_are_parsed_once(spark):
+    rows = spark.createDataFrame([(1, '{"video_path":"v","track":{"clip_id":"c","points":[{"frame":0,"x":1,"y":2}]}}'), (2, "[")], "k int, text string")
+    parsed = records.parse_records(rows, ["k"])
+    for find, n in ((records.record_points, 1), (records.record_calibrations, 1), (records.record_readings, 0)):
+        found = find(parsed, ["k"])
+        assert "variant_get" not in found._jdf.queryExecution().toString() and found.count() == n
