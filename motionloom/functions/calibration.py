@@ -6,8 +6,11 @@ Everything per point is a column expression over that struct.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .. import constants as C
 from . import plane as P
@@ -333,6 +336,34 @@ def pixel_to_world(df: DataFrame, x: str, y: str, out: tuple[str, str], *, plana
     return rows.withColumns({out[0]: wx, out[1]: wy}).drop("_k", "_dx", "_dy")
 
 
+@F.pandas_udf(DoubleType())
+def _along(
+    dist: pd.Series, hi: pd.Series, ox: pd.Series, oy: pd.Series, ux: pd.Series, uy: pd.Series, nx: pd.Series, ny: pd.Series,
+    ax: pd.Series, ay: pd.Series, n_ppm: pd.Series, f_ppm: pd.Series, ppm_o: pd.Series, rounds: pd.Series,
+) -> pd.Series:
+    """Image distance from the origin of points at world distance ``dist``, halved over the batch; nan without one."""
+    out = np.full(len(dist), np.nan)
+    at = np.flatnonzero(dist.notna().to_numpy())
+    if not len(at):
+        return pd.Series(out)
+    columns = (dist, hi, ox, oy, ux, uy, nx, ny, ax, ay, n_ppm, f_ppm, ppm_o)
+    d, top, ox, oy, ux, uy, nx, ny, ax, ay, near, far, ppm_o = (c.to_numpy(float)[at] for c in columns)
+    low = np.zeros(len(at))
+    with np.errstate(all="ignore"):
+        for _ in range(int(rounds.iloc[0])):
+            mid = (low + top) * 0.5
+            u = (ox + ux * mid - nx) * ax + (oy + uy * mid - ny) * ay
+            scale = near + np.clip(u, -C.EXTRAPOLATE_U, 1.0 + C.EXTRAPOLATE_U) * (far - near)
+            ppm = np.maximum(np.where(scale <= 1e-9, np.minimum(near, far), scale), 1e-6)
+            delta = ppm - ppm_o
+            flat = np.abs(delta) < 1e-9
+            mean = np.where(flat, 1.0 / ppm_o, np.log(ppm / ppm_o) / np.where(flat, 1.0, delta))
+            short = mid * mean < d
+            low, top = np.where(short, mid, low), np.where(short, top, mid)
+    out[at] = (low + top) * 0.5
+    return pd.Series(out)
+
+
 def world_to_pixel(df: DataFrame, x: str, y: str, out: tuple[str, str], *, planar: bool = True, rounds: int = 40) -> DataFrame:
     """Add the image point of world position (x, y); near/far scaling is inverted by bisection."""
     cal, wx, wy = F.col("cal"), F.col(x), F.col(y)
@@ -349,16 +380,11 @@ def world_to_pixel(df: DataFrame, x: str, y: str, out: tuple[str, str], *, plana
     dist = F.col("_d")
     rows = rows.withColumns({"_ux": P.guarded(F.col("_dx"), dist), "_uy": P.guarded(F.col("_dy"), dist)})
     first = F.greatest(dist * cal["ppm_o"] * 4.0, F.lit(8.0))
-
-    def halve(acc: Column, _i: Column) -> Column:
-        mid = (acc["lo"] + acc["hi"]) * 0.5
-        ppm = near_far_ppm(cal, F.col("_ox") + F.col("_ux") * mid, F.col("_oy") + F.col("_uy") * mid)
-        short = mid * log_mean(cal["ppm_o"], ppm) < dist
-        return F.struct(F.when(short, mid).otherwise(acc["lo"]).alias("lo"), F.when(short, acc["hi"]).otherwise(mid).alias("hi"))
-
-    search = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(F.lit(0.0).alias("lo"), first.alias("hi")), halve)
-    rows = rows.withColumn("_e", F.when(is_mode(cal, "near_far") & (dist >= 1e-12), search))
-    along = F.coalesce((F.col("_e.lo") + F.col("_e.hi")) * 0.5, F.lit(0.0))
+    searched = is_mode(cal, "near_far") & (dist >= 1e-12)
+    given = {"dist": dist, "hi": first, "ox": F.col("_ox"), "oy": F.col("_oy"), "ux": F.col("_ux"), "uy": F.col("_uy"), **{n: cal[n] for n in ("nx", "ny", "ax", "ay", "n_ppm", "f_ppm", "ppm_o")}}
+    found = _along(*[F.when(searched, v.cast("double")).alias(n) for n, v in given.items()], F.lit(rounds))
+    rows = rows.withColumn("_e", found)
+    along = F.coalesce(F.nanvl("_e", F.lit(None).cast("double")), F.lit(0.0))
     ppm = F.coalesce(cal["ppm"], F.lit(1.0))
 
     def flat(o: str, unit: str, d: str) -> Column:
