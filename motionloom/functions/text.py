@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .plane import let
+
 # words that must not leave the machine inside a shared context
 FORBIDDEN = ("api_key", "authorization", "sk-")
 # keys of a context that hold a file's place
@@ -54,11 +56,13 @@ def checksums(text: Column) -> Column:
             F.lower(F.get(w, F.lit(0))).alias("digest"),
         ),
     )
-    last = F.filter(
-        F.transform(named, lambda e, i: F.struct(e.alias("e"), F.exists(F.slice(named, i + 2, F.size(named)), lambda later: later["name"] == e["name"]).alias("again"))),
-        lambda s: ~s["again"],
-    )
-    return F.map_from_entries(F.transform(last, lambda s: s["e"]))
+    placed = F.transform(named, lambda e, i: F.struct(e["name"].alias("name"), i.alias("i"), e["digest"].alias("digest")))
+
+    def last_of_name(v: Column) -> Column:
+        ends = F.filter(v["s"], lambda e, i: ~F.get(v["s"], i + 1)["name"].eqNullSafe(e["name"]))
+        return F.map_from_entries(F.transform(ends, lambda e: F.struct(e["name"], e["digest"])))
+
+    return let({"s": F.array_sort(placed)}, last_of_name)
 
 
 def sse_data(text: Column) -> Column:
