@@ -37,9 +37,10 @@ def parabolic_offset(left: Column, center: Column, right: Column) -> Column:
     bend = (left + right) * 0.5 - center
     curved = bend > 1e-9
     raw = (left - right) * 0.25 / F.when(curved, bend)
+    # greatest and least pass over a null, so what is not curved is left out before them
     return F.struct(
-        F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)), F.lit(0.0)).alias("offset"),
-        F.sqrt(F.greatest(center * 2.0 / F.when(curved, bend), F.lit(0.0))).alias("width"),
+        F.when(curved, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw))).otherwise(F.lit(0.0)).alias("offset"),
+        F.when(curved, F.sqrt(F.greatest(center * 2.0 / F.when(curved, bend), F.lit(0.0)))).alias("width"),
     )
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from motionloom.functions import calibration as cal_fn
-from motionloom.functions import text
-from motionloom.operators import stabilize
+from motionloom.functions import pixels, text
+from motionloom.operators import fitting, stabilize
 
 
 def optimized(df):
@@ -56,3 +56,19 @@ def test_near_far_points_are_found_in_batches(spark):
     assert "_along(" in optimized(back)
     rows = [r for r in back.collect() if r.x is not None]
     assert np.allclose([(r.x, r.y) for r in rows], [(r.bx, r.by) for r in rows], atol=1e-6)
+
+
+def test_a_dip_that_is_not_curved_has_no_offset_and_no_width(spark):
+    rows = spark.createDataFrame([(1, 0.023, 0.019, 0.0001), (2, 1.0, 1.0, 1.0), (3, 2.0, 1.0, 3.0), (4, None, 1.0, 3.0)], "k int, l double, c double, r double")
+    found = rows.select("k", pixels.parabolic_offset(F.col("l"), F.col("c"), F.col("r")).alias("p")).select("k", "p.*").collect()
+    assert {r.k: (r.offset, r.width) for r in found} == {1: (0.0, None), 2: (0.0, None), 3: (-1 / 6, np.sqrt(2 / 1.5)), 4: (0.0, None)}
+
+
+def test_values_equal_to_the_mean_cross_alike_in_any_row_order(spark):
+    values = {c: [round(0.1 * ((7 * f * c + f) % (3 + c % 5)) + 0.1, 2) for f in range(24)] for c in range(60)}
+    rows = [(c, f, f * 0.5, v) for c, vs in values.items() for f, v in enumerate(vs)]
+    found = []
+    for order in (rows, rows[::-1], sorted(rows, key=lambda r: r[1] * 7 % 24)):
+        points = spark.createDataFrame(order, "clip_id int, frame int, time_s double, x double")
+        found.append({r.clip_id: r.period_s for r in fitting.zero_crossing_period(points, ["clip_id"], "x").collect()})
+    assert found[0] == found[1] == found[2] and len(found[0]) > 30
