@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import ANCHOR_MIN_DIST_SQ, ANCHORS_PER_CORNER, SHAKE_CLUSTER_PX
+from ..functions.plane import let
 from ..session import cut_lineage
 from .joins import attach
 from .scan import composed_scan, nearest
@@ -38,11 +39,11 @@ def pick_anchors(cells: DataFrame, keys: Keys, per_corner: int = ANCHORS_PER_COR
 
 
 def _middle(values: Column) -> Column:
-    ordered = F.array_sort(values)
-    n = F.size(ordered)
-    low = F.get(ordered, F.floor((n - 1) / 2).cast("int"))
-    high = F.get(ordered, F.floor(n / 2).cast("int"))
-    return (low + high) * 0.5
+    def half(v: Column) -> Column:
+        n = F.size(v["o"])
+        return (F.get(v["o"], F.floor((n - 1) / 2).cast("int")) + F.get(v["o"], F.floor(n / 2).cast("int"))) * 0.5
+
+    return let({"o": F.array_sort(values)}, half)
 
 
 def consensus(pairs: Column) -> Column:
@@ -61,9 +62,13 @@ def consensus(pairs: Column) -> Column:
             _middle(F.transform(g, lambda p: p["y"])).alias("dy"),
         ),
     )
-    top = F.array_max(F.transform(sized, lambda g: g["n"]))
-    best = F.filter(sized, lambda g: g["n"] == top)
-    return F.array_distinct(F.transform(best, lambda g: F.struct(g["dx"].alias("dx"), g["dy"].alias("dy"))))
+
+    def largest(v: Column) -> Column:
+        best = F.filter(v["s"], lambda g: g["n"] == v["top"])
+        return F.array_distinct(F.transform(best, lambda g: F.struct(g["dx"].alias("dx"), g["dy"].alias("dy"))))
+
+    # a lambda works out what it refers to again for each item, so the groups and their top size are bound first
+    return let({"s": sized}, lambda v: let({"s": v["s"], "top": F.array_max(F.transform(v["s"], lambda g: g["n"]))}, largest))
 
 
 def robust_shift(frames: DataFrame, keys: Keys) -> DataFrame:
