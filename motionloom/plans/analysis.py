@@ -91,7 +91,7 @@ def score_models(
     keys = list(keys)
     rows, best = best_runs(points, keys, calibration)
     facts = kin.track_summary(points, keys).select(*keys, "coverage", F.col("mean_confidence").alias("mean_conf"))
-    best = best.filter(F.col("n") >= C.MIN_LINEAR_POINTS)
+    best = stored(best.filter(F.col("n") >= C.MIN_LINEAR_POINTS))  # read by the models and to find the swings
     # from here on every table has one row per track: plain joins, no skew
     base = best.join(facts, keys)
     base = base.join(calibration, keys, "left") if calibration is not None else base.withColumn("cal", _empty_cal())

@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calibration as cal_fn
+from ..operators import tiling
 from ..operators.sequence import per_key, running_sum
 from ..operators.tiling import hot_keys, number_rows, tile_tracks
 
 KEY = ["clip_id"]
+MOTION_FRAMES = 60
+DEALT_ROWS = 1 << 17  # points of made motions that one task gets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -124,15 +127,28 @@ def calibrations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def motion_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closed-form motions, one clip per supplier: line, acceleration, fall, throw, swing, circle."""
+    """Closed-form motions, one clip per supplier: line, acceleration, fall, throw, swing, circle.
+
+    The suppliers lie in few and small files. They are dealt by key before their points are made, so
+    the points are made in many tasks and later steps by clip need no exchange of them. What a clip's
+    points share is worked out once per clip: inlined at each use, the generated method is too long
+    for the JIT compiler.
+    """
     k = F.col("clip_id")
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("clip_id"))
-    rows = suppliers.withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(59))))
-    t = F.col("frame") / 30.0
-    p = F.lit(1.0) + F.pmod(k, F.lit(7)) * 0.1
-    noise = (F.pmod(F.col("frame") * 7919 + k * 104729, F.lit(13)) - 6) * 0.01 * F.pmod(k, F.lit(3))
-    turn = F.lit(2.0 * math.pi) * t / (F.lit(0.5) + F.pmod(k, F.lit(5)) * 0.1)
-    kind = F.pmod(k, F.lit(6))
+    hot = hot_keys(suppliers, KEY, tiling.HOT_ROWS // MOTION_FRAMES)
+    tasks = max(1, math.ceil(suppliers.count() * MOTION_FRAMES / DEALT_ROWS))
+    # dealt by key, a hot clip would stay in one task
+    dealt = suppliers.repartition(tasks, *KEY) if hot is None else suppliers.repartition(tasks)
+    of_clip = {"_kind": F.pmod(k, F.lit(6)), "_p": F.lit(1.0) + F.pmod(k, F.lit(7)) * 0.1, "_s": F.lit(0.5) + F.pmod(k, F.lit(5)) * 0.1}
+    rows = dealt.withColumns(of_clip).withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(MOTION_FRAMES - 1))))
+    t, p, turn, noise, kind = (F.col(name) for name in ("time_s", "_p", "_turn", "_noise", "_kind"))
+    rows = rows.withColumn("time_s", F.col("frame") / 30.0).withColumns(
+        {
+            "_turn": F.lit(2.0 * math.pi) * t / F.col("_s"),
+            "_noise": (F.pmod(F.col("frame") * 7919 + k * 104729, F.lit(13)) - 6) * 0.01 * F.pmod(k, F.lit(3)),
+        }
+    )
     x = (
         F.when(kind == 0, F.lit(40.0) + p * 90.0 * t)
         .when(kind == 1, F.lit(40.0) + t * 30.0 + p * 60.0 * t * t)
@@ -149,10 +165,10 @@ def motion_points(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 4, F.lit(100.0) + F.cos(turn * 2.0) * 3.0)
         .otherwise(F.lit(90.0) + F.sin(turn) * 50.0)
     )
-    tiled = tile_tracks(rows, KEY)
+    tiled = tile_tracks(rows, KEY, hot=hot)
     tile = ["tile"] if "tile" in tiled.columns else []
     return tiled.select(
-        "clip_id", *tile, "frame", t.alias("time_s"), (x + noise).alias("x"), (y - noise).alias("y"),
+        "clip_id", *tile, "frame", "time_s", (x + noise).alias("x"), (y - noise).alias("y"),
         (~((F.pmod(k, F.lit(4)) == 1) & (F.pmod(F.col("frame") + k, F.lit(23)) == 0))).alias("visible"),
         (F.lit(0.7) + F.pmod(F.col("frame") * 31 + k, F.lit(30)) / 100.0).alias("confidence"),
         F.lit(False).alias("manual"), F.lit(False).alias("interpolated"),

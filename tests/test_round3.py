@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from motionloom.functions import calibration as cal_fn
 from motionloom.functions import pixels, text
-from motionloom.operators import fitting, stabilize
+from motionloom.operators import fitting, kinematics, stabilize, tiling
+from motionloom.plans import views
 
 
 def optimized(df):
@@ -72,3 +73,25 @@ def test_values_equal_to_the_mean_cross_alike_in_any_row_order(spark):
         points = spark.createDataFrame(order, "clip_id int, frame int, time_s double, x double")
         found.append({r.clip_id: r.period_s for r in fitting.zero_crossing_period(points, ["clip_id"], "x").collect()})
     assert found[0] == found[1] == found[2] and len(found[0]) > 30
+
+
+def test_motions_are_dealt_before_their_points_are_made(spark, monkeypatch):
+    sf = "/root/testdata/sf0.1"
+    want = sorted(map(tuple, views.motion_points(spark, sf).collect()))
+    monkeypatch.setattr(views, "DEALT_ROWS", 10_000)
+    points = views.motion_points(spark, sf)
+    assert points.rdd.getNumPartitions() == 6
+    assert optimized(points).count("pmod(clip_id") == 5  # kind, pace, period, size of the noise and visible
+    runs = fitting.run_sums(fitting.with_run_frame(kinematics.runs(points, ["clip_id"]), ["clip_id"]), ["clip_id"])
+    assert runs._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(map(tuple, points.collect())) == want and len(want) == 60_000
+    monkeypatch.setattr(tiling, "HOT_ROWS", 59)
+    tiled = views.motion_points(spark, sf)
+    assert "tile" in tiled.columns and "RoundRobinPartitioning" in tiled._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, tiled.drop("tile").collect())) == want
+
+
+def test_runs_are_summed_once_for_models_and_swings(spark):
+    """The sums of the longest runs, which models and swings both read, are stored."""
+    report = entry.queries()["report_markdown"](spark, "/root/testdata/sf0.1")
+    assert "var_pop" not in optimized(report)
